@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm.decontaminate import contamination
 from weftline.llm.ngram_join import ngram_join
+from weftline.llm.substring_dedup import repeated_spans
+from weftline.llm.warc import round_trip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,8 +24,18 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(table(spark, sf_dir, "documents"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op3_substring_dedup": op3_substring_dedup,
+    "op4_warc": op4_warc,
 }
 SQL: dict[str, str] = {}
