@@ -32,7 +32,8 @@ from weftline.llm.shared import drop, stash
 
 U = np.uint64
 KEYS_A_BUCKET = 250_000
-BLOCK_BYTES, LEAST_BYTES, SPLITS = 8 << 20, 64 << 10, 20
+BLOCK_BYTES, LEAST_BYTES, SPLITS = 8 << 20, 256 << 10, 16
+FILTER_BITS = 26
 COLUMNS = 4096
 
 
@@ -138,7 +139,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for c in K.chunks(batch.column(1), 4 * K.CHUNK):
+            for c in K.chunks(batch.column(1), 2 * K.CHUNK):
                 hashes, at, digest = shingle_sets(c.data, c.offsets, n)
                 fresh = np.array([d not in seen for d in digest.tolist()], bool) & np.asarray(batch.column(0)[c.rows].is_valid())
                 first = np.zeros(len(digest), bool)
@@ -197,16 +198,17 @@ def _links(docs: DataFrame, sets: DataFrame, family: DataFrame, n: int, percent:
     members = members.join(parts, "family").withColumn("block", F.expr("cast(pmod(xxhash64(digest), splits) as int)"))
     wanted = stash(members.select("id", "digest", "copies", "family", "splits", "block"), "wanted")
 
+    marked = docs.sparkSession.sparkContext.broadcast(_filter(wanted.select("id")))
+
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c in K.chunks(batch.column(0)):
+            batch = batch.filter(pa.array(_marked(marked.value, batch.column(0))))
+            for c in K.chunks(batch.column(1)):
                 hashes, at, digest = shingle_sets(c.data, c.offsets, n)
-                same = digest.view(np.int64) == batch.column(1)[c.rows].to_numpy()  # else another row of the same id
-                blobs = pa.array([hashes[at[i] : at[i + 1]].tobytes() if same[i] else None for i in range(len(digest))], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(batch.column(k)[c.rows] for k in range(1, 6)), blobs], ["digest", "copies", "family", "splits", "block", "grams"])
+                blobs = pa.array([hashes[at[i] : at[i + 1]].tobytes() for i in range(len(digest))], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0)[c.rows], pa.array(digest.view(np.int64)), blobs], ["id", "digest", "grams"])
 
-    rows = docs.where("id is not null and text is not null").join(wanted, "id").select("text", "digest", "copies", "family", "splits", "block")
-    rows = rows.mapInArrow(sets_of, "digest long, copies long, family long, splits int, block int, grams binary").where("grams is not null")
+    rows = docs.where("id is not null and text is not null").mapInArrow(sets_of, "id long, digest long, grams binary").join(wanted, ["id", "digest"])
     other = F.explode(F.sequence(F.lit(0), F.col("splits") - 1))
     rows = rows.withColumn("other", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     rows = rows.withColumn("place", F.when(F.col("splits") == 1, F.pmod(F.xxhash64("family"), F.lit(few))).otherwise(F.col("family")))
@@ -231,6 +233,28 @@ def _links(docs: DataFrame, sets: DataFrame, family: DataFrame, n: int, percent:
     return found
 
 
+def _filter(ids: DataFrame) -> np.ndarray:
+    """A bitmap of hashed ids, of 2**FILTER_BITS bits whatever the number of ids: a set bit may be another id's."""
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bit = K.mix(batch.column(0).to_numpy().view(np.uint64)) >> U(64 - FILTER_BITS)
+            word, place = np.unique(bit >> U(6), return_inverse=True)
+            mask = np.zeros(len(word), np.uint64)
+            np.bitwise_or.at(mask, place, U(1) << (bit & U(63)))
+            yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int32)), pa.array(mask.view(np.int64))], ["word", "mask"])
+
+    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    got = ids.mapInArrow(words, "word int, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    out[got["word"].to_numpy()] = got["mask"].to_numpy().view(np.uint64)
+    return out
+
+
+def _marked(bitmap: np.ndarray, ids: pa.Array) -> np.ndarray:
+    bit = K.mix(ids.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) >> U(64 - FILTER_BITS)
+    return (bitmap[bit >> U(6)] >> (bit & U(63))) & U(1) == 1
+
+
 def _block_links(names: np.ndarray, copies: np.ndarray, block: np.ndarray, sets: list[np.ndarray], i: int, j: int, percent: int) -> np.ndarray:
     """Links between the sets of block i and those of block j, as a forest with each set's number of linked rows."""
     left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
