@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm.decontaminate import contamination
 from weftline.llm.ngram_join import ngram_join
+from weftline.llm.quality_rules import quality
+from weftline.llm.secret_scan import secret_report
 from weftline.llm.substring_dedup import repeated_spans
+from weftline.llm.toxicity import toxic_documents
+from weftline.llm.url_filter import url_verdicts
 from weftline.llm.warc import round_trip
 
 
@@ -32,10 +36,39 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
-    "op2_benchmark_decontamination": op2_benchmark_decontamination,
-    "op3_substring_dedup": op3_substring_dedup,
-    "op4_warc": op4_warc,
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(table(spark, sf_dir, "pages"))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(table(spark, sf_dir, "documents"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_ngram_jaccard_join, op2_benchmark_decontamination, op3_substring_dedup, op4_warc, op5_url_filter,
+    op6_secret_scan, op7_quality_rules, op9_toxicity,
+)}
+
+SQL: dict[str, str] = {
+    "op4_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html)) AS n, sha1(html) AS h FROM p),
+m AS (SELECT h, max(page_id) AS first FROM d GROUP BY h),
+bits AS (SELECT DISTINCT h, list_transform(range(40), i -> instr('0123456789abcdef', h[i + 1]) - 1) AS x FROM d),
+b32 AS (SELECT h, list_aggregate(list_transform(range(32), k ->
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + list_sum(list_transform(range(5), j ->
+    ((x[1 + (5 * k + j) // 4] // (1 << (3 - (5 * k + j) % 4))) % 2) * (1 << (4 - j))))::INT]), 'string_agg', '') AS digest FROM bits)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
+  CASE WHEN first IS NULL OR page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first IS NULL OR page_id IS NOT DISTINCT FROM first THEN NULL ELSE first END AS refers_to
+FROM d JOIN m USING (h) JOIN b32 USING (h)
+""",
 }
-SQL: dict[str, str] = {}
