@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm.decontaminate import contamination
 from weftline.llm.ngram_join import ngram_join
+from weftline.llm.packing import pack
 from weftline.llm.quality_rules import quality
 from weftline.llm.secret_scan import secret_report
 from weftline.llm.substring_dedup import repeated_spans
@@ -48,13 +49,19 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep_ids=False)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_benchmark_decontamination, op3_substring_dedup, op4_warc, op5_url_filter,
-    op6_secret_scan, op7_quality_rules, op9_toxicity,
+    op6_secret_scan, op7_quality_rules, op8_packing, op9_toxicity,
 )}
 
 SQL: dict[str, str] = {
@@ -62,9 +69,9 @@ SQL: dict[str, str] = {
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, octet_length(encode(html)) AS n, sha1(html) AS h FROM p),
 m AS (SELECT h, max(page_id) AS first FROM d GROUP BY h),
-bits AS (SELECT DISTINCT h, list_transform(range(40), i -> instr('0123456789abcdef', h[i + 1]) - 1) AS x FROM d),
-b32 AS (SELECT h, list_aggregate(list_transform(range(32), k ->
-  'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + list_sum(list_transform(range(5), j ->
+bits AS (SELECT DISTINCT h, list_transform(range(40), lambda i: instr('0123456789abcdef', h[i + 1]) - 1) AS x FROM d),
+b32 AS (SELECT h, list_aggregate(list_transform(range(32), lambda k:
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + list_sum(list_transform(range(5), lambda j:
     ((x[1 + (5 * k + j) // 4] // (1 << (3 - (5 * k + j) % 4))) % 2) * (1 << (4 - j))))::INT]), 'string_agg', '') AS digest FROM bits)
 SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
   CASE WHEN first IS NULL OR page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
