@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm.decontaminate import contamination
+from weftline.llm.html_extract import page_texts
 from weftline.llm.ngram_join import ngram_join
 from weftline.llm.packing import pack
 from weftline.llm.quality_rules import quality
@@ -59,9 +60,13 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_texts(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_benchmark_decontamination, op3_substring_dedup, op4_warc, op5_url_filter,
-    op6_secret_scan, op7_quality_rules, op8_packing, op9_toxicity,
+    op6_secret_scan, op7_quality_rules, op8_packing, op9_toxicity, op10_html_extraction,
 )}
 
 SQL: dict[str, str] = {
