@@ -1,42 +1,6 @@
 """Every registered query and the SQL that gives the same rows."""
 
-from __future__ import annotations
+from weftline.plans import detectors, graphs, relational, search, streams, texts, trust  # noqa: F401
+from weftline.plans.registry import QUERIES, SQL
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
-from pyspark.sql import functions as F
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def query(sql: str | None = None):
-    """Register a function under its name, with its SQL twin."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-@query("""
-SELECT c_custkey, c_name, orders, spent, row_number() OVER (ORDER BY spent DESC, c_custkey) AS place FROM (
-  SELECT c_custkey, c_name, count(o_orderkey) AS orders, coalesce(sum(cast(round(o_totalprice * 100) AS BIGINT)), 0)::BIGINT AS spent
-  FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2)
-ORDER BY spent DESC, c_custkey LIMIT 100
-""")
-def leaderboard(spark, d):
-    """Customers by cents spent; the orders are aggregated before the join."""
-    spent = load(spark, d, "orders").groupBy("o_custkey").agg(F.count("o_orderkey").alias("orders"), F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("spent"))
-    all_ = load(spark, d, "customer").join(spent, F.col("c_custkey") == F.col("o_custkey"), "left")
-    top = all_.select("c_custkey", "c_name", F.coalesce("orders", F.lit(0)).alias("orders"), F.coalesce("spent", F.lit(0)).alias("spent")).orderBy(F.desc("spent"), "c_custkey").limit(100)
-    return top.withColumn("place", F.row_number().over(W.orderBy(F.desc("spent"), "c_custkey")).cast("long"))
+__all__ = ["QUERIES", "SQL"]
