@@ -1 +1,200 @@
-"""Queries."""
+"""Trust queries: batch and single composites, decay, aggregation of signals, ranking."""
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from weftline.functions.exprs import age_days, ratio
+from weftline.operators import trust as t
+from weftline.plans import model as m
+from weftline.plans.registry import load, query
+
+r4 = lambda c: F.round(c, 4)
+
+#: Components per entity: who is verified, the first order's age, linked accounts, the latest scan.
+_COMPONENTS = """
+WITH clk AS (SELECT max(epoch_us(o_orderdate)) AS now FROM orders),
+o AS (SELECT o_custkey AS id, min(epoch_us(o_orderdate)) AS first, max(epoch_us(o_orderdate)) AS last, arg_max(o_orderkey, (o_orderdate, o_orderkey)) % 101 AS scan,
+  avg(o_totalprice / 500000 * CASE o_orderstatus WHEN 'F' THEN 1.0 WHEN 'P' THEN 0.85 ELSE 0.25 END) AS external FROM orders GROUP BY 1),
+c AS (SELECT c_custkey AS id, c_custkey % 3 = 1 AS human, CASE WHEN c_mktsegment = 'MACHINERY' THEN 0.8 WHEN c_mktsegment = 'BUILDING' THEN 0.65 END AS modifier,
+  least((c_custkey % 2 = 0)::INT * 0.15::DOUBLE + (c_custkey % 3 <> 0)::INT * 0.30::DOUBLE + (c_custkey % 5 <> 0)::INT * 0.20::DOUBLE + (c_nationkey % 2 = 0)::INT * 0.25::DOUBLE, 1.0) AS verification,
+  least(greatest(coalesce((now - first) // 86400000000, 0), 0) / 365.0, 1.0) AS age, coalesce(external, 0.0) AS external, least(coalesce(scan, 0) / 100.0, 1.0) AS scan, round(c_acctbal / 10000, 4) AS previous,
+  (now - last) // 86400000000 AS idle FROM customer LEFT JOIN o ON o.id = c_custkey, clk)
+"""
+
+
+def _components(spark, d):
+    """Aggregates per entity first, then one left join; the as-of time is a broadcast row."""
+    orders = load(spark, d, "orders").withColumn("us", F.unix_micros(F.col("o_orderdate").cast("timestamp")))
+    weight = F.when(F.col("o_orderstatus") == "F", 1.0).when(F.col("o_orderstatus") == "P", 0.85).otherwise(0.25)
+    o = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        F.min("us").alias("first"), F.max("us").alias("last"), F.max_by("o_orderkey", F.struct("us", "o_orderkey")).alias("latest"), F.avg(F.col("o_totalprice") / 500000 * weight).alias("external")
+    )
+    now = orders.agg(F.max("us").alias("now"))
+    c = load(spark, d, "customer").join(o, "c_custkey", "left").crossJoin(F.broadcast(now))
+    key = F.col("c_custkey")
+    modifier = F.when(F.col("c_mktsegment") == "MACHINERY", 0.8).when(F.col("c_mktsegment") == "BUILDING", 0.65)
+    bio = F.when(key % 5 != 0, F.col("c_name")).otherwise(" ")
+    return c.select(
+        key.alias("id"), (key % 3 == 1).alias("human"), modifier.alias("modifier"), t.verification(key % 2 == 0, key % 3 != 0, bio, F.col("c_nationkey") % 2 == 0).alias("verification"),
+        t.age(F.coalesce(age_days(F.col("first"), F.col("now")), F.lit(0))).alias("age"), F.coalesce("external", F.lit(0.0)).alias("external"),
+        F.least(F.coalesce(F.col("latest") % 101, F.lit(0)) / 100.0, F.lit(1.0)).alias("scan"), r4(F.col("c_acctbal") / 10000).alias("previous"), age_days(F.col("last"), F.col("now")).alias("idle"),
+        F.lit(0.0).alias("activity"), F.lit(0.0).alias("reputation"), F.lit(0.0).alias("community"),
+    )
+
+
+@query(_COMPONENTS + "SELECT id, round((0.35 * verification + 0.10 * age + 0.35 * external + 0.20 * scan) * coalesce(modifier, 1.0), 4) AS score FROM c")
+def trust_batch(spark, d):
+    return _components(spark, d).select("id", r4(t.composite("batch", modifier=F.col("modifier"))).alias("score"))
+
+
+@query(_COMPONENTS + """
+SELECT id, round(CASE WHEN previous > 0 THEN greatest(s, previous * 0.8) ELSE s END, 4) AS score FROM (SELECT id, previous,
+(0.35 * verification + 0.10 * age + 0.35 * external + CASE WHEN human THEN 0.10 * verification + 0.10 * external ELSE 0.20 * scan END) * coalesce(modifier, 1.0) AS s FROM c)
+""")
+def trust_single(spark, d):
+    return _components(spark, d).select("id", r4(t.composite("single", F.col("human"), F.col("modifier"), F.col("previous"))).alias("score"))
+
+
+@query(_COMPONENTS + "SELECT id, round(CASE WHEN idle <= 30 THEN previous WHEN idle <= 90 THEN previous * 0.75 ELSE previous * 0.625 END, 8) AS score FROM c")
+def recency_pass(spark, d):
+    """Scores of idle entities shrink; an entity that never acted counts as long idle."""
+    return _components(spark, d).select("id", F.round(t.with_recency(F.col("previous"), F.col("idle")), 8).alias("score"))
+
+
+@query(_COMPONENTS + "SELECT count(*) AS processed, count(*) FILTER (WHERE abs(s - previous) > 0.1) AS changed, round(avg(s), 6) AS mean FROM (SELECT previous, round((0.35 * verification + 0.10 * age + 0.35 * external + 0.20 * scan) * coalesce(modifier, 1.0), 4) AS s FROM c)")
+def recompute_summary(spark, d):
+    s = _components(spark, d).withColumn("s", r4(t.composite("batch", modifier=F.col("modifier"))))
+    return s.agg(F.count(F.lit(1)).alias("processed"), F.count_if(F.abs(F.col("s") - F.col("previous")) > 0.1).alias("changed"), F.round(F.avg("s"), 6).alias("mean"))
+
+
+@query(_COMPONENTS + """
+SELECT id, component, round(weighted, 6) AS weighted, round(gain, 6) AS gain FROM (SELECT id, 'verification' AS component, 0.35 * verification AS weighted, (1 - verification) * 0.35 AS gain FROM c UNION ALL SELECT id, 'age', 0.10 * age, (1 - age) * 0.10 FROM c
+UNION ALL SELECT id, 'external', 0.35 * external, (1 - external) * 0.35 FROM c UNION ALL SELECT id, 'scan', 0.20 * scan, (1 - scan) * 0.20 FROM c) WHERE gain > 0.001
+""")
+def trust_improvements(spark, d):
+    """Each component's share of the score and what it could still add; components of no weight have no gain."""
+    names = [n for n, w in t.WEIGHTS.items() if w > 0]
+    parts = F.array(*[F.struct(F.lit(n).alias("component"), (F.col(n) * t.WEIGHTS[n]).alias("weighted"), ((1 - F.col(n)) * t.WEIGHTS[n]).alias("gain")) for n in names])
+    return _components(spark, d).select("id", F.explode(parts).alias("p")).where("p.gain > 0.001").select("id", "p.component", F.round("p.weighted", 6).alias("weighted"), F.round("p.gain", 6).alias("gain"))
+
+
+@query(m.SQL + """
+, k AS (SELECT *, coalesce(weight, 0.5) * CASE WHEN (now + 4320000000000 - us) // 86400000000 > 180 THEN 0.25 WHEN (now + 4320000000000 - us) // 86400000000 > 90 THEN 0.5 ELSE 1.0 END AS w FROM (
+SELECT *, row_number() OVER (PARTITION BY target, attester ORDER BY us, event_id) AS p FROM attestations), clock WHERE p <= 10)
+SELECT target, round(avg(w), 10) AS community, round(avg(w) FILTER (WHERE context = 'code'), 10) AS code FROM k GROUP BY 1
+""")
+def community_decay(spark, d):
+    """Capped, decayed attestation weights seen 50 days after the last event, overall and for one context."""
+    a = m.attestations(spark, d).crossJoin(F.broadcast(m.now(spark, d)))
+    c = t.community(a, F.col("now") + 50 * 86_400_000_000)
+    return c.select("target", F.round("community", 10).alias("community"), F.round(F.try_element_at("contexts", F.lit("code")), 10).alias("code"))
+
+
+@query(m.SQL + """
+, k AS (SELECT target, context, avg(weight) AS w, count(*) AS n FROM attestations GROUP BY ALL), s AS (SELECT target, arg_max(context, (n, context)) AS primary_context, max(w) FILTER (WHERE context = 'data') AS data FROM k GROUP BY 1)
+SELECT id, primary_context, round(CASE WHEN data IS NULL THEN balance / 10000 ELSE 0.7 * balance / 10000 + 0.3 * data END, 6) AS blended FROM entities LEFT JOIN s ON target = id WHERE id < 150
+""")
+def contextual_blend(spark, d):
+    """Base score blended with one context's score where there is one; the primary context is the most frequent."""
+    k = m.attestations(spark, d).groupBy("target", "context").agg(F.avg("weight").alias("w"), F.count(F.lit(1)).alias("n"))
+    s = k.groupBy(F.col("target").alias("id")).agg(F.max_by("context", F.struct("n", "context")).alias("primary_context"), F.max(F.when(F.col("context") == "data", F.col("w"))).alias("data"))
+    e = m.entities(spark, d).where("id < 150").join(s, "id", "left")
+    return e.select("id", "primary_context", F.round(t.blend(F.col("balance") / 10000, F.col("data")), 6).alias("blended"))
+
+
+_SIGNALS = m.SQL + """
+, sig AS (SELECT k AS subject, CASE event_id % 5 WHEN 0 THEN 'identity' WHEN 1 THEN 'authority' WHEN 2 THEN 'continuity' WHEN 3 THEN 'transport' END AS claim, CASE WHEN event_id % 3 <> 0 THEN user_id % 6 END AS provider,
+(value - 40) / 100 AS raw, (now - us) / 1000000.0 / 100 AS age, 20000 AS ttl, CASE WHEN event_id % 5 = 4 THEN 0.2::DOUBLE END AS cap FROM ev, clock WHERE event_type IN ('view', 'error'))
+"""
+
+
+@query(_SIGNALS + """
+, live AS (SELECT *, coalesce(cap, CASE claim WHEN 'identity' THEN 0.60::DOUBLE WHEN 'authority' THEN 0.25::DOUBLE WHEN 'continuity' THEN 0.15::DOUBLE WHEN 'transport' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END) AS c,
+ greatest(max(raw) OVER g - raw, raw - min(raw) OVER g) AS spread FROM sig WHERE age <= ttl WINDOW g AS (PARTITION BY subject, claim, provider)),
+dv AS (SELECT subject, count(DISTINCT provider) AS p FROM live GROUP BY 1),
+w AS (SELECT subject, c, claim IS NOT NULL AND provider IS NOT NULL AND spread > 0.30 AS contested, greatest(least(raw, c), -c) * CASE WHEN age <= 0 THEN 1 ELSE exp(-age / 86400) END *
+ CASE WHEN provider IS NULL THEN 1.0 WHEN p >= 4 THEN 1.0 WHEN p >= 2 THEN 0.9 WHEN p = 1 THEN 0.7 ELSE 1.0 END AS v FROM live JOIN dv USING (subject))
+SELECT subject, count(*) AS signals, count(*) FILTER (WHERE contested) AS contested, round(least(greatest(greatest(sum(round(CASE WHEN NOT contested THEN v WHEN v >= 0 THEN greatest(v, 0.5 * c) ELSE least(v, -0.5 * c) END, 4)), -0.20), 0.0), 1.0), 4) AS score FROM w GROUP BY 1
+""")
+def v2_aggregate(spark, d):
+    """Signals with caps, decay, provider diversity and conflicts, summed per subject."""
+    e = m.events(spark, d).where("event_type in ('view', 'error')").crossJoin(F.broadcast(m.now(spark, d)))
+    kind = F.col("event_id") % 5
+    claim = F.when(kind == 0, "identity").when(kind == 1, "authority").when(kind == 2, "continuity").when(kind == 3, "transport")
+    sig = e.select(
+        F.col("k").alias("subject"), claim.alias("claim"), F.when(F.col("event_id") % 3 != 0, F.col("user_id") % 6).alias("provider"), ((F.col("value") - 40) / 100).alias("raw"),
+        ((F.col("now") - F.col("us")) / 1_000_000.0 / 100).alias("age"), F.lit(20000).alias("ttl"), F.when(kind == 4, 0.2).alias("cap"),
+    )
+    return t.aggregate_signals(sig)
+
+
+@query(m.SQL + """
+, c AS (SELECT target AS subject, CASE context WHEN 'code' THEN 'identity' WHEN 'data' THEN 'authority' ELSE 'continuity' END AS claim, count(*) AS n, count(DISTINCT attester % 4) AS p FROM attestations WHERE attester < 40 GROUP BY ALL)
+SELECT subject, round(least(sum(CASE claim WHEN 'identity' THEN 0.60::DOUBLE WHEN 'authority' THEN 0.25::DOUBLE ELSE 0.15::DOUBLE END * least(least(0.5 + (p - 1) * 0.25, 1.0) + CASE WHEN n > 1 THEN least(log10(n + 1.0::DOUBLE) / 10, 0.1) ELSE 0 END, 1.0)), 1.0), 4) AS score FROM c GROUP BY 1
+""")
+def chain_score(spark, d):
+    a = m.attestations(spark, d).where("attester < 40")
+    claim = F.when(F.col("context") == "code", "identity").when(F.col("context") == "data", "authority").otherwise("continuity")
+    return t.chain_score(a.select(F.col("target").alias("subject"), claim.alias("claim"), (F.col("attester") % 4).alias("provider")))
+
+
+@query("""
+SELECT s_suppkey, round(0.20 * least(ln(1 + stars) / ln(501.0::DOUBLE), 1) + 0.25 * least(ln(1 + followers + forks) / ln(201.0::DOUBLE), 1) + 0.20 * least(recent * 1.5, 1) + 0.15 * least(age / 1095.0, 1) + 0.20 * least(ln(1 + repos) / ln(101.0::DOUBLE), 1), 4) AS repository,
+round(CASE WHEN checks < 3 THEN 0 ELSE least(CASE WHEN up >= 99 THEN 0.8 WHEN up >= 95 THEN 0.6 WHEN up >= 90 THEN 0.4 WHEN up >= 80 THEN 0.2 ELSE 0 END + CASE WHEN ms < 200 THEN 0.2 WHEN ms < 500 THEN 0.1 ELSE 0 END, 1.0) END, 4)::DOUBLE AS endpoint
+FROM (SELECT s_suppkey, s_suppkey * 7 AS stars, s_suppkey % 90 AS followers, s_suppkey % 40 AS forks, (s_suppkey % 10) / 10.0 AS recent, s_suppkey * 13 AS age, s_suppkey % 120 AS repos, s_suppkey % 9 AS checks, 75 + s_suppkey % 26 AS up, (s_suppkey * 17) % 700 AS ms FROM supplier)
+""")
+def platform_reputation(spark, d):
+    """Reputation of a code-hosting account and of a monitored endpoint."""
+    k = F.col("s_suppkey")
+    repo = t.repository_reputation(k * 7, k % 40, k % 90, (k % 10) / 10.0, k * 13, k % 120)
+    return load(spark, d, "supplier").select("s_suppkey", r4(repo).alias("repository"), r4(t.endpoint_reputation(75 + k % 26, (k * 17) % 700, k % 9)).alias("endpoint"))
+
+
+@query("SELECT o_custkey AS id, round(coalesce(sum(w * s) / nullif(sum(w), 0), 0), 6) AS score FROM (SELECT o_custkey, CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.7 END AS w, o_totalprice / 500000 AS s FROM orders WHERE o_orderpriority <> '5-LOW') GROUP BY 1")
+def provider_merge(spark, d):
+    """Mean of error-free provider scores; those with a verified signature weigh 1, others 0.7."""
+    o = load(spark, d, "orders").where("o_orderpriority <> '5-LOW'")
+    w, s = F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.7), F.col("o_totalprice") / 500000
+    return o.groupBy(F.col("o_custkey").alias("id")).agg(F.round(ratio(F.sum(w * s), F.sum(w)), 6).alias("score"))
+
+
+@query("SELECT p_partkey, round(greatest(log10(p_partkey + 1.0::DOUBLE) / 5, log10(p_size * 100 + 1.0::DOUBLE) / 6, log10(p_size + 1.0::DOUBLE) / 4, 0), 4) AS score FROM part")
+def import_score(spark, d):
+    """First external score of an imported entity, from community signals."""
+    return load(spark, d, "part").select("p_partkey", r4(t.source_reputation(F.col("p_partkey"), F.col("p_size") * 100, F.col("p_size"), F.lit(None).cast("int"))).alias("score"))
+
+
+@query(m.SQL + """
+, h AS (SELECT event_id, user_id, least(value / 100, 1.0) AS s, least(value / 100, 1.0) - lag(least(value / 100, 1.0)) OVER (PARTITION BY user_id ORDER BY us, event_id) AS step FROM ev WHERE event_type = 'view')
+SELECT event_id, user_id, round(step, 6) AS step, CASE WHEN abs(step) >= 0.25 THEN 'high' ELSE 'medium' END AS severity FROM h WHERE abs(step) >= 0.15
+""")
+def score_velocity(spark, d):
+    """Steps of a score history of at least 0.15."""
+    v = m.events(spark, d).where("event_type = 'view'").withColumn("s", F.least(F.col("value") / 100, F.lit(1.0)))
+    v = v.withColumn("step", F.col("s") - F.lag("s").over(W.partitionBy("user_id").orderBy("us", "event_id"))).where(F.abs("step") >= 0.15)
+    return v.select("event_id", "user_id", F.round("step", 6).alias("step"), F.when(F.abs("step") >= 0.25, "high").otherwise("medium").alias("severity"))
+
+
+@query(m.SQL + """
+, p AS (SELECT post, count(*) FILTER (WHERE direction = 'up') - count(*) FILTER (WHERE direction = 'down') AS votes, max(us) AS us FROM votes GROUP BY 1)
+SELECT post, votes, round(votes + 3 * coalesce(balance / 10000, 0) + CASE WHEN h < 1 THEN 2.0 WHEN h < 6 THEN 1.0 WHEN h < 24 THEN 0.5 ELSE 0.0 END, 6) AS rank FROM (SELECT *, (now - us) / 3600000000.0 AS h FROM p, clock) LEFT JOIN entities ON id = post ORDER BY rank DESC, us DESC, post LIMIT 51
+""")
+def ranked_feed(spark, d):
+    """Votes, the author's trust and a recency boost; one row more than the page of 50."""
+    n = lambda v: F.count_if(F.col("direction") == v)
+    p = m.votes(spark, d).groupBy("post").agg((n("up") - n("down")).alias("votes"), F.max("us").alias("us")).crossJoin(F.broadcast(m.now(spark, d)))
+    h = (F.col("now") - F.col("us")) / 3_600_000_000.0
+    boost = F.when(h < 1, 2.0).when(h < 6, 1.0).when(h < 24, 0.5).otherwise(0.0)
+    e = m.entities(spark, d).select(F.col("id").alias("post"), "balance")
+    ranked = p.join(e, "post", "left").withColumn("rank", F.round(F.col("votes") + 3 * F.coalesce(F.col("balance") / 10000, F.lit(0.0)) + boost, 6))
+    return ranked.orderBy(F.desc("rank"), F.desc("us"), "post").limit(51).select("post", "votes", "rank")
+
+
+@query(m.SQL + "SELECT event_id, round(exp(-0.5 * greatest((now - us) / 3600000000.0, 0)) * CASE user_id % 4 WHEN 1 THEN 3.0 WHEN 2 THEN 2.0 ELSE 1.0 END + CASE WHEN k % 7 = 0 THEN 0.5 ELSE 0 END + least(1.0, value / 100), 6) AS urgency FROM ev, clock WHERE event_type = 'click'")
+def reply_urgency(spark, d):
+    """Time decay by priority tier, plus relevance and capped engagement."""
+    e = m.events(spark, d).where("event_type = 'click'").crossJoin(F.broadcast(m.now(spark, d)))
+    hours = F.greatest((F.col("now") - F.col("us")) / 3_600_000_000.0, F.lit(0.0))
+    tier = F.when(F.col("user_id") % 4 == 1, 3.0).when(F.col("user_id") % 4 == 2, 2.0).otherwise(1.0)
+    urgency = F.exp(-0.5 * hours) * tier + F.when(F.col("k") % 7 == 0, 0.5).otherwise(0.0) + F.least(F.lit(1.0), F.col("value") / 100)
+    return e.select("event_id", F.round(urgency, 6).alias("urgency"))
