@@ -4,17 +4,20 @@ A document is the set of its word n-grams. Two documents link when their Jaccard
 threshold, exactly. The product of the incidence matrix with its transpose is never formed as a whole:
 
 1. Equal sets become one row of the matrix, named by a 64-bit digest of the set together with its size.
-2. The threshold bounds how many n-grams two linked sets of given sizes can differ in. The columns are dealt
-   by hash into more blocks than that bound, so linked sets agree on some whole block. Rows that agree on a
-   block are joined into families; all other pairs are below the size-derived bound and are discarded unseen.
-   A block key is local to a row, so a passage that many documents share makes no group by itself.
-3. Inside a family the product is accumulated over blocks of rows and blocks of columns. Before it, pairs whose
-   sizes alone exclude a link are dropped; after each block of columns, those whose overlap so far plus what
-   their sizes leave is below the bound. Each pair of row blocks is a task of bounded memory.
+2. A set of size n can only link with sets that share ceil(t n) of its columns, so under any one order of the columns
+   linked sets share a column among the first n - ceil(t n) + 1 of each. The order puts rare columns first: counts
+   come from a table of fixed size that all columns are hashed into, so it can be sent to every task whatever the
+   corpus, and a collision can only make the order less sharp. Columns that many documents share come last and pair
+   nobody. The rows of an early column with few rows are paired where their sizes and the column's places leave
+   room for enough overlap; those of a column with many rows join one family. All other pairs are below their
+   size-derived bound and are discarded unseen.
+3. For the pairs, and inside each family, the product is accumulated over blocks of rows and blocks of columns.
+   Before it, pairs whose sizes alone exclude a link are dropped; after each block of columns, those whose overlap so
+   far plus what their sizes leave is below the bound. Each pair of row blocks is a task of bounded memory.
 4. The links' connected components give the classes.
 
-Rows of one key are joined to one representative inside each task before the shuffle, so a key shared by a third
-of the rows arrives as one row a task.
+The many rows of one column inside a task are joined to one representative before the shuffle, so a column shared by
+a third of the rows arrives as a few rows a task.
 """
 
 from __future__ import annotations
@@ -35,23 +38,9 @@ KEYS_A_BUCKET = 250_000
 BLOCK_BYTES, LEAST_BYTES, SPLITS = 8 << 20, 256 << 10, 16
 FILTER_BITS = 26
 COLUMNS = 4096
-
-
-def size_classes(percent: int, largest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Class bounds of set sizes, and for each class the number of blocks and of empty blocks to allow for.
-
-    Linked sets lie in one class or in adjacent ones; blocks[j] exceeds the most n-grams in which linked sets
-    of the classes j - 1 and j can differ by one more than empties[j].
-    """
-    bounds = [1]
-    while bounds[-1] <= largest:
-        bounds.append(bounds[-1] * 100 // percent + 1)
-    bounds += [bounds[-1] * 100 // percent + 1, (bounds[-1] * 100 // percent + 1) * 100 // percent + 1]
-    most = 2 * (np.array(bounds[1:], np.int64) - 1) * (100 - percent) // (100 + percent)
-    low = np.array([1, *bounds[:-2]], np.float64)
-    empty = (most + 1) * np.exp(-low / (most + 1))
-    slack = 1 + np.ceil(empty + 3 * np.sqrt(empty)).astype(np.int64)
-    return np.array(bounds, np.int64), np.where(most > 0, most + 1 + slack, 0), slack
+COUNT_BITS, COUNT_PARTS = 21, 64
+FEW = 8  # rows of a column that are paired one by one
+ENTRY = np.dtype([("key", "<u8"), ("name", "<u8"), ("size", "<u4"), ("place", "<u4")])
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,52 +51,80 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndar
     return hashes, at, digest
 
 
-def block_keys(hashes: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the column blocks of each set under the schemes of its size class and the next, and their rows."""
+def early_columns(hashes: np.ndarray, at: np.ndarray, names: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """Entries of the first n - ceil(t n) + 1 columns of each set of size n by (count, hash)."""
     sizes = np.diff(at)
-    bounds, blocks, slack = size_classes(percent, int(sizes.max(initial=1)))
-    kind = np.searchsorted(bounds, sizes, "right") - 1
-    keys, rows = [], []
-    for scheme in (kind, kind + 1):
-        count = np.where(sizes > 0, blocks[np.maximum(scheme, 0)], 0)
-        first = np.zeros(len(sizes) + 1, np.int64)
-        np.cumsum(count, out=first[1:])
-        row = np.repeat(np.arange(len(sizes)), sizes)
-        used = count[row] > 0
-        row, h = row[used], K.mix(hashes[used])
-        cell = first[row] + ((h >> U(32)) % count[row].astype(np.uint64)).astype(np.int64)
-        sums, full = np.zeros(first[-1], np.uint64), np.zeros(first[-1], bool)
-        np.add.at(sums, cell, h)
-        full[cell] = True
-        owner = np.repeat(np.arange(len(sizes)), count)
-        number = (np.arange(first[-1]) - first[owner]).astype(np.uint64)
-        hollow = np.bincount(owner[~full], minlength=len(sizes)) > slack[np.maximum(scheme, 0)]
-        give = full | hollow[owner]
-        key = K.mix(sums + K.mix((scheme[owner].astype(np.uint64) << U(32)) + number))
-        keys.append(key[give])
-        rows.append(owner[give])
-    return np.concatenate(keys), np.concatenate(rows)
-
-
-def _pack(keys: np.ndarray) -> bytes:
-    return keys.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def _unpack(blob: bytes) -> np.ndarray:
-    out = np.zeros((len(blob) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).ravel()
-
-
-def _pairs(keys: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted keys with one name each, and distinct (name, name) edges from a key's other names to that one."""
-    order = np.lexsort((names, keys))
-    keys, names = keys[order], names[order]
-    lead = np.ones(len(keys), bool)
-    lead[1:] = keys[1:] != keys[:-1]
-    head = names[np.flatnonzero(lead)[np.cumsum(lead) - 1]] if len(names) else names
-    other = names != head
-    return keys[lead], names[lead], np.unique(np.stack([names[other], head[other]], 1), axis=0)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    rank = (np.minimum(counts[hashes >> U(64 - COUNT_BITS)], 0xFFFFF).astype(np.uint64) << U(44)) | (hashes >> U(20))
+    order = K._sort_within(rank, row)
+    early = sizes - -(-sizes * percent // 100) + 1
+    place = np.arange(len(hashes)) - at[row]  # rows are ascending in the order too
+    first = place < early[row]
+    out = np.empty(int(first.sum()), ENTRY)
+    out["key"], out["name"], out["size"], out["place"] = hashes[order][first], names[row[first]], sizes[row[first]], place[first]
+    return out
+
+
+def column_counts(docs: DataFrame, n: int) -> np.ndarray:
+    """How many sets have a column of each hashed cell, for 2**COUNT_BITS cells."""
+    part = (1 << COUNT_BITS) // COUNT_PARTS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << COUNT_BITS, np.int64)
+        for batch in batches:
+            for c in K.chunks(batch.column(0)):
+                total += np.bincount((shingle_sets(c.data, c.offsets, n)[0] >> U(64 - COUNT_BITS)).astype(np.int64), minlength=len(total))
+        own = np.minimum(total, 0xFFFF).astype(np.uint16)
+        if own.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(COUNT_PARTS), pa.int32()), pa.array([own[k * part : (k + 1) * part].tobytes() for k in range(COUNT_PARTS)], pa.binary())], ["part", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums[k] = sums.get(k, 0) + np.frombuffer(blob, np.uint16).astype(np.int64)
+        for k, v in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.minimum(v, 0xFFFFFFFF).astype(np.uint32).tobytes()], pa.binary())], ["part", "counts"])
+
+    out = np.zeros((COUNT_PARTS, part), np.uint32)
+    summed = docs.select("text").mapInArrow(count, "part int, counts binary").repartition(COUNT_PARTS, "part").mapInArrow(add, "part int, counts binary")
+    for k, blob in summed.collect():
+        out[k] = np.frombuffer(blob, np.uint32)
+    return out.ravel()
+
+
+def by_column(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries sorted by column, whether each one's column has more than FEW or arrives as such (size 0), and its head."""
+    entries = entries[np.lexsort((entries["name"], entries["key"]))]
+    lead = np.ones(len(entries), bool)
+    lead[1:] = entries["key"][1:] != entries["key"][:-1]
+    start = np.flatnonzero(lead)
+    run = np.cumsum(lead) - 1
+    count = np.diff(np.append(start, len(entries)))
+    many = (count > FEW) | (np.add.reduceat(entries["size"] == 0, start) > 0 if len(start) else np.zeros(0, bool))
+    return entries, many[run], start[run]
+
+
+def star(entries: np.ndarray, many: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """Distinct edges from the rows of crowded columns to the column's first row."""
+    names = entries["name"]
+    edges = np.stack([names[many], names[head[many]]], 1)
+    return np.unique(edges[edges[:, 0] != edges[:, 1]], axis=0)
+
+
+def near_pairs(entries: np.ndarray, percent: int) -> np.ndarray:
+    """Distinct pairs of rows of the same column whose sizes and places leave room for enough overlap."""
+    found = [np.zeros((0, 2), np.uint64)]
+    for step in range(1, FEW):
+        x, y = entries[:-step], entries[step:]
+        same = (x["key"] == y["key"]) & (x["name"] != y["name"])
+        x, y = x[same], y[same]
+        n, m = x["size"].astype(np.int64), y["size"].astype(np.int64)
+        need = -(-(n + m) * percent // (100 + percent))
+        room = np.minimum(n - x["place"], m - y["place"]) >= need
+        pair = np.sort(np.stack([x["name"][room], y["name"][room]], 1).view(np.int64), axis=1)
+        found.append(pair.view(np.uint64))
+    return np.unique(np.concatenate(found), axis=0)
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
@@ -134,7 +151,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     linked = rows.where("id is not null and n > 0")
     sets = stash(linked.groupBy("digest", "n").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")), "classes")
     total = sets.agg(F.sum("n")).first()[0] or 0
-    bits = max(3, int(np.ceil(np.log2(max(1, 0.6 * total * (100 - percent) / 20 / KEYS_A_BUCKET)))))
+    bits = max(3, int(np.ceil(np.log2(max(1, total * (100 - percent) / 100 / KEYS_A_BUCKET)))))
+    counts = spark.sparkContext.broadcast(column_counts(docs, n))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -148,34 +166,34 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 seen.update(digest[fresh].tolist())
                 keep = np.repeat(fresh, np.diff(at))
                 at = np.concatenate([[0], np.cumsum(np.where(fresh, np.diff(at), 0))])
-                keys, row = block_keys(hashes[keep], at, percent)
-                keys, names, edges = _pairs(keys, digest[row])
-                cut = np.searchsorted(keys >> U(64 - bits), np.arange(1 << bits, dtype=np.uint64))
-                cut = np.append(cut, len(keys))
+                entries, many, head = by_column(early_columns(hashes[keep], at, digest, counts.value, percent))
+                edges = star(entries, many, head)
+                crowd = entries[many & (head == np.arange(len(entries)))]
+                crowd["size"] = 0
+                entries = np.concatenate([entries[~many], crowd])
+                entries = entries[np.argsort(entries["key"])]
+                cut = np.append(np.searchsorted(entries["key"] >> U(64 - bits), np.arange(1 << bits, dtype=np.uint64)), len(entries))
                 some = np.flatnonzero(np.diff(cut))
-                out = [some.tolist(), [_pack(keys[cut[b] : cut[b + 1]]) for b in some], [names[cut[b] : cut[b + 1]].tobytes() for b in some]]
+                place, blobs, kinds = some.tolist(), [entries[cut[b] : cut[b + 1]].tobytes() for b in some], [0] * len(some)
                 if len(edges):
-                    out[0].append(int(edges[0, 0] % (1 << bits)))
-                    out[1].append(b"")
-                    out[2].append(edges.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], ["bucket", "keys", "names"])
+                    place, blobs, kinds = [*place, int(edges[0, 0] % (1 << bits))], [*blobs, edges.tobytes()], [*kinds, 1]
+                yield pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "kind", "blob"])
 
     def meet(table: pa.Table) -> pa.Table:
-        edges = [np.zeros((0, 2), np.uint64)]
-        keys, names = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-        for k, v in zip(table["keys"].to_pylist(), table["names"].to_pylist(), strict=True):
-            if k:
-                keys.append(_unpack(k))
-                names.append(np.frombuffer(v, np.uint64))
-            else:
-                edges.append(np.frombuffer(v, np.uint64).reshape(-1, 2))
-        edges.append(_pairs(np.concatenate(keys), np.concatenate(names))[2])
-        both = np.unique(np.concatenate(edges), axis=0).view(np.int64)
-        return pa.table({"a": both[:, 0].copy(), "b": both[:, 1].copy()})
-
-    agree = docs.mapInArrow(keyed, "bucket int, keys binary, names binary").groupBy("bucket").applyInArrow(meet, "a long, b long")
-    family = connected_components(agree).select(F.col("vertex").alias("digest"), F.col("component").alias("family"))
-    links = _links(docs, sets, family, n, percent)
+        kinds, blobs = table["kind"].to_pylist(), table["blob"].to_pylist()
+        entries, many, head = by_column(np.concatenate([np.zeros(0, ENTRY), *(np.frombuffer(b, ENTRY) for k, b in zip(kinds, blobs, strict=True) if k == 0)]))
+        edges = [np.frombuffer(b, np.uint64).reshape(-1, 2) for k, b in zip(kinds, blobs, strict=True) if k == 1]
+        edges = np.unique(np.concatenate([*edges, star(entries, many, head)]), axis=0)
+        pairs = near_pairs(entries[~many], percent)
+        both = np.concatenate([edges, pairs]).view(np.int64)
+        return pa.table({"a": both[:, 0].copy(), "b": both[:, 1].copy(), "crowded": np.arange(len(both)) < len(edges)})
+
+    met = stash(docs.mapInArrow(keyed, "bucket int, kind int, blob binary").groupBy("bucket").applyInArrow(meet, "a long, b long, crowded boolean"), "met")
+    family = connected_components(met.where("crowded").select("a", "b")).select(F.col("vertex").alias("digest"), F.col("component").alias("family"))
+    home = lambda c: family.select(F.col("digest").alias(c), F.col("family").alias(f"f_{c}"))
+    pairs = met.where("not crowded").select("a", "b").distinct().join(home("a"), "a", "left").join(home("b"), "b", "left")
+    pairs = stash(pairs.where("f_a is null or f_b is null or f_a <> f_b").select("a", "b"), "pairs")
+    links = _links(docs, sets, family, pairs, n, percent)
     joined = connected_components(links.where("a <> b").select("a", "b"))
     degree = links.groupBy(F.col("a").alias("digest")).agg(F.sum("links").alias("links"))
     named = sets.join(joined.withColumnRenamed("vertex", "digest"), "digest", "left").join(degree, "digest", "left")
@@ -187,18 +205,25 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.unionByName(alone)
 
 
-def _links(docs: DataFrame, sets: DataFrame, family: DataFrame, n: int, percent: int) -> DataFrame:
+def _links(docs: DataFrame, sets: DataFrame, family: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
     """Rows (a, b, links): b is a set in whose component a is (a itself where it has no link), links counts rows."""
     members = stash(sets.join(family, "digest").select("id", "digest", "n", "copies", "family"), "members")
     total = members.groupBy("family").agg((F.sum("n") * 8).alias("bytes"))
     splits = F.greatest(F.ceil(F.col("bytes") / BLOCK_BYTES), F.least(F.ceil(F.col("bytes") / LEAST_BYTES), F.lit(SPLITS))).cast("int")
     total = stash(total.select("family", splits.alias("splits"), "bytes"), "families")
-    few = max(1, int((total.where("splits = 1").agg(F.sum("bytes")).first()[0] or 0) / (1 << 20)))
     parts = total.select("family", "splits")
     members = members.join(parts, "family").withColumn("block", F.expr("cast(pmod(xxhash64(digest), splits) as int)"))
-    wanted = stash(members.select("id", "digest", "copies", "family", "splits", "block"), "wanted")
+    other = F.explode(F.sequence(F.lit(0), F.col("splits") - 1))
+    whole = members.withColumn("other", other).select("id", "digest", "copies", "family", (F.col("splits") == 1).alias("small"), "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    # a pair is a row of the star of its first set: that set is block 0, its partners are block 1
+    stars = pairs.select(F.col("a").alias("family"), F.col("b").alias("digest"), F.lit(1).alias("block"))
+    stars = stars.unionByName(pairs.select(F.col("a").alias("family"), F.col("a").alias("digest"), F.lit(0).alias("block")).distinct())
+    stars = stars.join(sets, "digest").select("id", "digest", "copies", "family", F.lit(True).alias("small"), "block", F.lit(0).alias("i"), F.lit(1).alias("j"))
+    wanted = stash(whole.unionByName(stars), "wanted")
+    in_pairs = pairs.select(F.col("b").alias("digest")).join(sets, "digest").agg(F.sum("n")).first()[0] or 0
+    few = max(1, ((total.where("splits = 1").agg(F.sum("bytes")).first()[0] or 0) + 8 * in_pairs) >> 20)
 
-    marked = docs.sparkSession.sparkContext.broadcast(_filter(wanted.select("id")))
+    marked = docs.sparkSession.sparkContext.broadcast(_filter(wanted.select("id").distinct()))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,9 +234,7 @@ def _links(docs: DataFrame, sets: DataFrame, family: DataFrame, n: int, percent:
                 yield pa.RecordBatch.from_arrays([batch.column(0)[c.rows], pa.array(digest.view(np.int64)), blobs], ["id", "digest", "grams"])
 
     rows = docs.where("id is not null and text is not null").mapInArrow(sets_of, "id long, digest long, grams binary").join(wanted, ["id", "digest"])
-    other = F.explode(F.sequence(F.lit(0), F.col("splits") - 1))
-    rows = rows.withColumn("other", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    rows = rows.withColumn("place", F.when(F.col("splits") == 1, F.pmod(F.xxhash64("family"), F.lit(few))).otherwise(F.col("family")))
+    rows = rows.withColumn("place", F.when(F.col("small"), F.pmod(F.xxhash64("family"), F.lit(few))).otherwise(F.col("family")))
 
     def product(table: pa.Table) -> pa.Table:
         order = np.argsort(table["family"].to_numpy(), kind="stable")
@@ -227,7 +250,7 @@ def _links(docs: DataFrame, sets: DataFrame, family: DataFrame, n: int, percent:
         found = np.concatenate(out)
         return pa.table({"a": found[:, 0].copy(), "b": found[:, 1].copy(), "links": found[:, 2].copy()})
 
-    rows = rows.select((F.col("splits") == 1).alias("small"), "place", "i", "j", "family", "digest", "copies", "block", "grams")
+    rows = rows.select("small", "place", "i", "j", "family", "digest", "copies", "block", "grams")
     found = stash(rows.groupBy("small", "place", "i", "j").applyInArrow(product, "a long, b long, links long"), "links")
     drop(wanted)
     return found
