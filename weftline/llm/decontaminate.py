@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import textkernel as K
 from weftline.llm.fm_index import FMIndex
+from weftline.llm.shared import row_type, unpacked, with_row
 
 SHARD = 8 << 20
 FOUND = "n_words long, n_hit long, item_ids array<string>, spans array<struct<start:long,end:long>>"
@@ -98,13 +99,14 @@ def _spans(data: np.ndarray, offsets: np.ndarray, w: K.Words, hit: np.ndarray) -
     return row, points[w.start[begins]] - base, points[w.end[ends]] - base
 
 
-def find_passages(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = 10, broadcast_bytes: int = 32 << 20) -> DataFrame:
+def find_passages(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = 10, broadcast_bytes: int = 32 << 20, cut: bool = False) -> DataFrame:
     """Occurrences of the benchmark's word windows in each document.
 
     Words are runs of ASCII letters and digits (A-Z lower-cased) and of other characters from U+0080; a window is
-    ``width`` consecutive words of an item, or all of an item's words where it has fewer. Returns the input's
+    ``width`` consecutive words of an item, or all of an item's words where it has fewer. Returns the other
     columns in a struct ``row`` with n_words, n_hit (words inside any occurrence), item_ids (distinct items with an
-    occurring window, as strings in order) and spans (merged runs of hit words, as code point offsets).
+    occurring window, as strings in order) and spans (merged runs of hit words, as code point offsets); with ``cut``
+    also the ``text`` without its spans.
 
     A null or empty text has no words; a null or wordless item has no window; an item without an id still marks
     its words but is not listed. Repeated documents and items are treated alike, each document by itself; texts are
@@ -115,8 +117,8 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     """
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text")).where("text is not null")
     parts = 1 + int(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // broadcast_bytes
-    out = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"), F.lit(None).cast("binary").alias("marks"), F.lit(None).cast("array<string>").alias("found"))
-    kept = out.select("row").schema["row"].dataType.simpleString()
+    out = with_row(docs, text_col).select("*", F.lit(None).cast("binary").alias("marks"), F.lit(None).cast("array<string>").alias("found"))
+    kept = row_type(out)
     for part in range(parts):
         chosen = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part) if parts > 1 else items
         wanted = docs.sparkSession.sparkContext.broadcast(phrases([tuple(r) for r in chosen.collect()], width))
@@ -140,9 +142,16 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                     pairs = pa.StructArray.from_arrays([pa.array(start), pa.array(end)], ["start", "end"])
                     spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(found) + 1)), pa.int32()), pairs)
                     counts = [pa.array(np.diff(w.first)), pa.array(total[w.first[1:]] - total[w.first[:-1]])]
-                    yield pa.RecordBatch.from_arrays([batch.column(0)[c.rows], *counts, items_, spans], ["row", "n_words", "n_hit", "item_ids", "spans"])
-
-        out = out.mapInArrow(scan, f"row {kept}, {FOUND}" if last else f"row {kept}, text string, marks binary, found array<string>")
+                    columns = [batch.column(0)[c.rows], *counts, items_, spans]
+                    if cut:
+                        texts = batch.column(1)[c.rows]
+                        if (bad := np.diff(spans.offsets.to_numpy()) > 0).any():
+                            new = [without_spans(texts[int(i)].as_py(), spans[int(i)].as_py()) for i in np.flatnonzero(bad)]
+                            texts = pa.compute.replace_with_mask(texts, pa.array(bad), pa.array(new, texts.type))
+                        columns.append(texts)
+                    yield pa.RecordBatch.from_arrays(columns, ["row", "n_words", "n_hit", "item_ids", "spans", *(["text"] if cut else [])])
+
+        out = out.mapInArrow(scan, f"row {kept}, {FOUND}" + ", text string" * cut if last else f"row {kept}, text string, marks binary, found array<string>")
     return out
 
 
@@ -160,21 +169,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
     Every row and column is kept; the text of a row without hits, and a null text, stays as it is.
     """
-    found = find_passages(docs, benchmark, text_col, **options).select("row", F.col(f"row.`{text_col}`").alias("text"), "spans")
-    kept = found.schema["row"].dataType.simpleString()
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hit = np.diff(batch.column(2).offsets.to_numpy()) > 0
-            text = batch.column(1)
-            if hit.any():
-                which = np.flatnonzero(hit)
-                new = pa.array([without_spans(text[int(i)].as_py(), batch.column(2)[int(i)].as_py()) for i in which], pa.string())
-                text = pa.compute.replace_with_mask(text, pa.array(hit), new)
-            yield pa.RecordBatch.from_arrays([batch.column(0), text], ["row", "text"])
-
-    out = found.mapInArrow(cut, f"row {kept}, text string")
-    return out.select(*(F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    return find_passages(docs, benchmark, text_col, cut=True, **options).select(unpacked(docs, text_col))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import textkernel as K
+from weftline.llm.shared import hash_sample, row_type, with_row
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_digits", "n_marks", "n_stops", "n_lines")
 
@@ -69,13 +70,13 @@ def text_counts(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 
 
 def text_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The input's columns in a struct ``row`` with the ``COUNTS`` of each whole text.
+    """The other columns in a struct ``row`` with the ``COUNTS`` of each whole text.
 
     Words are runs without white space (space, U+0009 to U+000D). word_chars: code points in words; n_symbols:
     characters of ``#*$%&|<>``; n_dup_lines: lines with a word equal to an earlier line; n_repeat_words: words in
     5-word windows that occur twice or more in the text, the first occurrence included. Null and empty texts count 0.
     """
-    kept = docs.select(F.struct("*").alias("row")).schema["row"].dataType.simpleString()
+    carried = with_row(docs, text_col)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,7 +84,7 @@ def text_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 values = text_counts(c.data, c.offsets)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[c.rows], *(pa.array(v.astype(np.int64)) for v in values)], ["row", *COUNTS])
 
-    return docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text")).mapInArrow(count, f"row {kept}, " + ", ".join(f"{c} long" for c in COUNTS))
+    return carried.mapInArrow(count, f"row {row_type(carried)}, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 class Condition(NamedTuple):
@@ -155,7 +156,7 @@ def verdict(rules: list[Rule]) -> Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 20000, **options) -> list[Rule]:
     """Learn rules for label 0 from at most ``sample`` labelled rows: those with the least hash of the id."""
     chosen = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).alias("label"))
-    chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(sample)
+    chosen = hash_sample(chosen, "id", sample)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("label", "text")
     got = text_stats(rows).select(F.col("row.label").alias("label"), *(c.alias(n) for n, c in features().items())).toArrow()
     x = {n: got[n].to_numpy() for n in features()}

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import textkernel as K
+from weftline.llm.shared import hash_sample, row_type, unpacked, with_row
 
 #: Fixed patterns of the base kinds, in their listed order, with the group and length that a match must have.
 BASE = (
@@ -88,9 +89,9 @@ def train(docs: DataFrame, text_col: str = "text", sample_docs: int = 500, sampl
     The sample is the ``sample_docs`` rows with the least hash of the text, whatever the order of the rows; words are
     runs of 2 to 20 ASCII letters outside base matches. Without any words a few common ones stand in.
     """
-    picked = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text")).orderBy(F.xxhash64("text"), "text").limit(sample_docs)
+    picked = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"))
     words: list[str] = []
-    for (text,) in picked.toLocalIterator():
+    for (text,) in hash_sample(picked, "text", sample_docs).toLocalIterator():
         for _, pattern, _, _ in BASE:
             text = pattern.sub(" ", text)
         words += re.findall(r"(?<![\w+/=-])[A-Za-z]{2,20}(?![\w+/=-])", text, re.A)
@@ -141,29 +142,47 @@ def _candidates(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.unique(rows)
 
 
-def find_secrets(docs: DataFrame, text_col: str = "text", threshold: float = 0.6, model: Markov | None = None) -> DataFrame:
-    """The input's columns in a struct ``row``, and ``secrets``: an array of (kind, start, end) by start, then kind.
+def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
+    """The text with each span replaced by its kind in angle brackets; overlapping spans become one."""
+    at, out = 0, []
+    for start, end, kind in spans:
+        if end <= at:
+            continue
+        if start >= at:
+            out += [text[at:start], f"<{KINDS[kind]}>"]
+        at = end
+    return "".join([*out, text[at:]])
+
+
+def find_secrets(docs: DataFrame, text_col: str = "text", threshold: float = 0.6, model: Markov | None = None, cut: bool = False) -> DataFrame:
+    """The other columns in a struct ``row``, and ``secrets``: an array of (kind, start, end) by start, then kind.
 
     Base kinds are fixed patterns. The method adds ``random``: tokens of 20 or more characters that have a digit and
     another character, overlap no base span, and are likelier as random strings than as ordinary identifiers by more
-    than ``threshold`` a character. Null and empty texts have none. Texts are scanned whole, each row by itself, so
-    repeated rows and clashing column names need no care; an empty table gives an empty table.
+    than ``threshold`` a character. Null and empty texts have none. With ``cut`` the ``text`` is returned too, with
+    each secret replaced by its kind. Texts are scanned whole, each row by itself, so repeated rows and clashing
+    column names need no care; an empty table gives an empty table.
     """
-    model = docs.sparkSession.sparkContext.broadcast(model or train(docs, text_col))
-    kept = docs.select(F.struct("*").alias("row")).schema["row"].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(model or train(docs, text_col))
+    carried = with_row(docs, text_col)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in K.chunks(batch.column(1)):
                 texts = batch.column(1)[c.rows]
                 found: list[list] = [[]] * len(texts)
+                hit, new = np.zeros(len(texts), bool), []
                 for i in _candidates(c.data, c.offsets).tolist():
-                    if i < len(found):
-                        found[i] = [{"kind": KINDS[k], "start": a, "end": b} for a, b, k in spans_of(texts[i].as_py() or "", model.value, threshold)]
-                spans = pa.array(found, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[c.rows], spans], ["row", "secrets"])
+                    if i < len(found) and (spans := spans_of(text := texts[i].as_py() or "", shared.value, threshold)):
+                        found[i] = [{"kind": KINDS[k], "start": a, "end": b} for a, b, k in spans]
+                        hit[i] = True
+                        new.append(redacted(text, spans) if cut else None)
+                secrets = pa.array(found, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))
+                if cut and new:
+                    texts = pa.compute.replace_with_mask(texts, pa.array(hit), pa.array(new, texts.type))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[c.rows], secrets, *([texts] if cut else [])], ["row", "secrets", *(["text"] if cut else [])])
 
-    return docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text")).mapInArrow(scan, f"row {kept}, secrets array<struct<kind:string,start:long,end:long>>")
+    return carried.mapInArrow(scan, f"row {row_type(carried)}, secrets array<struct<kind:string,start:long,end:long>>" + (", text string" if cut else ""))
 
 
 def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -177,27 +196,5 @@ def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def redact(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The documents with each secret replaced by its kind in angle brackets; overlapping spans become one."""
-    found = find_secrets(docs, text_col, **options)
-    kept = found.schema["row"].dataType.simpleString()
-    found = found.select("row", F.col(f"row.`{text_col}`").alias("text"), "secrets")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hit = np.diff(batch.column(2).offsets.to_numpy()) > 0
-            text, new = batch.column(1), []
-            for i in np.flatnonzero(hit).tolist():
-                old, at, out = text[i].as_py(), 0, []
-                for s in batch.column(2)[i].as_py():
-                    if s["end"] <= at:
-                        continue
-                    if s["start"] >= at:
-                        out += [old[at : s["start"]], f"<{s['kind']}>"]
-                    at = s["end"]
-                new.append("".join([*out, old[at:]]))
-            if new:
-                text = pa.compute.replace_with_mask(text, pa.array(hit), pa.array(new, text.type))
-            yield pa.RecordBatch.from_arrays([batch.column(0), text], ["row", "text"])
-
-    out = found.mapInArrow(cut, f"row {kept}, text string")
-    return out.select(*(F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    """The documents with each secret replaced by its kind in angle brackets; all rows and columns stay."""
+    return find_secrets(docs, text_col, cut=True, **options).select(unpacked(docs, text_col))

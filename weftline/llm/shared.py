@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,3 +39,30 @@ def drop(df: DataFrame) -> None:
             continue
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
+
+
+def with_row(docs: DataFrame, text_col: str) -> DataFrame:
+    """``text`` beside all other columns in a struct ``row``, whose names cannot clash with an operator's own."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    return docs.select(F.struct(*others or [F.lit(None).cast("int").alias("_")]).alias("row"), F.col(text_col).alias("text"))
+
+
+def row_type(carried: DataFrame) -> str:
+    return carried.schema["row"].dataType.simpleString()
+
+
+def unpacked(docs: DataFrame, text_col: str) -> list[Column]:
+    """The columns of ``docs`` again from ``row`` and ``text``."""
+    return [F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+
+
+def hash_sample(df: DataFrame, by: str, limit: int) -> DataFrame:
+    """At most ``limit`` rows: those with the least hash of ``by``, whatever the order and partitions of the rows.
+
+    Only rows below a hash bound that leaves about twice the limit are sorted, so no task gets more than that.
+    """
+    total = df.count()
+    hashed = F.shiftrightunsigned(F.xxhash64(by), 1)
+    if total > 4 * limit:
+        df = df.where(hashed < int(2**63 * (2 * limit + 200) / total))
+    return df.orderBy(hashed, by).limit(limit)

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.shared import hash_sample, row_type, unpacked, with_row
+
 #: Look-alikes of Latin letters in Greek and Cyrillic, and substitutes of letters by digits and signs.
 HOMOGLYPHS = dict(zip("авсԁеһіјкӏмнорԛгѕтѵԝхуѐёїαβεηικνορτυχγωι", "abcdehijklmhopqrstvwxyeeiabehikvoptuxywi", strict=True))
 SUBSTITUTES = dict(zip("013456789@$!|+", "oieasgtbgasiit", strict=True))
@@ -141,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     stand mostly in other texts join the exceptions. The score is a logistic function of the weight found and its density.
     """
     chosen = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).alias("label"))
-    chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(sample)
+    chosen = hash_sample(chosen, "id", sample)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("label", F.coalesce("text", F.lit("")).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,25 +183,32 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return Lexicon(weights, folded, fit)
 
 
-def toxicity(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFrame:
-    """The input's columns in a struct ``row`` and ``score``, from 0 to 1.
+def toxicity(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", below: float | None = None) -> DataFrame:
+    """The other columns in a struct ``row`` and ``score``, from 0 to 1; with ``below`` only such rows, with their ``text``.
 
     Texts are folded and matched whole; a null or empty text scores as one without lexicon words. Each row is scored
     by its text alone, so repeated rows score alike and clashing column names need no care.
     """
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
-    kept = docs.select(F.struct("*").alias("row")).schema["row"].dataType.simpleString()
+    carried = with_row(docs, text_col)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(shared.value)
-        for batch in batches:
-            total, size = np.zeros(len(batch)), np.zeros(len(batch), np.int64)
-            for i, value in enumerate(batch.column(1)):
-                text = value.as_py() or ""
-                total[i], size[i] = matcher.total(fold(text)), _size(text)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_score(shared.value.fit, _inputs(total, size)))], ["row", "score"])
-
-    return docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text")).mapInArrow(score, f"row {kept}, score double")
+        for whole in batches:
+            for at in range(0, len(whole), 1000):
+                batch = whole.slice(at, 1000)
+                total, size = np.zeros(len(batch)), np.zeros(len(batch), np.int64)
+                for i, value in enumerate(batch.column(1)):
+                    text = value.as_py() or ""
+                    total[i], size[i] = matcher.total(fold(text)), _size(text)
+                scores = _score(shared.value.fit, _inputs(total, size))
+                if below is None:
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], ["row", "score"])
+                else:
+                    batch, scores = batch.filter(pa.array(scores < below)), scores[scores < below]
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], ["row", "text", "score"])
+
+    return carried.mapInArrow(score, f"row {row_type(carried)}, " + ("score double" if below is None else "text string, score double"))
 
 
 def held_out(id_col: str) -> F.Column:
@@ -210,7 +219,7 @@ def held_out(id_col: str) -> F.Column:
 def toxic_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, **options) -> DataFrame:
     """Per document: the id, held_out, score, predicted; learned from the labels outside the held-out fold."""
     lexicon = train(docs.select(id_col, text_col), labels.where(~held_out(id_col)), id_col, text_col, **options)
-    scored = toxicity(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), lexicon)
+    scored = toxicity(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), lexicon, "text")
     out = scored.select(F.col("row.id").alias(id_col), "score")
     return out.select(id_col, held_out(id_col).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
@@ -218,5 +227,4 @@ def toxic_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 def reject_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", threshold: float = 0.7, **options) -> DataFrame:
     """The documents that score below the threshold, with all their columns."""
     lexicon = train(docs, labels.where(~held_out("doc_id")), text_col=text_col, **options)
-    kept = toxicity(docs, lexicon, text_col).where(F.col("score") < threshold)
-    return kept.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    return toxicity(docs, lexicon, text_col, below=threshold).select(unpacked(docs, text_col))
