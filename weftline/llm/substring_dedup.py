@@ -87,15 +87,18 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return spans.select(F.col("id").alias(id_col), F.col("start").cast("long"), F.col("end").cast("long"), "n_words", "n_units", "kept.kept_doc_id", F.col("kept.kept_start").cast("long").alias("kept_start"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with the repeated spans cut out of the texts and listed, with original offsets, in ``removed``.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", removed_col: str = "removed", **options) -> DataFrame:
+    """``docs`` with the repeated spans cut out of the texts and listed, with original offsets, in ``removed_col``.
 
-    All rows and columns are kept; null texts and rows without an id stay as they are.
+    All rows and columns are kept; null texts and rows without an id stay as they are. A column that is already named
+    ``removed_col`` is replaced.
     """
-    spans = repeated_spans(docs, id_col, text_col, **options).groupBy(F.col(id_col).alias("_id")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
-    text, cuts = F.col(text_col), F.col("removed")
+    spans = repeated_spans(docs, id_col, text_col, **options).groupBy(F.col(id_col).alias("id")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts"))
+    carried = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(spans, "id", "left")
+    text, cuts = F.col("text"), F.col("cuts")
     starts = F.concat(F.array(F.lit(0).cast("long")), F.transform(cuts, lambda s: s["end"]))
     ends = F.concat(F.transform(cuts, lambda s: s["start"]), F.array(F.char_length(text).cast("long")))
     pieces = F.zip_with(starts, ends, lambda a, b: F.substring(text, (a + 1).cast("int"), (b - a).cast("int")))
     rest = F.when(cuts.isNull(), text).otherwise(F.array_join(pieces, ""))
-    return docs.join(spans, docs[id_col] == spans["_id"], "left").select(*(rest.alias(c) if c == text_col else docs[c] for c in docs.columns), "removed")
+    kept = [rest.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != removed_col]
+    return carried.select(*kept, cuts.alias(removed_col))
