@@ -132,7 +132,7 @@ def write_warc(pages: DataFrame, root: str, shard_bytes: int = 8 << 20, roll_byt
     facts = revisits.select("page_id", F.lit(0).alias("kind"), "refers_to", F.base64("digest").alias("url"), F.lit("").alias("html"))
     rows = pages.select("page_id", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("refers_to"), "url", "html").unionByName(facts)
     rows = rows.withColumn("bin", number).join(F.broadcast(bins), "bin").select("shard", "page_id", "kind", "refers_to", "url", "html")
-    rows = rows.repartition(count, "shard").sortWithinPartitions("shard", "page_id", "kind", "url", "html")
+    rows = rows.repartitionByRange(count, "shard").sortWithinPartitions("shard", "page_id", "kind", "url", "html")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         attempt, roll, known, done = uuid.uuid4().hex, None, (None, {}), []
