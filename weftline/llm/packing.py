@@ -17,6 +17,8 @@ from weftline.llm import textkernel as K
 
 U = np.uint64
 DIMENSIONS, BITS = 4, 8
+BIN_BITS = 16  # the curve's histogram has 2**BIN_BITS bins at most, whatever the input
+MOST_RANGES = 1 << 17
 #: Fixed value: how byte-level BPE files of this kind split texts before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: White space outside ASCII, as UTF-8: texts with any of these are tokenised as a whole.
@@ -50,8 +52,8 @@ def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def curve_position(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Hilbert positions of a chunk's rows: each word's hash gives a sign in each dimension; signs are averaged."""
+def curve_position(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hilbert positions of a chunk's rows, and hashes of their words: each word's hash gives a sign in each dimension; signs are averaged."""
     w = K.words(K.LOWER[data], offsets, K.SPACE)
     count = np.maximum(np.diff(w.first), 1)
     cells = np.empty((len(count), DIMENSIONS), np.int64)
@@ -59,7 +61,25 @@ def curve_position(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         ones = K.sums_by_row(((w.hashes >> U(11 * d)) & U(1)).astype(np.int64), w.first)
         mean = (2 * ones - np.diff(w.first)) / count
         cells[:, d] = np.clip((np.tanh(3 * mean) + 1) / 2 * (1 << BITS), 0, (1 << BITS) - 1)
-    return hilbert(cells, BITS)
+    return hilbert(cells, BITS), K.sums_by_row(w.hashes, w.first)
+
+
+def byte_histogram(docs: DataFrame, text_col: str) -> np.ndarray:
+    """Bytes of text (and some for each row) in each bin of the curve."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << BIN_BITS)
+        for batch in batches:
+            for c in K.chunks(batch.column(0)):
+                place = curve_position(c.data, c.offsets)[0] >> (DIMENSIONS * BITS - BIN_BITS)
+                total += np.bincount(place, np.diff(c.offsets) + 64, 1 << BIN_BITS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some].astype(np.int64))], ["bin", "bytes"])
+
+    got = docs.select(F.col(text_col).alias("text")).mapInArrow(measure, "bin int, bytes long").groupBy("bin").agg(F.sum("bytes").alias("bytes")).toArrow()
+    out = np.zeros(1 << BIN_BITS)
+    out[got["bin"].to_numpy()] = got["bytes"].to_numpy()
+    return out
 
 
 _PUNCTUATION, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
@@ -190,25 +210,38 @@ class Encoder:
         return np.unique(np.searchsorted(offsets, lead[hit], "right") - 1)
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = 1024, keep_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = 1024, keep_ids: bool = True, range_bytes: int = 64 << 20) -> DataFrame:
     """Pieces of tokenised documents, laid gaplessly into sequences of at most ``length`` tokens.
 
     A document is its token ids (``tokenizer`` is the path of a tokenizer file that all executors have), then id 0; a
     null or empty text is the id 0 alone. Documents are sorted by ranges of the Hilbert position of their hashed word
-    vectors, then by id and text, and each range is packed along the curve and cut freely. All sequences of a range
-    are full but the last tokens, which fill sequences of decreasing powers of two, so none needs padding.
+    vectors, then by id and text, and each range is packed along the curve and cut freely. The ranges are cut from an
+    exact histogram of the texts' bytes along the curve, so that they have about equal bytes, ``range_bytes`` at most
+    up to 2**17 ranges: long texts lie close together on the curve. All sequences of a range are full but the last
+    tokens, which fill sequences of decreasing powers of two, so none needs padding.
 
     Returns a row per piece: the id, start, length, ids_crc32 (of the ids as little-endian unsigned 32-bit integers),
     doc_tokens, sequence_id, offset, and with ``keep_ids`` the ids. Repeated rows are packed as often as they occur,
     rows without an id too; long texts are tokenised whole; other columns are not read. Only a sequence that is not
-    full yet is held across documents; equal positions are split by id, so copies spread over ranges.
+    full yet is held across documents; a bin of the curve that is larger than a range is split by a hash of id and
+    words, so near copies spread over ranges.
     """
+    sizes = byte_histogram(docs, text_col)
+    total = max(1, int(sizes.sum()))
+    ranges = min(MOST_RANGES, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // range_bytes)))
+    cuts = docs.sparkSession.sparkContext.broadcast((np.cumsum(sizes) - sizes, sizes))
     fields = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, own = cuts.value
         for batch in batches:
             for c in K.chunks(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0)[c.rows], batch.column(1)[c.rows], pa.array(curve_position(c.data, c.offsets))], ["id", "text", "curve"])
+                ids = batch.column(0)[c.rows]
+                curve, words = curve_position(c.data, c.offsets)
+                within = K.mix(K.mix(ids.fill_null(0).to_numpy().view(np.uint64)) + words) / 2.0**64
+                at = curve >> (DIMENSIONS * BITS - BIN_BITS)
+                part = np.minimum((before[at] + within * own[at]) * ranges / total, ranges - 1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([ids, batch.column(1)[c.rows], pa.array(curve), pa.array(part)], ["id", "text", "curve", "part"])
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, sequence = Encoder(tokenizer), TaskContext.get().partitionId() << 40
@@ -257,7 +290,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             held, fill, sequence = rest, fill - size, sequence + 1
         yield rows()
 
-    placed = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).mapInArrow(place, "id long, text string, curve long")
-    ranged = placed.repartitionByRange("curve", "id", F.xxhash64("text")).sortWithinPartitions("curve", "id", "text").select("id", "text")
+    placed = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).mapInArrow(place, "id long, text string, curve long, part int")
+    ranged = placed.repartitionById(ranges, F.col("part")).sortWithinPartitions("curve", "id", "text").select("id", "text")
     schema = "id long, " + ", ".join(f"{f} long" for f in fields) + (", ids array<int>" if keep_ids else "")
     return ranged.mapInArrow(lay, schema).withColumnRenamed("id", id_col)
