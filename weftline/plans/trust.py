@@ -92,14 +92,14 @@ def community_decay(spark, d):
 
 @query(m.SQL + """
 , k AS (SELECT target, context, avg(weight) AS w, count(*) AS n FROM attestations GROUP BY ALL), s AS (SELECT target, arg_max(context, (n, context)) AS primary_context, max(w) FILTER (WHERE context = 'data') AS data FROM k GROUP BY 1)
-SELECT id, primary_context, round(CASE WHEN data IS NULL THEN balance / 10000 ELSE 0.7 * balance / 10000 + 0.3 * data END, 6) AS blended FROM entities LEFT JOIN s ON target = id WHERE id < 150
+SELECT id, primary_context, round(CASE WHEN data IS NULL THEN balance / 10000 ELSE 0.7 * balance / 10000 + 0.3 * data END, 9) AS blended FROM entities LEFT JOIN s ON target = id WHERE id < 150
 """)
 def contextual_blend(spark, d):
     """Base score blended with one context's score where there is one; the primary context is the most frequent."""
     k = m.attestations(spark, d).groupBy("target", "context").agg(F.avg("weight").alias("w"), F.count(F.lit(1)).alias("n"))
     s = k.groupBy(F.col("target").alias("id")).agg(F.max_by("context", F.struct("n", "context")).alias("primary_context"), F.max(F.when(F.col("context") == "data", F.col("w"))).alias("data"))
     e = m.entities(spark, d).where("id < 150").join(s, "id", "left")
-    return e.select("id", "primary_context", F.round(t.blend(F.col("balance") / 10000, F.col("data")), 6).alias("blended"))
+    return e.select("id", "primary_context", F.round(t.blend(F.col("balance") / 10000, F.col("data")), 9).alias("blended"))
 
 
 _SIGNALS = m.SQL + """
