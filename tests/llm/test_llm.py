@@ -201,6 +201,28 @@ def test_substring_dedup(spark, corpus):
     assert substring_dedup.repeated_spans(frame(spark, [])).count() == 0
 
 
+def test_passages_set_inside_lines_are_found(spark):
+    """Without sentence ends or line ends of their own, beside other words each time: only windows can see them."""
+    rng = random.Random(31)
+    passages = [[f"P{i}q{k}" for k in range(n)] for i, n in enumerate((31, 34, 50, 79))]
+    filler = lambda: [f"f{rng.randrange(10**9)}" for _ in range(rng.randrange(5, 30))]
+    rows = [(10 * d + i, " ".join([*filler(), *(p if d else [x.lower() for x in p]), *filler()])) for i, p in enumerate(passages) for d in range(3)]
+    rows += [(90, " ".join(passages[3][:19])), (91, "x " + " ".join(passages[3][5:29])), (92, " ".join(["ha"] * 100))]
+    texts = dict(rows)
+    got = substring_dedup.repeated_spans(frame(spark, rows), windows=12).collect()
+    found = {r.doc_id: texts[r.doc_id][r.start : r.end].split() for r in got}
+    assert len(got) == len(found) and set(found) - {91, 92} == {10 * d + i for i in range(4) for d in (1, 2)}
+    for r in got:
+        words_, n = found[r.doc_id], len(found[r.doc_id])
+        assert n == r.n_words >= 20
+        if r.doc_id < 90:
+            p = passages[r.doc_id % 10]
+            assert n >= len(p) - 22 and r.kept_doc_id == r.doc_id % 10
+            assert words_ == p[(k := p.index(words_[0])) : k + n]
+    assert len(found[92]) > 99 - 12
+    assert substring_dedup.repeated_spans(frame(spark, rows)).where("doc_id <> 92").count() == 0
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows = [(i, f"http://h/{i}\r\nX: y", f"<p>{i % 7} é</p>" * (i % 50)) for i in range(200)] + [(500, None, None), (501, "u", ""), (502, "u", None), (None, "u", "<p>only</p>"), (None, "u", ""), (77, "again", "<p>77</p>"), (300, "big", "z" * 300000)]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, shard string")
