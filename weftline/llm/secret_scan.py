@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import textkernel as K
-from weftline.llm.shared import hash_sample, row_type, unpacked, with_row
+from weftline.llm.shared import drop, row_type, stash, unpacked, with_row
 
 #: Fixed patterns of the base kinds, in their listed order, with the group and length that a match must have.
 BASE = (
@@ -35,6 +35,7 @@ def _lut(chars: str) -> np.ndarray:
 
 
 _HEX, _SIGNS, _TOKEN, _DIGIT = _lut("0123456789abcdef"), _lut(":="), _lut(ALPHABET), _lut("0123456789")
+_LETTER, _WORD = _lut(ALPHABET[:52]), _lut(ALPHABET)
 
 
 def random_strings(count: int, seed: int = 11) -> list[str]:
@@ -83,18 +84,51 @@ class Markov:
         return float(self.ratio[c[:-1], c[1:]].sum()) / (len(s) + 1)
 
 
-def train(docs: DataFrame, text_col: str = "text", sample_docs: int = 500, samples: int = 20000) -> Markov:
-    """Fit the models: random strings are generated; ordinary identifiers are made of the words of a sample.
+def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(word, n) over all texts: runs of 2 to 20 ASCII letters outside base matches, beside no sign or digit of a token, in lower case."""
 
-    The sample is the ``sample_docs`` rows with the least hash of the text, whatever the order of the rows; words are
-    runs of 2 to 20 ASCII letters outside base matches. Without any words a few common ones stand in.
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c in K.chunks(batch.column(0)):
+                data = c.data.copy()
+                for i in _candidates(c.data, c.offsets).tolist():
+                    if i >= len(c.offsets) - 1:
+                        continue
+                    own = data[c.offsets[i] : c.offsets[i + 1]]
+                    text = own.tobytes().decode()
+                    for _, pattern, _, _ in BASE:
+                        text = pattern.sub(lambda m: " " * len(m[0].encode()), text)
+                    own[:] = np.frombuffer(text.encode(), np.uint8)
+                w = K.words(data, c.offsets, ~_WORD)
+                letters = np.zeros(len(data) + 1, np.int64)
+                np.cumsum(_LETTER[data], out=letters[1:])
+                size = w.end - w.start
+                keep = (size >= 2) & (size <= 20) & (letters[w.end] - letters[w.start] == size)
+                start, end, low = w.start[keep], w.end[keep], K.LOWER[data]
+                _, first, n = np.unique(K.span_hashes(low, start, end), return_index=True, return_counts=True)
+                raw = low.tobytes()
+                found = [raw[x:y].decode() for x, y in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(n.astype(np.int64))], ["word", "n"])
+
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"))
+    return texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def train(docs: DataFrame, text_col: str = "text", draws: int = 100000, samples: int = 20000) -> Markov:
+    """Fit the models: random strings are generated; ordinary identifiers are made of the words of all texts.
+
+    Every word of every text is counted. About ``draws`` words stand for the counts: a word with the share p of all
+    gets draws * p places, rounded up or down by its own hash with the fraction as the chance, so that rare words have
+    their share too and the driver gets no more than about ``draws`` rows. Only shares count, so copies of a whole
+    table give the same models. A table without any word has no ordinary ones; a few common ones stand in.
     """
-    picked = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"))
-    words: list[str] = []
-    for (text,) in hash_sample(picked, "text", sample_docs).toLocalIterator():
-        for _, pattern, _, _ in BASE:
-            text = pattern.sub(" ", text)
-        words += re.findall(r"(?<![\w+/=-])[A-Za-z]{2,20}(?![\w+/=-])", text, re.A)
+    counts = stash(word_counts(docs, text_col), "words")
+    total = counts.agg(F.sum("n")).first()[0] or 1
+    chance = F.shiftrightunsigned(F.xxhash64("word"), 11) / F.lit(float(2**53))
+    places = F.floor(F.col("n") * (draws / total) + chance)
+    picked = counts.select("word", places.alias("n")).where("n > 0").collect()
+    drop(counts)
+    words = [word for word, n in sorted((r.word, r.n) for r in picked) for _ in range(n)]
     return Markov(random_strings(samples), identifiers(words or ["get", "set", "name", "value", "list", "item", "user", "index"], samples))
 
 

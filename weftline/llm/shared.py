@@ -59,7 +59,7 @@ def unpacked(docs: DataFrame, text_col: str) -> list[Column]:
 def hash_sample(df: DataFrame, by: str, limit: int) -> DataFrame:
     """At most ``limit`` rows: those with the least hash of ``by``, whatever the order and partitions of the rows.
 
-    Only rows below a hash bound that leaves about twice the limit are sorted, so no task gets more than that.
+    Only rows below a hash bound that leaves about twice the limit are sorted, more where many rows share a value.
     """
     total = df.count()
     hashed = F.shiftrightunsigned(F.xxhash64(by), 1)
