@@ -274,8 +274,8 @@ def hist_labelled(spark, d):
 
 
 @query("SELECT h::INT AS hour, count(e.event_id) AS n FROM range(24) t(h) LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase' AND user_id < 20) e ON hour(e.ts) = h GROUP BY 1")
-def hourly_zero_filled(spark, d):
-    counts = load(spark, d, "events").where("event_type = 'purchase' and user_id < 20").groupBy(F.hour("ts").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+def hourly_zero_filled(spark, d, part="user_id < 20"):
+    counts = load(spark, d, "events").where("event_type = 'purchase'").where(part).groupBy(F.hour("ts").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
     return spark.range(24).select(F.col("id").cast("int").alias("hour")).join(counts, "hour", "left").select("hour", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -283,9 +283,9 @@ def hourly_zero_filled(spark, d):
 SELECT strftime(ts, '%Y-%m-%d') AS day, nullif(count(*) FILTER (WHERE event_type = 'view'), 0) AS "view", nullif(count(*) FILTER (WHERE event_type = 'click'), 0) AS click,
 nullif(count(*) FILTER (WHERE event_type = 'purchase'), 0) AS purchase FROM events WHERE user_id < 8 GROUP BY 1
 """)
-def daily_pivot(spark, d):
+def daily_pivot(spark, d, part="user_id < 8"):
     """Day by type; combinations that do not occur stay null."""
-    e = load(spark, d, "events").where("user_id < 8")
+    e = load(spark, d, "events").where(part)
     return e.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).pivot("event_type", ["view", "click", "purchase"]).count()
 
 
@@ -461,9 +461,9 @@ def zscore_outliers(spark, d):
 
 
 @query(m.SQL + "SELECT a.event_id, (SELECT count(*) FROM ev b WHERE b.user_id = a.user_id AND b.us // 1000000 BETWEEN a.us // 1000000 - 3600 AND a.us // 1000000) AS in_window FROM ev a WHERE a.user_id < 30")
-def sliding_window(spark, d):
+def sliding_window(spark, d, part="user_id < 30"):
     """Events of the same user in the hour up to each event."""
-    e = m.events(spark, d).where("user_id < 30").select("event_id", "user_id", F.floor(F.col("us") / 1_000_000).alias("s"))
+    e = m.events(spark, d).where(part).select("event_id", "user_id", F.floor(F.col("us") / 1_000_000).alias("s"))
     return window_counts(e, "user_id", "s", 3600).select("event_id", "in_window")
 
 

@@ -21,9 +21,9 @@ def stream_topk(spark, d):
 
 
 @query("SELECT strftime(time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '2000-01-01'), '%Y-%m-%d %H') AS start, user_id, count(*) AS n FROM events WHERE user_id < 20 GROUP BY ALL")
-def stream_rate(spark, d):
+def stream_rate(spark, d, part="user_id < 20"):
     """Counts per user and six hours, in complete mode: the last version holds every window."""
-    e = st.read_events(spark, f"{d}/events.parquet").where("user_id < 20").withColumn("ts", F.col("ts").cast("timestamp"))
+    e = st.read_events(spark, f"{d}/events.parquet").where(part).withColumn("ts", F.col("ts").cast("timestamp"))
     out, state = st.folder(spark, "rate"), st.folder(spark, "state")
     counts = e.groupBy(F.window("ts", "6 hours"), "user_id").agg(F.count(F.lit(1)).alias("n")).select(F.date_format("window.start", "yyyy-MM-dd HH").alias("start"), "user_id", "n")
     counts.writeStream.outputMode("complete").foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(out)).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()

@@ -1,0 +1,37 @@
+"""Whole-table twins (``NAME_all``) of queries that are registered on a part of the ids or rows.
+
+Their SQL is that of the part without its filter. The graph and overlap queries, which DuckDB joins slowly, have none
+and are tested against brute force.
+"""
+
+from __future__ import annotations
+
+from weftline.plans import detectors, graphs, relational, streams, trust
+from weftline.plans.registry import QUERIES, SQL
+
+
+def _whole(f, filters: str | None = None, **parts) -> None:
+    def run(spark, d):
+        return f(spark, d, part="true", **parts)
+
+    run.__name__, run.__doc__ = f"{f.__name__}_all", f.__doc__
+    QUERIES[run.__name__] = run
+    if filters:
+        own = SQL[f.__name__]
+        if own.count(filters) != 1:
+            raise ValueError(f"{f.__name__}: its SQL has no single {filters!r}")
+        SQL[run.__name__] = own.replace(filters, "")
+
+
+_whole(relational.hourly_zero_filled, " AND user_id < 20")
+_whole(relational.daily_pivot, " WHERE user_id < 8")
+_whole(relational.sliding_window, " WHERE a.user_id < 30")
+_whole(trust.contextual_blend, " WHERE id < 150")
+_whole(trust.chain_score, " WHERE attester < 40")
+_whole(streams.stream_rate, " WHERE user_id < 20")
+_whole(graphs.induced_subgraph, " WHERE id < 150")
+_whole(graphs.triangles)
+_whole(graphs.reachable)
+_whole(graphs.shortest_path)
+_whole(graphs.connected_components)
+_whole(detectors.voting_ring, post="l_partkey")
