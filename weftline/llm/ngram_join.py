@@ -29,7 +29,7 @@ around one representative, so a column shared by a third of the rows arrives as
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +41,8 @@ from weftline.llm.components import connected_components
 from weftline.llm.shared import drop, stash
 
 U = np.uint64
-KEYS_A_BUCKET = 1_000_000
-FLUSH = 1_000_000  # column entries that a task gathers before it sends them
+KEYS_A_BUCKET = 500_000
+FLUSH = 400_000  # column entries that a task gathers before it sends them
 BLOCK_BYTES, BLOCK_ROWS, LEAST_ROWS, SPLITS = 32 << 20, 32_768, 2048, 4
 FILTER_BITS, FILTER_IDS = 26, 4_000_000
 COLUMNS, TILE = 4096, 1024
@@ -189,14 +189,16 @@ def first_low(counted: DataFrame, sets: DataFrame, percent: int, bits: int) -> D
 def all_columns(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     """Step b, by text: (key, name, n) of every column of the named rows."""
 
+    docs, pick = chosen(docs, ids)
+
     def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in map(pick, batches):
             for c in K.chunks(batch.column(1)):
                 hashes, at, digest = shingle_sets(c.data, c.offsets, n)
                 sizes = np.diff(at)
                 yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(np.repeat(digest, sizes).view(np.int64)), pa.array(np.repeat(sizes, sizes))], ["key", "name", "n"])
 
-    return chosen(docs, ids).mapInArrow(columns, "key long, name long, n long")
+    return docs.mapInArrow(columns, "key long, name long, n long")
 
 
 def first_of_all(columns: DataFrame, percent: int, total: int, bits: int) -> DataFrame:
@@ -347,14 +349,16 @@ def _links(docs: DataFrame, sets: DataFrame, family: DataFrame, pairs: DataFrame
     in_pairs = pairs.select(F.col("b").alias("digest")).join(sets, "digest").agg(F.sum("n")).first()[0] or 0
     few = max(1, ((total.where("splits = 1").agg(F.sum("bytes")).first()[0] or 0) + 8 * in_pairs) >> 20)
 
+    docs, pick = chosen(docs, wanted.select("id").distinct())
+
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in map(pick, batches):
             for c in K.chunks(batch.column(1)):
                 hashes, at, digest = shingle_sets(c.data, c.offsets, n)
                 blobs = pa.array([hashes[at[i] : at[i + 1]].tobytes() for i in range(len(digest))], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0)[c.rows], pa.array(digest.view(np.int64)), blobs], ["id", "digest", "grams"])
 
-    rows = chosen(docs, wanted.select("id").distinct()).mapInArrow(sets_of, "id long, digest long, grams binary").join(wanted, ["id", "digest"])
+    rows = docs.mapInArrow(sets_of, "id long, digest long, grams binary").join(wanted, ["id", "digest"])
     rows = rows.withColumn("place", F.when(F.col("small"), F.pmod(F.xxhash64("family"), F.lit(few))).otherwise(F.col("family")))
 
     def product(table: pa.Table) -> pa.Table:
@@ -399,22 +403,17 @@ def _marked(bitmap: np.ndarray, ids: pa.Array) -> np.ndarray:
     return (bitmap[bit >> U(6)] >> (bit & U(63))) & U(1) == 1
 
 
-def chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of the distinct ``ids``, and perhaps some others.
+def chosen(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, Callable[[pa.RecordBatch], pa.RecordBatch]]:
+    """A table of the rows of the distinct ``ids`` and perhaps others, and what picks the former from a batch.
 
     Up to FILTER_IDS ids the rows are picked by a bitmap of fixed size (a false hit in about 16 at most); with more, by a
     join, which moves the texts.
     """
     docs = docs.where("id is not null and text is not null")
     if ids.count() > FILTER_IDS:
-        return docs.join(ids, "id", "left_semi").select("id", "text")
+        return docs.join(ids, "id", "left_semi").select("id", "text"), lambda batch: batch
     marked = docs.sparkSession.sparkContext.broadcast(_filter(ids))
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(_marked(marked.value, batch.column(0))))
-
-    return docs.mapInArrow(pick, "id long, text string")
+    return docs, lambda batch: batch.filter(pa.array(_marked(marked.value, batch.column(0))))
 
 
 def _bits(keys: int | None) -> int:
