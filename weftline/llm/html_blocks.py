@@ -4,108 +4,163 @@ from __future__ import annotations
 
 import html
 import re
+import zlib
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 
-#: Fixed values of the format: elements that break text into blocks, that hold no content, and whose content is no text.
+#: Fixed values of the format: elements that break text into blocks, that hold no content, and whose content is no text of the page.
 BLOCK = frozenset("""address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form
 h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th
 thead title tr ul""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math canvas audio video".split())
+RAW = frozenset("script style template iframe".split())
 #: An opening tag of the first closes an open one of the second.
 CLOSES = {"p": "p", "li": "li", "dt": "dd", "dd": "dt", "tr": "tr", "td": "td", "th": "td", "option": "option"}
 CLOSES_P = BLOCK - {"html", "head", "body", "title", "option", "optgroup", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "legend", "summary"}
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?][^>]*+>""", re.S)
+BOUNDS = BLOCK - {"p", "li", "dt", "dd", "td", "th", "tr", "option"}  # no element outside is closed from within
+
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)")
+_ATTRIBUTES = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+""")
 _ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _SPACE = re.compile(r"\s+")
 
 
 class Block(NamedTuple):
-    path: tuple[tuple[str, ...], ...]  # of each open element, its tag and the words of its class, id and role
+    tags: tuple[str, ...]  # of the last two open elements, the innermost last
+    path: tuple[int, ...]  # sums of the hashed signs of all open elements' tags and marks
     text: str
     linked: float  # share of the characters inside links
 
 
-def _names(attributes: str) -> tuple[str, ...]:
-    out = []
-    for _, value in _ATTRIBUTE.findall(attributes) if attributes.strip() else ():
-        out += [w.lower() for w in _PART.findall(value)]
-    return tuple(out[:12])
+PATH = 192
+
+
+@lru_cache(200_000)
+def sign(token: str, cells: int) -> tuple[int, int]:
+    h = zlib.crc32(token.encode())
+    return h % cells, 1 if h & 0x10000 else -1
+
+
+@lru_cache(50_000)
+def _signs(tag: str, attributes: str) -> tuple[tuple[int, int], ...]:
+    """Cells of an element's tag and of the distinct words of its class, id and role."""
+    if tag in ("html", "body"):
+        return ()
+    marks = {w.lower() for _, value in _ATTRIBUTE.findall(attributes) for w in _PART.findall(value)} if attributes.strip() else ()
+    return tuple(sign(t, PATH) for t in (tag, *sorted(f".{m}" for m in marks)))
+
+
+class _Tags:
+    """The tags, comments and declarations of a page in order, as (start, end, name, closing, attributes), in linear time.
+
+    Quoted attribute values may hold ``>``. Where a quote is still open at the end of the page, that tag and all later
+    ones end at the next ``>`` instead; without one the rest is text.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.broken = page, False
+
+    def next(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        page = self.page
+        while (at := page.find("<", at)) >= 0:
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                return at, end + 3 if end >= 0 else len(page), "", False, ""
+            if page[at + 1 : at + 2] in ("!", "?"):
+                end = page.find(">", at)
+                return (at, end + 1, "", False, "") if end >= 0 else None
+            if not (m := _NAME.match(page, at + 1)):
+                at += 1
+                continue
+            end = m.end() if self.broken else _ATTRIBUTES.match(page, m.end()).end()
+            if page[end : end + 1] != ">":
+                self.broken = True
+                if (end := page.find(">", m.end())) < 0:
+                    return None
+            return at, end + 1, m[2].lower(), bool(m[1]), page[m.end() : end]
+        return None
 
 
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order: references decoded, white space collapsed, empty blocks left out.
 
     Block elements end a block, ``br`` is white space, and other elements run on inside it. Comments, declarations and
-    the contents of scripts, styles and embedded objects are no text. Unclosed elements end with their parents.
+    the contents of scripts, styles, templates and inline frames are no text; all other text is. Unclosed elements end
+    with their parents, an unclosed script, style, template or frame with the page. Time is linear in the page's length,
+    whatever its markup.
     """
     out: list[Block] = []
-    stack: list[tuple[str, ...]] = []
+    stack: list[tuple[str, tuple]] = []  # tag and signs
+    where: dict[str, list[int]] = {}  # of each tag, its places in the stack
+    bounds: list[int] = []  # places of elements in BOUNDS
+    path = [0] * PATH
     held: list[str] = []
-    path: tuple[tuple[str, ...], ...] = ()
-    links = linked = 0
-    blank = True
+    place: tuple = ((), ())
+    linked, blank = 0, True
 
     def text(raw: str) -> None:
-        nonlocal linked, path, blank
+        nonlocal linked, place, blank
         if raw:
-            if blank:
-                path = tuple(stack)
-                blank = raw.isspace()
+            if blank and not raw.isspace():
+                place, blank = (tuple(t for t, _ in stack[-2:]), tuple(path)), False
             held.append(raw)
-            if links:
+            if where.get("a"):
                 linked += len(raw)
 
     def flush() -> None:
         nonlocal linked, blank
-        if held:
+        if not blank:
             raw = "".join(held)
-            whole = _SPACE.sub(" ", html.unescape(raw)).strip()
-            if whole:
-                out.append(Block(path, whole, min(1.0, linked / max(1, len(raw)))))
-            held.clear()
+            if whole := _SPACE.sub(" ", html.unescape(raw)).strip():
+                out.append(Block(*place, whole, min(1.0, linked / max(1, len(raw)))))
+        held.clear()
         linked, blank = 0, True
 
-    at = 0
-    while m := _TAG.search(page, at):
-        text(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
+    def close(depth: int) -> None:
+        while len(stack) > depth:
+            tag, signs = stack.pop()
+            where[tag].pop()
+            if tag in BOUNDS:
+                bounds.pop()
+            for cell, s in signs:
+                path[cell] -= s
+
+    at, tags = 0, _Tags(page)
+    while found := tags.next(at):
+        start, end, name, closing, attributes = found
+        text(page[at:start])
+        at = end
         if not name:
             continue
-        closing = bool(m[1] or m[4])
         if name in BLOCK:
             flush()
         elif name == "br":
             held.append(" ") if held else None
         if closing:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            if depth is not None:
-                links -= sum(s[0] == "a" for s in stack[depth:])
-                del stack[depth:]
+            if where.get(name):
+                close(where[name][-1])
             continue
-        attributes = m[3] or m[6] or ""
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            stop = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)
+            at = page.find(">", stop.end()) + 1 if stop else 0
+            at = at or len(page)
             continue
         if name in VOID or attributes.endswith("/") and name not in BLOCK:
             continue
-        shut = CLOSES.get(name)
-        for k in range(len(stack) - 1, -1, -1):
-            tag = stack[k][0]
-            if tag == name == shut or tag == shut or (tag == "p" and name in CLOSES_P):
-                links -= sum(s[0] == "a" for s in stack[k:])
-                del stack[k:]
-                break
-            if tag in BLOCK and tag not in ("p", "li", "dt", "dd", "td", "th", "tr", "option"):
-                break
-        stack.append((name, *_names(attributes)))
-        links += name == "a"
+        ends = [where[t][-1] for t in {CLOSES.get(name), "p" if name in CLOSES_P else None} if where.get(t)]
+        if ends and max(ends) > (bounds[-1] if bounds else -1):
+            close(max(ends))
+        signs = _signs(name, attributes)
+        where.setdefault(name, []).append(len(stack))
+        if name in BOUNDS:
+            bounds.append(len(stack))
+        stack.append((name, signs))
+        for cell, s in signs:
+            path[cell] += s
     text(page[at:])
     flush()
     return out
@@ -248,5 +303,5 @@ def labelled_pages(count: int, seed: int) -> list[tuple[str, list[bool]]]:
         maker = _Maker(rng)
         page = maker.page()
         found = blocks(page)
-        out.append((page, [b.text in maker.kept and b.path[-1][0] != "title" for b in found]))
+        out.append((page, [b.text in maker.kept and b.tags[-1:] != ("title",) for b in found]))
     return out

@@ -2,60 +2,40 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
-from functools import cache, lru_cache
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.html_blocks import Block, blocks, labelled_pages
+from weftline.llm.html_blocks import PATH, Block, blocks, labelled_pages, sign
 from weftline.llm.shared import row_type, with_row
 
-PATH, WORD, DENSE, HIDDEN = 192, 32, 8, 24
+WORD, DENSE, HIDDEN = 32, 8, 24
 INPUT = PATH + WORD + DENSE
 F32 = np.float32
 
 
-@lru_cache(200_000)
-def _path_vector(path: tuple[tuple[str, ...], ...]) -> np.ndarray:
-    """Hashed signs of the path's parts: every tag and mark, and by themselves those of the last two elements."""
-    v = np.zeros(PATH, F32)
-
-    def add(token: str, weight: float) -> None:
-        h = zlib.crc32(token.encode())
-        v[h % PATH] += weight if h & 0x10000 else -weight
-
-    for depth, (tag, *marks) in enumerate(reversed(path)):
-        if tag in ("html", "body"):
-            continue
-        add(tag, 1.0)
-        for m in marks:
-            add(f".{m}", 1.0)
-        if depth < 2:
-            add(f"{depth}:{tag}", 0.5)
-    return v
-
-
-@lru_cache(200_000)
-def _word_cell(word: str) -> tuple[int, float]:
-    h = zlib.crc32(word.lower().encode())
-    return h % WORD, 1.0 if h & 0x10000 else -1.0
-
-
 def features(page: list[Block]) -> np.ndarray:
-    """One row per block: path signs, averaged word signs, and sizes, link share and place."""
+    """One row per block: path signs, averaged signs of all its words, and sizes, link share and place."""
     x = np.zeros((len(page), INPUT), F32)
+    if not page:
+        return x
+    words = [b.text.lower().split(" ") for b in page]
+    count = np.array([len(w) for w in words])
+    cells = np.array([sign(w, WORD) for own in words for w in own])
+    at = np.repeat(np.arange(len(page)), count) * WORD + cells[:, 0]
+    x[:, PATH : PATH + WORD] = np.bincount(at, cells[:, 1], len(page) * WORD).reshape(-1, WORD) / count[:, None]
+    x[:, :PATH] = np.array([b.path for b in page])
     for i, b in enumerate(page):
-        x[i, :PATH] = _path_vector(b.path)
-        words = b.text.split(" ", 64)[:64]  # a feature of the label alone; the text is kept whole
-        for w in words:
-            k, sign = _word_cell(w)
-            x[i, PATH + k] += sign / len(words)
-        n = b.text.count(" ") + 1
-        x[i, PATH + WORD :] = (np.log1p(n) / 5, b.linked, n <= 3, b.text[-1] in ".!?", b.text[:1] in "©", i / max(1, len(page) - 1), 1 / (1 + i), 1 / (len(page) - i))
+        for depth, tag in enumerate(reversed(b.tags)):
+            if tag not in ("html", "body"):
+                cell, s = sign(f"{depth}:{tag}", PATH)
+                x[i, cell] += 0.5 * s
+        x[i, PATH + WORD :] = (np.log1p(count[i]) / 5, b.linked, count[i] <= 3, b.text[-1] in ".!?", b.text[:1] in "©", i / max(1, len(page) - 1), 1 / (1 + i), 1 / (len(page) - i))
     return x
 
 
@@ -178,13 +158,13 @@ def main_text(pages: list[str], model: Labeller) -> list[str]:
     return [" ".join(b.text for b, s in zip(p, q, strict=True) if s >= 0.5) for p, q in zip(parsed, scores, strict=True)]
 
 
-def extract(pages: DataFrame, html_col: str = "html", model: Labeller | None = None, together: int = 200) -> DataFrame:
+def extract(pages: DataFrame, html_col: str = "html", model: Labeller | None = None, together: int = 200, together_bytes: int = 8 << 20) -> DataFrame:
     """The other columns in a struct ``row`` and ``text``: the blocks of each page that the model labels as article.
 
     Blocks are the texts between block elements with character references decoded and white space collapsed; they are
     joined by one space in page order. Null and empty pages give an empty text. A page is labelled from all of its
-    blocks; nothing is cut short. Each row is handled by itself, ``together`` rows at a time in memory, so repeated
-    rows and clashing column names need no care. The model is trained from generated pages where none is given.
+    blocks and all of their words; nothing is cut short. Each row is handled by itself, at most ``together`` rows or
+    about ``together_bytes`` of them at a time in memory, so repeated rows and clashing column names need no care. The model is trained from generated pages where none is given.
     """
     shared = pages.sparkSession.sparkContext.broadcast((model or default_labeller()).p)
     carried = with_row(pages, html_col)
@@ -193,8 +173,12 @@ def extract(pages: DataFrame, html_col: str = "html", model: Labeller | None = N
         own = Labeller()
         own.p = shared.value
         for batch in batches:
-            for at in range(0, len(batch), together):
-                part = batch.slice(at, together)
+            at = 0
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy())
+            while at < len(batch):
+                done = ends[at - 1] if at else 0
+                stop = min(at + together, max(at + 1, int(np.searchsorted(ends, done + together_bytes, "right"))))
+                part, at = batch.slice(at, stop - at), stop
                 texts = main_text([p or "" for p in part.column(1).to_pylist()], own)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], ["row", "text"])
 
