@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -87,8 +88,8 @@ _PUNCTUATION[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 
 
-def byte_tokens(path: str) -> dict[bytes, int]:
-    """The vocabulary of a byte-level BPE tokenizer file by the bytes of its tokens, without special tokens.
+def byte_tokens(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
+    """The vocabulary of a byte-level BPE tokenizer file by the bytes of its tokens, and its added tokens by their text.
 
     Such files write each byte as a printable character: printable Latin-1 characters as they are, the other bytes in
     ascending order as the characters from U+0100.
@@ -97,8 +98,8 @@ def byte_tokens(path: str) -> dict[bytes, int]:
     byte_of = {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
     with open(path, encoding="utf-8") as f:
         described = json.load(f)
-    special = {t["content"] for t in described["added_tokens"]}
-    return {bytes(byte_of[c] for c in t): i for t, i in described["model"]["vocab"].items() if t not in special}
+    special = {t["content"]: t["id"] for t in described["added_tokens"]}
+    return {bytes(byte_of[c] for c in t): i for t, i in described["model"]["vocab"].items() if t not in special}, special
 
 
 class Encoder:
@@ -106,12 +107,14 @@ class Encoder:
 
     The tokenizer's pattern splits texts before a space that leads a word, inside white space only before its last
     character, and between a letter and ASCII punctuation. Texts are cut at those places, which changes no token, and
-    equal pieces share their ids. Texts with white space outside ASCII are tokenised as they are. The store of pieces
-    is emptied when it has grown to ``most``.
+    equal pieces share their ids. Texts with white space outside ASCII are tokenised as they are, and so are those with
+    an added token of the file, such as an end-of-text mark: that is one id, and what stands beside it is split by itself.
+    The store of pieces is emptied when it has grown to ``most``.
     """
 
     def __init__(self, path: str, most: int = 1_000_000):
-        tokens = byte_tokens(path)
+        tokens, self.special = byte_tokens(path)
+        self.marks = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.special, key=lambda t: (-len(t), t))) + ")") if self.special else None
         self.bpe = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=tokens, special_tokens={})
         self.size = np.zeros(max(tokens.values()) + 1, np.int64)
         for t, i in tokens.items():
@@ -124,9 +127,13 @@ class Encoder:
         self.ids, self.used = np.zeros(1 << 16, np.uint16), 0
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [self.bpe.encode_ordinary(t) for t in texts]
+        ids = [self._ids(t) for t in texts]
         return np.array([x for i in ids for x in i], np.uint16), np.array([len(i) for i in ids], np.int64)
 
+    def _ids(self, text: str) -> list[int]:
+        parts = self.marks.split(text) if self.marks else [text]
+        return [i for k, p in enumerate(parts) for i in ([self.special[p]] if k % 2 else self.bpe.encode_ordinary(p))]
+
     def _add(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
         """Tokenise new pieces: those led by a space as one text, whose tokens never run over a piece's end."""
         led = np.array([p[:1] == b" " and len(p) > 1 for p in pieces], bool)
@@ -182,7 +189,7 @@ class Encoder:
         ends = np.cumsum(length)
         ids = self.ids[np.repeat(place - (ends - length), length) + np.arange(int(ends[-1]) if len(ends) else 0)]
         bounds = np.append(0, ends)[np.searchsorted(start, offsets)]
-        odd = self._wide(data, offsets)
+        odd = self._odd(data, offsets)
         if len(odd):
             raw = data.tobytes()
             whole, sizes = self._encode([raw[offsets[r] : offsets[r + 1]].decode() for r in odd])
@@ -195,6 +202,16 @@ class Encoder:
             ids, bounds = np.concatenate([*parts, ids[done:]]), np.append(0, np.cumsum(per_row))
         return ids, bounds
 
+    def _odd(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Rows with an added token or with white space outside ASCII."""
+        raw, marked = data.tobytes(), []
+        for token in self.special:
+            at = raw.find(token.encode())
+            while at >= 0:
+                marked.append(at)
+                at = raw.find(token.encode(), at + 1)
+        return np.union1d(self._wide(data, offsets), np.searchsorted(offsets, np.array(marked, np.int64), "right") - 1).astype(np.int64)
+
     @staticmethod
     def _wide(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         lead = np.flatnonzero((data == 0xC2) | (data == 0xE1) | (data == 0xE2) | (data == 0xE3))
