@@ -140,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     The sample are the rows with the least hash of the id. Entries are folded words and strict beginnings of words, of
     3 to 12 letters, that at least ``support`` toxic texts and mostly toxic ones have; words that begin with an entry but
-    stand mostly in other texts join the exceptions. The score is a logistic function of the weight found and its density.
+    stand mostly in other texts join the exceptions, all of them: the labelled sample bounds their number. The score is a logistic function of the weight found and its density.
     """
     chosen = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).alias("label"))
     chosen = hash_sample(chosen, "id", sample)
@@ -165,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     counts = {r["word"]: (r["pos"], r["neg"]) for r in begun.where("2 * pos > neg").collect()}
     weights = choose(counts, *whole, support, precision)
     entries = F.array(*[F.lit(w[:-1]) for w in weights if w[-1] == "+"], F.lit("+"))
-    benign = words.where(f"neg >= {support} and neg > 4 * pos").where(F.exists(entries, lambda e: F.startswith("word", e))).orderBy(F.desc("neg"), "word").limit(1000)
+    benign = words.where(f"neg >= {support} and neg > 4 * pos").where(F.exists(entries, lambda e: F.startswith("word", e)))
     folded = tuple(sorted({fold(e) for e in exceptions} | {r["word"] for r in benign.collect()}))
     words.unpersist()
     matcher = docs.sparkSession.sparkContext.broadcast(Lexicon(weights, folded, (0.0, 0.0, 0.0)))
