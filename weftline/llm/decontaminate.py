@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -13,34 +14,43 @@ from pyspark.sql import functions as F
 
 from weftline.llm import textkernel as K
 from weftline.llm.fm_index import FMIndex
-from weftline.llm.shared import row_type, unpacked, with_row
+from weftline.llm.shared import row_type, stash, unpacked, with_row
 
 SHARD = 8 << 20
 FOUND = "n_words long, n_hit long, item_ids array<string>, spans array<struct<start:long,end:long>>"
 
 
 class Phrases(NamedTuple):
-    """Distinct windows of the items: by length, their word numbers, and for each the items that have it."""
+    """Distinct windows of some items: by length, their word numbers and, from offsets, places of the items that have each."""
 
     vocabulary: np.ndarray
-    by_length: list[tuple[np.ndarray, list[list[str]]]]
+    names: list[str]
+    by_length: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
-def phrases(items: list[tuple[str | None, str | None]], width: int) -> Phrases:
+def phrases(names: list[str | None], texts: pa.Array, width: int) -> Phrases:
     """Windows of ``width`` words of each item; an item of fewer words, but not none, is one window."""
-    column = pa.array([t for _, t in items], pa.string())
-    owners: dict[tuple[int, ...], set[str]] = {}
-    for c in K.chunks(column):
+    known = sorted({n for n in names if n is not None})
+    place = {n: i for i, n in enumerate(known)}
+    own = np.array([place.get(n, -1) for n in names], np.int64)
+    found = []
+    for c in K.chunks(texts, 1 << 40):
         w = K.words(K.LOWER[c.data], c.offsets, K.NOT_ALNUM)
-        for i, row in enumerate(range(c.rows.start, c.rows.stop)):
-            own = w.hashes[w.first[i] : w.first[i + 1]].tolist()
-            for k in range(max(1, len(own) - width + 1) if own else 0):
-                owners.setdefault(tuple(own[k : k + width]), set()).update([items[row][0]] if items[row][0] is not None else [])
-    vocabulary = np.unique(np.array([h for p in owners for h in p], np.uint64))
-    lengths: dict[int, list[tuple[int, ...]]] = {}
-    for p in sorted(owners):
-        lengths.setdefault(len(p), []).append(p)
-    return Phrases(vocabulary, [(np.searchsorted(vocabulary, np.array(v, np.uint64)) + 1, [sorted(owners[p]) for p in v]) for _, v in sorted(lengths.items())])
+        vocabulary = np.unique(w.hashes)
+        number = (np.searchsorted(vocabulary, w.hashes) + 1).astype(np.int32)
+        count = np.diff(w.first)
+        for length in sorted({width, *count[(count > 0) & (count < width)].tolist()}):
+            hashes, at = K.windows(w.hashes, w.first, length)
+            if length < width:
+                hashes, at = hashes[count[w.row[at]] == length], at[count[w.row[at]] == length]
+            if not len(at):
+                continue
+            _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+            pairs = np.unique(np.stack([which, own[w.row[at]]], 1), axis=0)
+            pairs = pairs[pairs[:, 1] >= 0]
+            found.append((number[at[first][:, None] + np.arange(length)], np.searchsorted(pairs[:, 0], np.arange(len(first) + 1)), pairs[:, 1].astype(np.int32)))
+        return Phrases(vocabulary, known, found)
+    return Phrases(np.zeros(0, np.uint64), [], [])
 
 
 def search(data: np.ndarray, offsets: np.ndarray, wanted: Phrases) -> tuple[K.Words, np.ndarray, list[list[str]]]:
@@ -60,7 +70,7 @@ def search(data: np.ndarray, offsets: np.ndarray, wanted: Phrases) -> tuple[K.Wo
     begins[1:] &= ~known[:-1] | (w.row[1:] != w.row[:-1])
     run = np.cumsum(begins) - 1
     length = np.bincount(run[known], minlength=1)
-    at = np.flatnonzero(known & (length[run] >= min(p.shape[1] for p, _ in wanted.by_length)))
+    at = np.flatnonzero(known & (length[run] >= min(p.shape[1] for p, *_ in wanted.by_length)))
     if not len(at):
         return w, hit[:-1] > 0, [[] for _ in found]
     last = np.append(run[at[1:]] != run[at[:-1]], True)
@@ -70,7 +80,7 @@ def search(data: np.ndarray, offsets: np.ndarray, wanted: Phrases) -> tuple[K.Wo
     word = np.full(len(text), -1, np.int64)
     word[place] = at
     index = FMIndex(text, len(wanted.vocabulary))
-    for patterns, owners in wanted.by_length:
+    for patterns, owner_at, owners in wanted.by_length:
         lo, hi = index.count(patterns)
         some = np.flatnonzero(hi > lo)
         if not len(some):
@@ -82,7 +92,7 @@ def search(data: np.ndarray, offsets: np.ndarray, wanted: Phrases) -> tuple[K.Wo
         np.add.at(hit, first, 1)
         np.add.at(hit, first + patterns.shape[1], -1)
         for pattern, row in np.unique(np.stack([which, w.row[first]], 1), axis=0).tolist():
-            found[row].update(owners[pattern])
+            found[row].update(wanted.names[k] for k in owners[owner_at[pattern] : owner_at[pattern + 1]])
     return w, np.cumsum(hit)[:-1] > 0, [sorted(x) for x in found]
 
 
@@ -112,16 +122,31 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     its words but is not listed. Repeated documents and items are treated alike, each document by itself; texts are
     searched whole. Clashing column names stay inside ``row``. Empty tables give no rows, or rows without hits.
 
-    The items are sent to every task only up to ``broadcast_bytes`` of text; a larger benchmark is dealt by hash
-    into parts of about that size, which pass over the documents one after another in one job.
+    The windows are built in tasks, and sent to every task only up to about ``broadcast_bytes`` as they are sent; a
+    benchmark with more is dealt by hash of the items into parts of about that size, which pass over the documents one
+    after another. An item is never divided, so one larger than a part is a part.
     """
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text")).where("text is not null")
-    parts = 1 + int(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // broadcast_bytes
+    a_word = 4 * width + 24
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = sum(len(K.words(K.LOWER[c.data], c.offsets, K.NOT_ALNUM).start) for c in K.chunks(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    def build(table: pa.Table) -> pa.Table:
+        wanted = phrases(table["item"].to_pylist(), table["text"], width)
+        return pa.table({"part": table["part"][:1], "blob": pa.array([pickle.dumps(wanted)], pa.binary())})
+
+    words = items.mapInArrow(measure, "n long").agg(F.sum("n")).first()[0] or 0
+    parts = 1 + words * a_word // broadcast_bytes
+    dealt = items.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(parts)).cast("int"))
+    built = stash(dealt.groupBy("part").applyInArrow(build, "part int, blob binary"), "phrases")
     out = with_row(docs, text_col).select("*", F.lit(None).cast("binary").alias("marks"), F.lit(None).cast("array<string>").alias("found"))
     kept = row_type(out)
     for part in range(parts):
-        chosen = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part) if parts > 1 else items
-        wanted = docs.sparkSession.sparkContext.broadcast(phrases([tuple(r) for r in chosen.collect()], width))
+        blob = built.where(F.col("part") == part).select("blob").first()
+        wanted = docs.sparkSession.sparkContext.broadcast(pickle.loads(blob[0]) if blob else phrases([], pa.array([], pa.string()), width))
         last = part == parts - 1
 
         def scan(batches: Iterator[pa.RecordBatch], wanted=wanted, last=last) -> Iterator[pa.RecordBatch]:
@@ -152,6 +177,8 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                     yield pa.RecordBatch.from_arrays(columns, ["row", "n_words", "n_hit", "item_ids", "spans", *(["text"] if cut else [])])
 
         out = out.mapInArrow(scan, f"row {kept}, {FOUND}" + ", text string" * cut if last else f"row {kept}, text string, marks binary, found array<string>")
+        if not last:
+            out = stash(out, "searched")
     return out
 
 
