@@ -6,11 +6,12 @@ import base64
 import hashlib
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ from weftline.llm.shared import new_path, stash
 #: Fixed values of the format.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 VERSION = "WARC/1.1"
-MOST_BINS = 65536
+MOST_SHARDS = 65536
 MANIFEST = "name string, temporary string, records long, bytes long, sha256 string"
 
 
@@ -98,16 +99,45 @@ class _Roll:
         return {"name": self.name, "temporary": self.temporary, "records": self.records, "bytes": self.bytes, "sha256": self.hash.hexdigest()}
 
 
-def _shards(rows: DataFrame, shard_bytes: int) -> tuple[DataFrame, F.Column, int]:
-    """Contiguous id ranges of about ``shard_bytes``: a table (bin, shard), the bin of an id, the number of shards."""
-    low, high, total = rows.agg(F.min("page_id"), F.max("page_id"), F.sum("bytes")).first()
-    count = min(MOST_BINS, max(1, -(-(total or 0) // shard_bytes)))
-    low, width = low or 0, ((high or 0) - (low or 0)) // min(MOST_BINS, 64 * count) + 1
-    number = F.coalesce(F.floor((F.col("page_id") - low) / width), F.lit(-1)).cast("int")
-    sums = sorted(rows.groupBy(number.alias("bin")).agg(F.sum("bytes").alias("bytes")).collect())
-    before = np.cumsum([0, *(b for _, b in sums)])[:-1]
-    bins = [(k, int(b * count // max(total, 1))) for (k, _), b in zip(sums, before, strict=True)]
-    return rows.sparkSession.createDataFrame(bins or [(-1, 0)], "bin int, shard int"), number, count
+def _shards(rows: DataFrame, shard_bytes: int) -> tuple[Callable[..., F.Column], int]:
+    """The shard of an id and a digest, and the number of shards, for rows (page_id, bytes).
+
+    With the ids in order and S the bytes of a shard, shard k begins with the id at byte k S of all. That is exact
+    whatever the ids and the tasks. An id that more than one shard begins with is dealt among these by digest, and rows
+    without an id are dealt by digest to shards before all others.
+    """
+    total, nulls = rows.agg(F.sum("bytes"), F.sum(F.when(F.col("page_id").isNull(), F.col("bytes")))).first()
+    size = max(shard_bytes, -(-(total or 0) // MOST_SHARDS))
+    ahead = -(-(nulls or 0) // size)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, part = 0, TaskContext.get().partitionId()
+        for batch in batches:
+            sums = np.cumsum(batch.column(1).to_numpy()) + before
+            start = np.append(before, sums[:-1])[: len(sums)]
+            before = sums[-1] if len(sums) else before
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(start), pa.array(sums), pa.array(np.full(len(sums), part, np.int32))], ["page_id", "start", "stop", "part"])
+
+    by_id = rows.where("page_id is not null").groupBy("page_id").agg(F.sum("bytes").alias("bytes"))
+    ranged = by_id.repartitionByRange(F.col("page_id")).sortWithinPartitions("page_id")
+    ranged = stash(ranged.mapInArrow(add, "page_id long, start long, stop long, part int"), "places")
+    sums = sorted(ranged.groupBy("part").agg(F.max("stop")).collect())
+    offset = F.element_at(F.create_map(*[F.lit(x) for (part, _), o in zip(sums, np.cumsum([0, *(n for _, n in sums)]).tolist()) for x in (part, o)]), F.col("part")) if sums else F.lit(0)
+    start, stop = F.col("start") + offset, F.col("stop") + offset
+    begins = ranged.select("page_id", F.ceil(start / size).alias("low"), (F.ceil(stop / size) - 1).alias("high"))
+    firsts = begins.where("low <= high").select("page_id", F.explode(F.sequence("low", "high")).alias("shard"))
+    bounds = np.array(sorted(r.page_id for r in firsts.collect()), np.int64)
+    shared = rows.sparkSession.sparkContext.broadcast(bounds)
+
+    @F.arrow_udf("int")
+    def shard(page_id: pa.Array, chance: pa.Array) -> pa.Array:
+        own, bounds, chance = page_id.fill_null(0).to_numpy(zero_copy_only=False), shared.value, chance.to_numpy()
+        high = np.maximum(np.searchsorted(bounds, own, "right"), 1)
+        several = np.maximum(high - np.searchsorted(bounds, own, "left"), 1)
+        at = np.where(page_id.is_null().to_numpy(zero_copy_only=False), chance % max(ahead, 1), ahead + high - 1 - chance % several)
+        return pa.array(at, pa.int32())
+
+    return lambda page_id, digest: shard(page_id, F.pmod(F.xxhash64(digest), F.lit(1 << 30))), max(1, ahead + len(bounds))
 
 
 def write_warc(pages: DataFrame, root: str, shard_bytes: int = 8 << 20, roll_bytes: int = 64 << 20, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
@@ -116,8 +146,10 @@ def write_warc(pages: DataFrame, root: str, shard_bytes: int = 8 << 20, roll_byt
     The payload is the html in UTF-8, empty for null. Of the rows with equal payloads, those with the largest
     page_id are responses (all of them, where repeated rows share it), the others revisit it; a row without a
     page_id ranks below all, and without any id in its group all rows are responses. Records are dealt to shards
-    by ranges of page_id with about ``shard_bytes`` of payload, cut from an exact histogram of the ids, and sorted
-    by page_id (null first), so the files depend on the rows alone. A file is closed when its compressed size
+    by ranges of page_id with about ``shard_bytes`` of payload, more where that would be over 65,536 shards. The ranges
+    are cut where the running sum of bytes over the sorted ids passes a multiple, whatever the ids, so any long is an
+    id and outliers need no care; rows without an id, and repeated rows of an id larger than a shard, are dealt by
+    digest. A shard is sorted by page_id (null first), so the files depend on the rows alone. A file is closed when its compressed size
     reaches ``roll_bytes``. Tasks write under temporary names; only files that the stored manifest names are moved
     to their final names, then the manifest is moved into place: a reader sees all of the archive or none of it.
     Other columns are not read. An empty table gives a manifest without files.
@@ -128,11 +160,12 @@ def write_warc(pages: DataFrame, root: str, shard_bytes: int = 8 << 20, roll_byt
     groups = narrow.groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
     groups = stash(groups.where("n > 1 and first is not null").select("digest", "first"), "payloads")
     revisits = narrow.join(groups, "digest").where("not page_id <=> first").select("page_id", "digest", F.col("first").alias("refers_to")).distinct()
-    bins, number, count = _shards(narrow.select("page_id", (F.col("bytes") + 512).alias("bytes")), shard_bytes)
+    shard, count = _shards(narrow.select("page_id", (F.col("bytes") + 512).alias("bytes")), shard_bytes)
     facts = revisits.select("page_id", F.lit(0).alias("kind"), "refers_to", F.base64("digest").alias("url"), F.lit("").alias("html"))
     rows = pages.select("page_id", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("refers_to"), "url", "html").unionByName(facts)
-    rows = rows.withColumn("bin", number).join(F.broadcast(bins), "bin").select("shard", "page_id", "kind", "refers_to", "url", "html")
-    rows = rows.repartitionByRange(count, "shard").sortWithinPartitions("shard", "page_id", "kind", "url", "html")
+    digest = F.when(F.col("kind") == 0, F.unbase64("url")).otherwise(F.unhex(F.sha1("html")))
+    rows = rows.select(shard(F.col("page_id"), digest).alias("shard"), "page_id", "kind", "refers_to", "url", "html")
+    rows = rows.repartitionById(count, F.col("shard")).sortWithinPartitions("shard", "page_id", "kind", "url", "html")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         attempt, roll, known, done = uuid.uuid4().hex, None, (None, {}), []
@@ -225,7 +258,7 @@ def read_warc(spark: SparkSession, root: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    count = max(1, min(MOST_BINS, names.count()))
+    count = max(1, min(MOST_SHARDS, names.count()))
     return names.repartition(count, "name").mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary")
 
 
