@@ -31,7 +31,7 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_spans(table(spark, sf_dir, "documents"), windows=12)
+    return repeated_spans(table(spark, sf_dir, "documents"), unit="line", windows=12)
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

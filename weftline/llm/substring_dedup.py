@@ -74,7 +74,7 @@ def units(data: np.ndarray, offsets: np.ndarray, unit: str, window: int = 0, amo
     return row, first - w.first[row], points[w.start[first]] - base, points[w.end[last - 1]] - base, last - first, *digests
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "sentence", min_words: int = 20, windows: int = 0) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "line", min_words: int = 20, windows: int = 0) -> DataFrame:
     """Spans to remove: runs of units and windows that occur earlier, of at least ``min_words`` words.
 
     Units are lines, paragraphs (parts between blank lines) or sentences (parts of a line that end in a word with
