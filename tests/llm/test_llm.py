@@ -7,7 +7,10 @@ import itertools
 import random
 import re
 import string
+import time
+import tracemalloc
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -104,6 +107,36 @@ def test_ngram_join_empty(spark):
     assert ngram_join.ngram_join(frame(spark, EDGE), n=3, percent=90).count() == len(EDGE)
 
 
+def test_blocks_of_many_short_sets_stay_small():
+    """20,000 near-equal sets of ten n-grams in one pair of blocks: the product's memory is that of a tile."""
+    rng = np.random.default_rng(4)
+    core = np.sort(rng.integers(0, 2**63, 9, dtype=np.uint64))
+    sets = [np.sort(np.append(core, x)) for x in rng.integers(0, 2**63, 20000, dtype=np.uint64)]
+    tracemalloc.start()
+    found = ngram_join._block_links(np.arange(20000), np.ones(20000, np.int64), np.arange(20000) % 2, sets, 0, 1, 80)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400 << 20 and len(found) == 20000 and (found[:, 2] == 10000).all() and (found[:, 1] == 0).all()
+    assert len(ngram_join._block_links(np.arange(20), np.ones(20, np.int64), np.zeros(20, np.int64), sets[:20], 0, 0, 90)) == 0
+
+
+def test_ngram_join_of_families_in_blocks(spark, monkeypatch):
+    """A family cut into blocks, rows of step b, and more ids than the bitmap takes give the same rows."""
+    rng = random.Random(12)
+    rows = []
+    for g in range(3):
+        base = words(rng, 60 + 40 * g, 3000)
+        for i in range(40):
+            own = list(base)
+            for _ in range(rng.randrange(0, 4)):
+                own[rng.randrange(len(own))] = f"n{rng.randrange(10**6)}"
+            rows.append((1000 * g + i, " ".join(own)))
+    for name, value in (("LEAST_ROWS", 10), ("TILE", 7), ("COLUMNS", 16), ("FILTER_IDS", 3)):
+        monkeypatch.setattr(ngram_join, name, value)
+    got = ngram_join.ngram_join(frame(spark, rows).repartition(5), n=3, percent=90).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == brute_components(rows, 3, 90)
+
+
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(50)] + [(100, 101), (101, 102), (102, 100), (7, 7), (None, 3)]
     got = {r.vertex: r.component for r in connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
@@ -151,7 +184,7 @@ def test_decontamination(spark, corpus):
     docs = list(corpus) + [(2000 + i, " ".join(words(rng, 40, 60) + [t.upper() if t else ""] + words(rng, 9, 60))) for i, (_, t) in enumerate(items)]
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = brute_contamination(docs, items)
-    for size in (32 << 20, 150):
+    for size in (32 << 20, 4000):
         got = dc.contamination(frame(spark, docs), bench, broadcast_bytes=size).collect()
         assert sorted((tuple(r) for r in got), key=repr) == want
     clean = dc.decontaminate(frame(spark, docs), bench.where("item_id <> 3 or text <> 'w9 w8 w7'"))
@@ -194,9 +227,9 @@ def test_substring_dedup(spark, corpus):
             if run and (n := sum(len(x[2]) for x in run)) >= 20:
                 want.add((d, run[0][0], run[-1][1], n, len(run), *min(occurrences[run[0][2]])))
             run = []
-    got = substring_dedup.repeated_spans(frame(spark, rows))
+    got = substring_dedup.repeated_spans(frame(spark, rows), unit="sentence")
     assert {tuple(r) for r in got.collect()} == want and want
-    cleaned = {r.doc_id: r.text for r in substring_dedup.remove_repeats(frame(spark, rows, False)).collect()}
+    cleaned = {r.doc_id: r.text for r in substring_dedup.remove_repeats(frame(spark, rows, False), unit="sentence").collect()}
     assert passage in cleaned[3000] and passage.split(".")[0] not in cleaned[3001] and "tail 1" in cleaned[3001]
     assert substring_dedup.repeated_spans(frame(spark, [])).count() == 0
 
@@ -249,6 +282,17 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_of_any_ids(spark, tmp_path):
+    """The ends of the range of longs, an outlier, and many rows without an id, all in shards of about equal size."""
+    ids = [-(2**63), 2**63 - 1, 2**60, *range(300), *[None] * 100, *[7] * 50]
+    rows = [(p, f"u{k}", f"<p>{k} of its own</p>" + "x" * 500) for k, p in enumerate(ids)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    manifest = warc.write_warc(pages, f"file://{tmp_path}/w", shard_bytes=20000).collect()
+    got = warc.read_warc(spark, f"file://{tmp_path}/w").collect()
+    assert sorted(((r.page_id, r.url, bytes(r.payload).decode()) for r in got), key=repr) == sorted(rows, key=repr)
+    assert len(manifest) > 15 and max(r["records"] for r in manifest) <= 40
+
+
 def test_warc_detects_damage(spark, tmp_path):
     root = f"file://{tmp_path}/w"
     warc.write_warc(spark.createDataFrame([(1, "u", "<p>x</p>")], "page_id long, url string, html string"), root)
@@ -269,6 +313,42 @@ def test_url_rules_and_scores(spark):
     assert got[6][3] == got[8][3] == "block" and got[7][3] == "allow" and got[9][2] is None and got[10][2:] == ("org/es/", "block") and got[12][3] == "allow"
 
 
+def brute_rule(host, path):
+    fits = [(r, v) for v, r in url_filter.RULES if ("." + host).endswith("." + r.partition("/")[0]) and path.startswith("/" + r.partition("/")[2])]
+    return max(fits, key=lambda x: len(x[0]), default=(None, None))
+
+
+def test_url_rules_against_brute_force(spark):
+    hosts = ["example.com", "www.example.com", "com", "badexample.com", "example.net", "a.b.example.net", "net", "org", "x.org", "EXAMPLE.org", "org.", "comm", ""]
+    paths = ["", "/", "/en", "/en/", "/en/7", "/en/71/x", "/de/", "/de/8", "/de/9", "/es/q?x=/en/", "/EN/7", "/x#/de/8"]
+    rows = [(i, f"http://{h}{p}") for i, (h, p) in enumerate(itertools.product(hosts, paths))]
+    got = {r.page_id: r for r in url_filter.url_verdicts(spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, verdict string")).collect()}
+    for i, url in rows:
+        rest = url.split("://")[1]
+        host = re.split(r"[/?#]", rest)[0]
+        path = re.split(r"[?#]", rest[len(host):])[0]
+        rule, verdict = brute_rule(host.lower(), path)
+        assert (got[i].host, got[i].path, got[i]["rule"]) == (host.lower(), path, rule) and verdict in (None, got[i].verdict)
+    assert url_filter.url_verdicts(spark.createDataFrame([], "page_id long, url string")).count() == 0
+    labelled = spark.createDataFrame([("http://zorb.a/x", 1), ("http://zorb.b/y", 1), ("http://quil.a/x", 0), (None, 1), ("http://quil.b", None)], "url string, unwanted int")
+    own = url_filter.url_verdicts(spark.createDataFrame([(1, "http://zorbquil.zorb/"), (2, "http://quil.q/")], "page_id long, url string"), labelled=labelled)
+    assert {r.page_id: r.verdict for r in own.collect()} == {1: "block", 2: "allow"}
+
+
+def test_segmentation_against_all_splits():
+    rng = random.Random(7)
+    model = url_filter.train([["ab", "abc"]], [["c", "bca", "ca"]])
+
+    def cost(pieces):
+        return sum(model.words.get(p, np.log(10) - model.total - np.log(10) * len(p)) for p in pieces)
+
+    for _ in range(200):
+        name = "".join(rng.choice("abcz") for _ in range(rng.randrange(1, 9)))
+        splits = [[name[a:b] for a, b in itertools.pairwise([0, *cut, len(name)])] for k in range(len(name)) for cut in itertools.combinations(range(1, len(name)), k)]
+        assert cost(url_filter.segment(name, model)) == pytest.approx(max(map(cost, splits)))
+    assert sum(map(len, url_filter.segment("z" * 200_000, model))) == 200_000
+
+
 def test_url_model_on_names_it_has_not_seen():
     model = url_filter.train()
     bad = [w for s in url_filter._samples(url_filter.UNWANTED) for w in s if model.weights[w] > 0.3]
@@ -376,10 +456,9 @@ def test_encoder_equals_the_tokenizer():
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
     rng = random.Random(9)
-    texts = ["", " ", "  ", "a  b", "a\n\nb", "a \n b", "\n", "x   z", "a\t\tb c'd it's", "  lead", "trail  ", "tr\n", "<|endoftext|> x", "日本 語　テスト\n\nok", "a\r\n\r\nb", "don't 've  's", "ö.ü,ñ!", "×.÷:", "a  b", "x y", "1.5%, 2/3"]
-    texts += ["".join(rng.choice("ab Z'.,!?\n\t  é日0９😀 _-") for _ in range(rng.randrange(40))) for _ in range(3000)]
+    texts = ["a<|endoftext|><|endoftext|> b\u3000<|endoftext|", "<|endoftext|>", "", " ", "  ", "a  b", "a\n\nb", "a \n b", "\n", "x   z", "a\t\tb c'd it's", "  lead", "trail  ", "tr\n", "<|endoftext|> x", "日本 語　テスト\n\nok", "a\r\n\r\nb", "don't 've  's", "ö.ü,ñ!", "×.÷:", "a  b", "x y", "1.5%, 2/3"]
+    texts += ["".join(rng.choice(["<|endoftext|>", *"ab Z'.,!?\n\t  é日0９😀 _-"]) for _ in range(rng.randrange(40))) for _ in range(3000)]
     encoder, got = packing.Encoder(path, most=50), []
     for c in K.chunks(pa.array(texts), 500):
         ids, at = encoder.encode(c.data, c.offsets)
@@ -420,6 +499,23 @@ def test_toxicity_folding_and_exceptions():
     assert total("1d10t L0SER Ιdiоt tra​sh") == 11.0 and total("the trash can") == 0.0 and total("trashy idiotic bad") == 0.0 and total("badly") == 2.0 and total("") == 0.0
 
 
+def test_matcher_against_brute_force():
+    rng = random.Random(15)
+    weights = {"ab$": 1.0, "ab+": 2.0, "abc$": 5.0, "bca+": 3.0, "c$": 0.5}
+    spared = ("ab c", "bcab")
+    own = toxicity.Matcher(toxicity.Lexicon(weights, spared, (0.0, 0.0, 0.0)))
+    for _ in range(2000):
+        text = "".join(rng.choice("abc  .") for _ in range(rng.randrange(16)))
+        free = [(m.start(), m.end()) for e in spared for m in re.finditer(rf"(?<![a-c])(?={e}(?![a-c]))", text) for m in [re.compile(e).match(text, m.start())]]
+        total = 0.0
+        for m in re.finditer("[abc]+", text):
+            hits = [(w, m.start() + len(e) - 1) for e_, w in weights.items() for e in [e_[:-1]] if m[0].startswith(e) and (len(m[0]) > len(e)) == (e_[-1] == "+")]
+            best = max(hits, default=None)
+            if best and not any(a <= m.start() and best[1] < b for a, b in free):
+                total += best[0]
+        assert own.total(text) == total, text
+
+
 def test_toxicity_on_held_out_labels(spark):
     d = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{d}/labels.parquet")
@@ -446,6 +542,53 @@ def test_block_parser():
     assert html_blocks.blocks("") == [] and [b.text for b in html_blocks.blocks("1 < 2 <3")] == ["1 < 2 <3"]
 
 
+class _Reference(HTMLParser):
+    """Texts between block elements by another parser."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.out, self.held, self.raw = [], [], 0
+        self.feed(page)
+        self.close()
+        self.end()
+
+    def end(self):
+        text = " ".join("".join(self.held).split())
+        self.out += [text] if text else []
+        self.held = []
+
+    def handle_starttag(self, tag, attrs):
+        self.end() if tag in html_blocks.BLOCK else self.held.append(" ") if tag == "br" else None
+        self.raw += tag in html_blocks.RAW
+
+    def handle_endtag(self, tag):
+        self.end() if tag in html_blocks.BLOCK else None
+        self.raw -= tag in html_blocks.RAW
+
+    def handle_data(self, data):
+        self.held.append("" if self.raw else data)
+
+
+def test_blocks_against_another_parser():
+    for page, _ in html_blocks.labelled_pages(150, 77):
+        assert [b.text for b in html_blocks.blocks(page)] == _Reference(page).out
+
+
+def test_blocks_keep_text_and_read_hostile_pages_in_linear_time():
+    texts = lambda page: [b.text for b in html_blocks.blocks(page)]
+    assert texts("<p>One <math>x=1</math> two<svg class='i'/> three") == ["One x=1 two three"]
+    assert texts("<p>a<video>alt</video> <noscript>n</noscript><canvas>c") == ["aalt nc"]
+    assert texts("<p>a<script>x") == ["a"] and texts("a<iframe>no</iframe>b<style>s</style>c") == ["abc"]
+    began = time.time()
+    for page in ("<a " * 350_000, "<a x='" * 170_000, "<a '>'" * 170_000, "<b>" * 300_000 + "</i>" * 99_000, "<script>" + "</script " * 99_000, "<!x " * 99_000, "<div>" + "<b>" * 99_000 + "<li>x" * 20_000):
+        html_blocks.blocks(page)
+    assert time.time() - began < 40
+    long, tail = "word " * 64, "tail"
+    page = lambda end: html_blocks.blocks(f"<p class='{' '.join(f'c{k}' for k in range(20))} comments'>{long}{end}</p>")
+    assert (html_extract.features(page("x y z")) != html_extract.features(page(f"{tail} b c"))).any()
+    assert html_blocks.blocks("<p class='a b c d e f g h i j k l m'>x")[0].path != html_blocks.blocks("<p class='a b c d e f g h i j k l'>x")[0].path
+
+
 def test_lstm_gradients():
     rng = np.random.default_rng(0)
     x, live = rng.standard_normal((4, 3, html_extract.INPUT)).astype(np.float32), np.array([[1, 1, 1], [1, 1, 1], [1, 0, 1], [1, 0, 0]], bool)
@@ -472,6 +615,10 @@ def test_html_extraction_on_unseen_pages(spark):
     got = sorted(((r.page_id, r.text, r.n_chars) for r in html_extract.page_texts(rows).collect()))
     text = "Head line One & two three. Four five six seven eight nine ten."
     assert got == [(1, text, len(text)), (1, text, len(text)), (2, "", 0), (3, "", 0)]
+    assert html_extract.page_texts(rows.limit(0)).count() == 0
+    many = "<article><p>" + "</p><p>".join(f"Some words of part {k} of it." for k in range(30_000)) + "</p></article>"
+    long = html_extract.page_texts(spark.createDataFrame([(9, "u", many)], "page_id long, url string, html string")).first()
+    assert long.text.startswith("Some words of part 0") and long.n_chars > 700_000
 
 
 def test_pipeline(spark):
@@ -492,4 +639,5 @@ def test_pipeline(spark):
     assert sizes[0] >= sizes[1] == sizes[2] == sizes[3] > 0
     assert dc.contamination(docs, spark.read.parquet(f"{d}/benchmark.parquet")).where("contaminated").count() == 0
     packed = corpus_pipeline.run(spark, d)
+    assert packed.where("size(ids) <> length").count() == 0
     assert packed.select("doc_id").distinct().count() == sizes[-1]
