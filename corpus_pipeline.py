@@ -50,8 +50,8 @@ def cut_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the tokenised documents in sequences of at most 1024 tokens, along a Hilbert curve."""
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), keep_ids=False)
+    """Pieces of the tokenised documents, with their ids, in sequences of at most 1024 tokens, along a Hilbert curve."""
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [
