@@ -16,7 +16,7 @@ from weftline.llm import textkernel as K
 from weftline.llm.fm_index import FMIndex
 from weftline.llm.shared import row_type, stash, unpacked, with_row
 
-SHARD = 8 << 20
+SHARD = 2 << 20
 FOUND = "n_words long, n_hit long, item_ids array<string>, spans array<struct<start:long,end:long>>"
 
 
