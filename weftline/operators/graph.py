@@ -5,18 +5,18 @@ Rounds write their frontier to the checkpoint folder of the session where it nam
 
 from __future__ import annotations
 
-import tempfile
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.sources.folders import shared_folder
+
 
 def cut(df: DataFrame) -> DataFrame:
-    """An eager checkpoint in the shared folder spark.checkpoint.dir; a temporary folder stands in where it is unset."""
+    """An eager checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -26,7 +26,7 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 def bfs(edges: DataFrame, start: int, depth: int, directed: bool = True) -> DataFrame:
     """Vertices within ``depth`` hops with their distance and the least parent that reaches them first."""
-    e = edges.select("src", "dst").where("src <> dst").distinct() if directed else undirected(edges)
+    e = cut(edges.select("src", "dst").where("src <> dst").distinct() if directed else undirected(edges))
     found = e.sparkSession.createDataFrame([(start, 0, None)], "id long, hops int, parent long")
     frontier = found
     for hop in range(1, depth + 1):
@@ -65,15 +65,23 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def triangles(edges: DataFrame) -> DataFrame:
-    """Triangles a < b < c of the undirected graph, each found from its vertex of least degree."""
-    e = undirected(edges)
+def by_degree(e: DataFrame) -> DataFrame:
+    """Each undirected edge once, from its end of lesser degree: at most sqrt(2 E) from each vertex."""
     degree = e.groupBy(F.col("src").alias("v")).agg(F.count(F.lit(1)).alias("n"))
     ranked = e.join(degree.select(F.col("v").alias("src"), F.col("n").alias("n1")), "src").join(degree.select(F.col("v").alias("dst"), F.col("n").alias("n2")), "dst")
-    out = ranked.where(F.struct("n1", "src") < F.struct("n2", "dst")).select("src", "dst")  # at most sqrt(2 E) from each vertex
+    return ranked.where(F.struct("n1", "src") < F.struct("n2", "dst")).select("src", "dst")
+
+
+def wedges_closed(e: DataFrame) -> DataFrame:
+    """Triangles as (src, x, y), x < y, each once at its vertex of least degree."""
+    out = by_degree(e)
     wedge = out.select("src", F.col("dst").alias("x")).join(out.select("src", F.col("dst").alias("y")), "src").where("x < y")
-    closed = wedge.join(e.where("src < dst").select(F.col("src").alias("x"), F.col("dst").alias("y")), ["x", "y"])
-    t = closed.select(F.array_sort(F.array("src", "x", "y")).alias("t"))
+    return wedge.join(e.where("src < dst").select(F.col("src").alias("x"), F.col("dst").alias("y")), ["x", "y"]).select("src", "x", "y")
+
+
+def triangles(edges: DataFrame) -> DataFrame:
+    """Triangles a < b < c of the undirected graph, each found from its vertex of least degree."""
+    t = wedges_closed(undirected(edges)).select(F.array_sort(F.array("src", "x", "y")).alias("t"))
     return t.select(F.col("t")[0].alias("a"), F.col("t")[1].alias("b"), F.col("t")[2].alias("c"))
 
 
@@ -91,27 +99,28 @@ def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
     return labels
 
 
-def cliques(edges: DataFrame, least: int = 3, largest_component: int = 50, most: int = 100) -> DataFrame:
-    """Maximal cliques of at least ``least`` members, per connected component.
+def cliques(edges: DataFrame, least: int = 3) -> DataFrame:
+    """All maximal cliques of at least ``least`` members (3 or more) as (members, size).
 
-    The operator's limits: components of more than ``largest_component`` vertices have none reported, and at most
-    ``most`` cliques, the largest first, are returned of each component.
+    A clique is searched at its vertex of least degree, among the triangles there: a group holds the edges between at
+    most sqrt(2 E) neighbours, whatever the graph and its components. A clique found so is dropped where a vertex
+    outside is joined to all of its members.
     """
-    e = undirected(edges)
-    label = components(edges)
-    sizes = label.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where(F.col("size").between(least, largest_component))
-    own = e.join(label.join(sizes, "component").select(F.col("id").alias("src"), "component"), "src")
+    if least < 3:
+        raise ValueError("cliques have three members at least")
+    e = cut(undirected(edges))
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         near: dict[int, set[int]] = {}
-        for a, b in zip(pdf["src"], pdf["dst"], strict=True):
+        for a, b in zip(pdf["x"], pdf["y"], strict=True):
             near.setdefault(int(a), set()).add(int(b))
-        found: list[list[int]] = []
+            near.setdefault(int(b), set()).add(int(a))
+        home, found = int(pdf["src"].iloc[0]), []
 
         def grow(chosen: list[int], open_: set[int], done: set[int]) -> None:
             if not open_ and not done:
-                if len(chosen) >= least:
-                    found.append(sorted(chosen))
+                if len(chosen) + 1 >= least:
+                    found.append(sorted([home, *chosen]))
                 return
             hub = max(open_ | done, key=lambda v: (len(near[v] & open_), -v))
             for v in sorted(open_ - near[hub]):
@@ -119,10 +128,12 @@ def cliques(edges: DataFrame, least: int = 3, largest_component: int = 50, most:
                 open_, done = open_ - {v}, done | {v}
 
         grow([], set(near), set())
-        found.sort(key=lambda c: (-len(c), c))
-        return pd.DataFrame({"component": [int(pdf["component"].iloc[0])] * len(found[:most]), "members": pd.Series(found[:most], dtype=object)})
+        return pd.DataFrame({"members": pd.Series(found, dtype=object)})
 
-    return own.groupBy("component").applyInPandas(search, "component long, members array<long>")
+    found = cut(wedges_closed(e).groupBy("src").applyInPandas(search, "members array<long>"))
+    outside = found.select("members", F.explode("members").alias("dst")).join(e, "dst").groupBy("members", "src").agg(F.count(F.lit(1)).alias("n"))
+    larger = outside.where(F.col("n") == F.size("members")).select("members").distinct()
+    return found.join(larger, "members", "left_anti").select("members", F.size("members").alias("size"))
 
 
 def levels(edges: DataFrame, root: int, depth: int) -> DataFrame:

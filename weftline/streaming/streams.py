@@ -6,19 +6,18 @@ compared with the batch query of the same meaning.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.operators.tables import upsert
+from weftline.sources.folders import shared_folder
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder that spark.checkpoint.dir names; a temporary one where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def read_events(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
@@ -35,8 +34,14 @@ def keyword_stream(events: DataFrame, kinds: list[str], pattern: str) -> DataFra
     return events.where(F.col("event_type").isin(kinds) & F.col("props").rlike(pattern))
 
 
-def once(events: DataFrame, key: str, time: str, delay: str = "2 days") -> DataFrame:
-    """Each key once, with state bounded by the watermark."""
+def once(events: DataFrame, key: str, time: str | None = None, delay: str | None = None) -> DataFrame:
+    """Each key once, in whatever order the input comes: the state holds every key.
+
+    With ``delay`` keys are forgotten behind the watermark of ``time``, and rows later than that are dropped: only for
+    input that is known to be no later.
+    """
+    if delay is None:
+        return events.dropDuplicates([key])
     return events.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 
@@ -46,28 +51,43 @@ def rates(events: DataFrame, width: str, delay: str) -> DataFrame:
     return events.withWatermark("ts", delay).groupBy(w, "user_id").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), "user_id", "n")
 
 
-def run_append(stream: DataFrame, spark: SparkSession) -> DataFrame:
-    out, state = folder(spark, "stream"), folder(spark, "state")
+def run_append(stream: DataFrame, spark: SparkSession, out: str | None = None, state: str | None = None) -> DataFrame:
+    """Append all available rows to ``out``. With the same ``out`` and ``state`` a later run goes on where the last stopped."""
+    out, state = out or folder(spark, "stream"), state or folder(spark, "state")
     q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def run_top(stream: DataFrame, spark: SparkSession, key: str, order: str, k: int) -> DataFrame:
+def _versions(spark: SparkSession, root: str) -> list[int]:
+    """Numbers of the finished versions under ``root``, ascending."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return []
+    done = files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/*/_SUCCESS"))
+    return sorted(int(s.getPath().getParent().getName()) for s in done)
+
+
+def run_top(stream: DataFrame, spark: SparkSession, key: str, order: str, k: int, root: str | None = None, state: str | None = None) -> DataFrame:
     """The newest ``k`` rows by ``order`` with one row a key: each micro-batch merges into the stored set.
 
-    Each batch writes a new version and is idempotent: a repeated batch merges the same rows again.
+    A batch reads the last version before its own number and writes its own, so a repeated batch gives the same set and
+    none writes what it reads. With the same ``root`` and ``state`` a later run goes on where the last stopped. Versions
+    before the last two are deleted.
     """
-    root, state = folder(spark, "top"), folder(spark, "state")
-    versions: list[str] = []
+    root, state = root or folder(spark, "top"), state or folder(spark, "state")
 
     def merge(batch: DataFrame, number: int) -> None:
-        new = batch.dropDuplicates([key])
-        have = batch.sparkSession.read.schema(batch.schema).parquet(versions[-1]) if versions else batch.limit(0)
-        path = f"{root}/{number}"
-        upsert(have, new, [key], F.col(order)).orderBy(F.desc(order), F.desc(key)).limit(k).write.mode("overwrite").parquet(path)
-        versions.append(path)
+        own = batch.sparkSession
+        before = [v for v in _versions(own, root) if v < number]
+        have = own.read.schema(batch.schema).parquet(f"{root}/{before[-1]}") if before else batch.limit(0)
+        upsert(have, batch.dropDuplicates([key]), [key], F.col(order)).orderBy(F.desc(order), F.desc(key)).limit(k).write.mode("overwrite").parquet(f"{root}/{number}")
+        for v in before[:-1]:
+            old = own._jvm.org.apache.hadoop.fs.Path(f"{root}/{v}")
+            old.getFileSystem(own._jsc.hadoopConfiguration()).delete(old, True)
 
     q = stream.writeStream.foreachBatch(merge).option("checkpointLocation", state).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(versions[-1]) if versions else stream.sparkSession.createDataFrame([], stream.schema)
+    have = _versions(spark, root)
+    return spark.read.schema(stream.schema).parquet(f"{root}/{have[-1]}") if have else spark.createDataFrame([], stream.schema)
