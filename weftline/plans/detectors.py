@@ -43,13 +43,13 @@ def mutual_attestation(spark, d):
 
 
 @query("""
-WITH v AS (SELECT DISTINCT l_suppkey AS voter, l_partkey % 40 AS post FROM lineitem WHERE l_quantity > 44 AND l_partkey % 40 < 12), n AS (SELECT voter, count(*) AS n FROM v GROUP BY 1 HAVING count(*) >= 5)
+WITH v AS (SELECT DISTINCT l_suppkey AS voter, l_partkey % 400 AS post FROM lineitem), n AS (SELECT voter, count(*) AS n FROM v GROUP BY 1 HAVING count(*) >= 5)
 SELECT a.voter, b.voter AS other, count(*) AS common, any_value(x.n) AS n, any_value(y.n) AS m FROM v a JOIN v b ON a.post = b.post AND a.voter < b.voter JOIN n x ON x.voter = a.voter JOIN n y ON y.voter = b.voter
 GROUP BY 1, 2 HAVING count(*) >= 0.8 * any_value(x.n) AND count(*) >= 0.8 * any_value(y.n)
 """)
-def voting_ring(spark, d, part="l_quantity > 44 and l_partkey % 40 < 12", post="l_partkey % 40"):
+def voting_ring(spark, d):
     """Voters with nearly the same sets of posts."""
-    v = load(spark, d, "lineitem").where(part).select(F.col("l_suppkey").alias("voter"), F.expr(post).alias("post"))
+    v = load(spark, d, "lineitem").select(F.col("l_suppkey").alias("voter"), (F.col("l_partkey") % 400).alias("post"))
     return det.voting_pairs(v)
 
 

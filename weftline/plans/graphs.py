@@ -16,49 +16,44 @@ def ego_graph(spark, d):
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT DISTINCT user_id AS src, (props->>'k')::BIGINT AS dst FROM events WHERE event_type = 'purchase' AND user_id <> (props->>'k')::BIGINT AND user_id % 3 = 0 AND value > 60),
+WITH RECURSIVE e AS (SELECT DISTINCT user_id AS src, (props->>'k')::BIGINT AS dst FROM events WHERE event_type = 'purchase' AND user_id <> (props->>'k')::BIGINT),
 t(id, hops) AS (SELECT 9::BIGINT, 0 UNION SELECT e.dst, hops + 1 FROM t JOIN e ON e.src = t.id WHERE hops < 4)
 SELECT id, min(hops) AS hops FROM t GROUP BY 1
 """)
-def reachable(spark, d, part="user_id % 3 = 0 and value > 60"):
-    """Distances within four hops on a sparse graph."""
-    e = m.events(spark, d).where("event_type = 'purchase' and user_id <> k").where(part).select(F.col("user_id").alias("src"), F.col("k").alias("dst"))
+def reachable(spark, d):
+    """Distances within four hops on the purchase graph."""
+    e = m.events(spark, d).where("event_type = 'purchase' and user_id <> k").select(F.col("user_id").alias("src"), F.col("k").alias("dst"))
     return g.bfs(e, 9, 4).select("id", "hops")
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT DISTINCT user_id AS src, (props->>'k')::BIGINT AS dst FROM events WHERE event_type = 'purchase' AND user_id <> (props->>'k')::BIGINT AND user_id % 3 = 0 AND value > 60),
+WITH RECURSIVE e AS (SELECT DISTINCT user_id AS src, (props->>'k')::BIGINT AS dst FROM events WHERE event_type = 'purchase' AND user_id <> (props->>'k')::BIGINT),
 t(id, hops) AS (SELECT 9::BIGINT, 0 UNION SELECT e.dst, hops + 1 FROM t JOIN e ON e.src = t.id WHERE hops < 6), dist AS (SELECT id, min(hops) AS hops FROM t GROUP BY 1),
 par AS (SELECT d.id, d.hops, min(p.id) AS parent FROM dist d JOIN e ON e.dst = d.id JOIN dist p ON p.id = e.src AND p.hops = d.hops - 1 GROUP BY ALL),
 walk(place, id) AS (SELECT hops, id FROM dist WHERE id = (SELECT max(id) FROM dist WHERE hops = (SELECT max(hops) FROM dist)) UNION SELECT place - 1, parent FROM walk JOIN par USING (id) WHERE place > 0)
 SELECT place, id FROM walk
 """)
-def shortest_path(spark, d, part="user_id % 3 = 0 and value > 60"):
+def shortest_path(spark, d):
     """A shortest path to the farthest vertex, through the least parents."""
-    e = m.events(spark, d).where("event_type = 'purchase' and user_id <> k").where(part).select(F.col("user_id").alias("src"), F.col("k").alias("dst"))
+    e = m.events(spark, d).where("event_type = 'purchase' and user_id <> k").select(F.col("user_id").alias("src"), F.col("k").alias("dst"))
     goal = g.bfs(e, 9, 6).agg(F.max_by("id", F.struct("hops", "id"))).first()[0]
     return g.shortest_path(e, 9, goal)
 
 
-_SPARSE = "SELECT DISTINCT l_suppkey AS src, 1000000 + l_partkey AS dst FROM lineitem WHERE l_quantity = 50 AND l_discount = 0 AND l_tax = 0"
-
-
-@query(f"""
-WITH RECURSIVE e AS ({_SPARSE}), u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), t(id, seen) AS (SELECT DISTINCT src, src FROM u UNION SELECT u.dst, t.seen FROM t JOIN u ON u.src = t.id)
-SELECT id, min(seen) AS component FROM t GROUP BY 1
-""")
-def connected_components(spark, d, part="l_quantity = 50 and l_discount = 0 and l_tax = 0"):
-    """Components of a sparse bipartite graph."""
-    e = load(spark, d, "lineitem").where(part).select(F.col("l_suppkey").alias("src"), (F.lit(1000000) + F.col("l_partkey")).alias("dst"))
+@query()
+def connected_components(spark, d):
+    """Components of the bipartite graph of suppliers and parts."""
+    e = load(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), (F.lit(1000000) + F.col("l_partkey")).alias("dst"))
     return g.components(e)
 
 
 @query(m.SQL + """
 , u AS (SELECT DISTINCT least(src, dst) AS x, greatest(src, dst) AS y FROM follows)
-SELECT p.x AS a, p.y AS b, q.y AS c FROM u p JOIN u q ON q.x = p.y JOIN u r ON r.x = p.x AND r.y = q.y WHERE p.x < 40
+SELECT p.x AS a, p.y AS b, q.y AS c FROM u p JOIN u q ON q.x = p.y JOIN u r ON r.x = p.x AND r.y = q.y
 """)
-def triangles(spark, d, part="a < 40"):
-    return g.triangles(m.follows(spark, d)).where(part)
+def triangles(spark, d):
+    """All triangles of the follow graph."""
+    return g.triangles(m.follows(spark, d))
 
 
 @query(m.SQL + "SELECT f.src AS id, count(*) AS crossing FROM follows f JOIN entities a ON a.id = f.src JOIN entities b ON b.id = f.dst WHERE a.framework <> b.framework GROUP BY 1 HAVING count(*) > 10")
@@ -80,10 +75,10 @@ def network_stats(spark, d):
     return n.agg(F.count(F.lit(1)).alias("vertices"), F.sum("o").alias("edges"), F.round(F.avg(F.col("o") + F.col("i")), 6).alias("mean_degree"), F.max_by("id", F.struct("i", -F.col("id"))).alias("most_followed"), F.max("i").alias("followers"))
 
 
-@query(m.SQL + ", top AS (SELECT id FROM entities WHERE id < 150 ORDER BY balance DESC, id LIMIT 30) SELECT src, dst FROM follows WHERE src IN (SELECT id FROM top) AND dst IN (SELECT id FROM top)")
-def induced_subgraph(spark, d, part="id < 150"):
+@query(m.SQL + ", top AS (SELECT id FROM entities ORDER BY balance DESC, id LIMIT 600) SELECT src, dst FROM follows WHERE src IN (SELECT id FROM top) AND dst IN (SELECT id FROM top)")
+def induced_subgraph(spark, d):
     """Edges inside the most trusted entities: two semi joins with a bounded set."""
-    top = m.entities(spark, d).where(part).orderBy(F.desc("balance"), "id").limit(30).select("id")
+    top = m.entities(spark, d).orderBy(F.desc("balance"), "id").limit(600).select("id")
     f = m.follows(spark, d)
     return f.join(top, f["src"] == top["id"], "left_semi").join(top, F.col("dst") == top["id"], "left_semi")
 

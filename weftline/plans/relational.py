@@ -201,11 +201,11 @@ def conflict_flag(spark, d):
 
 @query(m.SQL + """
 SELECT coalesce(a.k, b.k) AS k, coalesce(a.n, 0) AS clicks, coalesce(b.n, 0) AS purchases, coalesce(b.n, 0) / nullif(a.n, 0)::DOUBLE AS rate
-FROM (SELECT k, count(*) AS n FROM ev WHERE event_type = 'click' AND value > 60 GROUP BY 1) a FULL JOIN (SELECT k, count(*) AS n FROM ev WHERE event_type = 'purchase' AND value > 60 GROUP BY 1) b USING (k)
+FROM (SELECT k, count(*) AS n FROM ev WHERE event_type = 'click' GROUP BY 1) a FULL JOIN (SELECT k, count(*) AS n FROM ev WHERE event_type = 'purchase' GROUP BY 1) b USING (k)
 """)
 def full_outer_attribution(spark, d):
     """Two sources by campaign, either of which may be missing."""
-    e = m.events(spark, d).where("value > 60")
+    e = m.events(spark, d)
     counted = lambda kind, name: e.where(F.col("event_type") == kind).groupBy("k").agg(F.count(F.lit(1)).alias(name))
     both = counted("click", "clicks").join(counted("purchase", "purchases"), "k", "full_outer")
     return both.select("k", F.coalesce("clicks", F.lit(0)).alias("clicks"), F.coalesce("purchases", F.lit(0)).alias("purchases"), ratio(F.coalesce("purchases", F.lit(0)), F.col("clicks"), None).alias("rate"))
@@ -232,11 +232,11 @@ def latest_message(spark, d):
     return latest(load(spark, d, "conversations"), ["conv_id"], [F.desc("turn"), F.col("role")]).select("conv_id", "turn", "role", F.length("text").cast("long").alias("n"))
 
 
-@query("SELECT p_brand, p_type, count(*) AS n, string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey) AS parts FROM part WHERE p_size > 40 GROUP BY ALL")
+@query("SELECT l_orderkey, count(*) AS n, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_partkey) AS parts FROM lineitem GROUP BY ALL")
 def nested_capabilities(spark, d):
-    """A nested list per group, joined in order of the key."""
-    p = load(spark, d, "part").where("p_size > 40").groupBy("p_brand", "p_type").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("p_partkey")).alias("keys"))
-    return p.select("p_brand", "p_type", "n", F.array_join(F.transform("keys", lambda k: k.cast("string")), ",").alias("parts"))
+    """An owner's few entries as one nested list, in order of their keys."""
+    p = load(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("l_partkey")).alias("keys"))
+    return p.select("l_orderkey", "n", F.array_join(F.transform("keys", lambda k: k.cast("string")), ",").alias("parts"))
 
 
 @query(m.SQL + "SELECT count(*) AS n, count(*) FILTER (WHERE a.framework IS DISTINCT FROM b.framework) AS crossing FROM attestations t JOIN entities a ON a.id = t.attester JOIN entities b ON b.id = t.target")
@@ -273,30 +273,30 @@ def hist_labelled(spark, d):
     return labels.join(counts, "label", "left").crossJoin(F.broadcast(total)).select("label", F.coalesce("n", F.lit(0)).alias("n"), F.round(100.0 * F.coalesce("n", F.lit(0)) / F.col("total"), 4).alias("percent"))
 
 
-@query("SELECT h::INT AS hour, count(e.event_id) AS n FROM range(24) t(h) LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase' AND user_id < 20) e ON hour(e.ts) = h GROUP BY 1")
-def hourly_zero_filled(spark, d, part="user_id < 20"):
-    counts = load(spark, d, "events").where("event_type = 'purchase'").where(part).groupBy(F.hour("ts").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+@query("SELECT h::INT AS hour, count(e.event_id) AS n FROM range(24) t(h) LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase' ) e ON hour(e.ts) = h GROUP BY 1")
+def hourly_zero_filled(spark, d):
+    counts = load(spark, d, "events").where("event_type = 'purchase'").groupBy(F.hour("ts").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
     return spark.range(24).select(F.col("id").cast("int").alias("hour")).join(counts, "hour", "left").select("hour", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("""
 SELECT strftime(ts, '%Y-%m-%d') AS day, nullif(count(*) FILTER (WHERE event_type = 'view'), 0) AS "view", nullif(count(*) FILTER (WHERE event_type = 'click'), 0) AS click,
-nullif(count(*) FILTER (WHERE event_type = 'purchase'), 0) AS purchase FROM events WHERE user_id < 8 GROUP BY 1
+nullif(count(*) FILTER (WHERE event_type = 'purchase'), 0) AS purchase FROM events GROUP BY 1
 """)
-def daily_pivot(spark, d, part="user_id < 8"):
+def daily_pivot(spark, d):
     """Day by type; combinations that do not occur stay null."""
-    e = load(spark, d, "events").where(part)
+    e = load(spark, d, "events")
     return e.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).pivot("event_type", ["view", "click", "purchase"]).count()
 
 
 @query("""
 SELECT step, event_type, n, n / nullif(lag(n) OVER (ORDER BY step), 0)::DOUBLE AS conversion FROM (
-SELECT s.step, s.event_type, count(DISTINCT e.user_id) AS n FROM (VALUES (1, 'view'), (2, 'click'), (3, 'signup'), (4, 'purchase')) s(step, event_type) LEFT JOIN events e ON e.event_type = s.event_type AND e.value > 150 GROUP BY ALL)
+SELECT s.step, s.event_type, count(DISTINCT e.user_id) AS n FROM (VALUES (1, 'view'), (2, 'click'), (3, 'signup'), (4, 'purchase')) s(step, event_type) LEFT JOIN events e ON e.event_type = s.event_type GROUP BY ALL)
 """)
 def funnel(spark, d):
     """Users by ordered step and the share of the step before."""
     steps = spark.createDataFrame([(1, "view"), (2, "click"), (3, "signup"), (4, "purchase")], "step int, event_type string")
-    users = load(spark, d, "events").where("value > 150").groupBy("event_type").agg(F.count_distinct("user_id").alias("n"))
+    users = load(spark, d, "events").groupBy("event_type").agg(F.count_distinct("user_id").alias("n"))
     n = steps.join(users, "event_type", "left").select("step", "event_type", F.coalesce("n", F.lit(0)).alias("n"))
     return n.withColumn("conversion", ratio(F.col("n"), F.lag("n").over(W.orderBy("step")), None))
 
@@ -377,10 +377,12 @@ def weekly_baseline(spark, d):
     )
 
 
-@query("SELECT r::INT AS rating, count(l_orderkey) AS n FROM range(1, 6) t(r) LEFT JOIN (SELECT l_orderkey, 1 + l_quantity::INT % 5 AS rating FROM lineitem WHERE l_suppkey = 3) ON rating = r GROUP BY 1")
+@query("SELECT s_suppkey, r::INT AS rating, count(l_orderkey) AS n FROM supplier CROSS JOIN range(1, 6) t(r) LEFT JOIN lineitem ON l_suppkey = s_suppkey AND 1 + l_quantity::INT % 5 = r GROUP BY 1, 2")
 def rating_summary(spark, d):
-    counts = load(spark, d, "lineitem").where("l_suppkey = 3").groupBy((1 + F.col("l_quantity").cast("int") % 5).alias("rating")).agg(F.count(F.lit(1)).alias("n"))
-    return spark.range(1, 6).select(F.col("id").cast("int").alias("rating")).join(counts, "rating", "left").select("rating", F.coalesce("n", F.lit(0)).alias("n"))
+    """The spread of each supplier's ratings from 1 to 5, zeros included: five counts in one aggregate."""
+    n = load(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(*(F.count_if(1 + F.col("l_quantity").cast("int") % 5 == r).alias(str(r)) for r in range(1, 6)))
+    each = F.explode(F.array(*(F.struct(F.lit(r).alias("rating"), F.coalesce(F.col(str(r)), F.lit(0)).alias("n")) for r in range(1, 6))))
+    return load(spark, d, "supplier").select("s_suppkey").join(n, "s_suppkey", "left").select("s_suppkey", each.alias("e")).select("s_suppkey", "e.*")
 
 
 @query(m.SQL + "SELECT (SELECT count(*) FROM follows) AS edges, n AS vertices, (SELECT count(*) FROM follows) / (n * (n - 1.0)) AS density FROM (SELECT count(*) AS n FROM (SELECT src FROM follows UNION SELECT dst FROM follows))")
@@ -460,10 +462,10 @@ def zscore_outliers(spark, d):
     return outliers(load(spark, d, "supplier"), "s_acctbal", 1.2).select("s_suppkey", r6(F.col("z")).alias("z"))
 
 
-@query(m.SQL + "SELECT a.event_id, (SELECT count(*) FROM ev b WHERE b.user_id = a.user_id AND b.us // 1000000 BETWEEN a.us // 1000000 - 3600 AND a.us // 1000000) AS in_window FROM ev a WHERE a.user_id < 30")
-def sliding_window(spark, d, part="user_id < 30"):
+@query(m.SQL + "SELECT a.event_id, (SELECT count(*) FROM ev b WHERE b.user_id = a.user_id AND b.us // 1000000 BETWEEN a.us // 1000000 - 3600 AND a.us // 1000000) AS in_window FROM ev a")
+def sliding_window(spark, d):
     """Events of the same user in the hour up to each event."""
-    e = m.events(spark, d).where(part).select("event_id", "user_id", F.floor(F.col("us") / 1_000_000).alias("s"))
+    e = m.events(spark, d).select("event_id", "user_id", F.floor(F.col("us") / 1_000_000).alias("s"))
     return window_counts(e, "user_id", "s", 3600).select("event_id", "in_window")
 
 

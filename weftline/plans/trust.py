@@ -92,13 +92,13 @@ def community_decay(spark, d):
 
 @query(m.SQL + """
 , k AS (SELECT target, context, avg(weight) AS w, count(*) AS n FROM attestations GROUP BY ALL), s AS (SELECT target, arg_max(context, (n, context)) AS primary_context, max(w) FILTER (WHERE context = 'data') AS data FROM k GROUP BY 1)
-SELECT id, primary_context, round(CASE WHEN data IS NULL THEN balance / 10000 ELSE 0.7 * balance / 10000 + 0.3 * data END, 9) AS blended FROM entities LEFT JOIN s ON target = id WHERE id < 150
+SELECT id, primary_context, round(CASE WHEN data IS NULL THEN balance / 10000 ELSE 0.7 * balance / 10000 + 0.3 * data END, 9) AS blended FROM entities LEFT JOIN s ON target = id
 """)
-def contextual_blend(spark, d, part="id < 150"):
+def contextual_blend(spark, d):
     """Base score blended with one context's score where there is one; the primary context is the most frequent."""
     k = m.attestations(spark, d).groupBy("target", "context").agg(F.avg("weight").alias("w"), F.count(F.lit(1)).alias("n"))
     s = k.groupBy(F.col("target").alias("id")).agg(F.max_by("context", F.struct("n", "context")).alias("primary_context"), F.max(F.when(F.col("context") == "data", F.col("w"))).alias("data"))
-    e = m.entities(spark, d).where(part).join(s, "id", "left")
+    e = m.entities(spark, d).join(s, "id", "left")
     return e.select("id", "primary_context", F.round(t.blend(F.col("balance") / 10000, F.col("data")), 9).alias("blended"))
 
 
@@ -129,11 +129,11 @@ def v2_aggregate(spark, d):
 
 
 @query(m.SQL + """
-, c AS (SELECT target AS subject, CASE context WHEN 'code' THEN 'identity' WHEN 'data' THEN 'authority' ELSE 'continuity' END AS claim, count(*) AS n, count(DISTINCT attester % 4) AS p FROM attestations WHERE attester < 40 GROUP BY ALL)
+, c AS (SELECT target AS subject, CASE context WHEN 'code' THEN 'identity' WHEN 'data' THEN 'authority' ELSE 'continuity' END AS claim, count(*) AS n, count(DISTINCT attester % 4) AS p FROM attestations GROUP BY ALL)
 SELECT subject, round(least(sum(CASE claim WHEN 'identity' THEN 0.60::DOUBLE WHEN 'authority' THEN 0.25::DOUBLE ELSE 0.15::DOUBLE END * least(least(0.5 + (p - 1) * 0.25, 1.0) + CASE WHEN n > 1 THEN least(log10(n + 1.0::DOUBLE) / 10, 0.1) ELSE 0 END, 1.0)), 1.0), 4) AS score FROM c GROUP BY 1
 """)
-def chain_score(spark, d, part="attester < 40"):
-    a = m.attestations(spark, d).where(part)
+def chain_score(spark, d):
+    a = m.attestations(spark, d)
     claim = F.when(F.col("context") == "code", "identity").when(F.col("context") == "data", "authority").otherwise("continuity")
     return t.chain_score(a.select(F.col("target").alias("subject"), claim.alias("claim"), (F.col("attester") % 4).alias("provider")))
 
