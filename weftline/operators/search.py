@@ -47,6 +47,33 @@ def frequency_rank(words: Column, terms: list[str]) -> Column:
     return F.round(F.try_divide(1000.0 * hits, F.size(words)), 6)
 
 
+def _term(term: str, whole: bool) -> str:
+    """A pattern for a word, or for a word's beginning, over lower-case text."""
+    word = TOKEN.removesuffix("+")
+    return f"(?<!{word}){re.escape(term)}" + (f"(?!{word})" if whole else "")
+
+
+def text_has(text: Column, terms: list[str], whole: bool = True) -> Column:
+    """As matches_all (or matches_prefixes) over the text's tokens, by one scan a term and without building them."""
+    out, low = F.lit(bool(terms)), F.lower(text)
+    for t in terms:
+        out = out & low.contains(t) & low.rlike(_term(t, whole))
+    return out
+
+
+def text_rank(text: Column, terms: list[str]) -> Column:
+    """As frequency_rank over the text's tokens, without building them."""
+    low = F.lower(text)
+    hits = F.regexp_count(low, F.lit("|".join(_term(t, True) for t in dict.fromkeys(terms))))
+    return F.round(F.try_divide(1000.0 * hits, F.regexp_count(low, F.lit(TOKEN))), 6)
+
+
+def postings(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame) -> DataFrame:
+    """(term, id, tf) of the few ``terms(term)`` of a query: other words go before anything is grouped."""
+    words = docs.select(id_col, F.explode(tokens(F.col(text_col))).alias("term"))
+    return words.join(terms, "term", "left_semi").groupBy("term", id_col).agg(F.count(F.lit(1)).alias("tf"))
+
+
 def inverted_index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(term, id, tf): explode and count, for searches that join on terms instead of scanning texts."""
     return docs.select(id_col, F.explode(tokens(F.col(text_col))).alias("term")).groupBy("term", id_col).agg(F.count(F.lit(1)).alias("tf"))

@@ -12,15 +12,15 @@ _WORDS = r"(SELECT doc_id, source, lang, text, regexp_extract_all(lower(text), '
 @query(f"SELECT doc_id, lang FROM {_WORDS} WHERE len(list_filter(w, lambda x: starts_with(x, 'licen'))) > 0 AND len(list_filter(w, lambda x: starts_with(x, 'vers'))) > 0")
 def prefix_search(spark, d):
     """Every term of the query begins some word."""
-    return load(spark, d, "documents").where(s.matches_prefixes(s.tokens(F.col("text")), s.prefixes("Licen & VERS"))).select("doc_id", "lang")
+    return load(spark, d, "documents").where(s.text_has(F.col("text"), s.prefixes("Licen & VERS"), whole=False)).select("doc_id", "lang")
 
 
 @query(f"SELECT doc_id, round(1000.0 * len(list_filter(w, lambda x: x IN ('the', 'and', 'that'))) / len(w), 6) AS rank FROM {_WORDS} WHERE list_contains(w, 'the') AND list_contains(w, 'and') AND list_contains(w, 'that') ORDER BY rank DESC, doc_id LIMIT 40")
 def all_terms_search(spark, d):
     """All terms occur; ranked by their frequency."""
     terms = ["the", "and", "that"]
-    t = load(spark, d, "documents").select("doc_id", s.tokens(F.col("text")).alias("w")).where(s.matches_all(F.col("w"), terms))
-    return t.select("doc_id", s.frequency_rank(F.col("w"), terms).alias("rank")).orderBy(F.desc("rank"), "doc_id").limit(40)
+    t = load(spark, d, "documents").where(s.text_has(F.col("text"), terms))
+    return t.select("doc_id", s.text_rank(F.col("text"), terms).alias("rank")).orderBy(F.desc("rank"), "doc_id").limit(40)
 
 
 @query(f"""
@@ -29,7 +29,7 @@ UNION ALL SELECT 'messages', count(*), count(*) FILTER (WHERE role = 'user') FRO
 """)
 def facets(spark, d):
     """Hits by kind with a conditional count each."""
-    docs = load(spark, d, "documents").where(F.array_contains(s.tokens(F.col("text")), "that")).agg(F.lit("documents").alias("kind"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("lang") == "en").alias("english"))
+    docs = load(spark, d, "documents").where(s.text_has(F.col("text"), ["that"])).agg(F.lit("documents").alias("kind"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("lang") == "en").alias("english"))
     talk = load(spark, d, "conversations").where(F.lower("text").contains("that")).agg(F.lit("messages").alias("kind"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("role") == "user").alias("english"))
     return docs.unionByName(talk)
 
@@ -46,9 +46,8 @@ SELECT doc_id, count(*) AS terms, sum(tf)::BIGINT AS hits FROM i JOIN q USING (t
 """)
 def index_search(spark, d):
     """A query's terms joined with an inverted index."""
-    index = s.inverted_index(load(spark, d, "documents"), "doc_id", "text")
     q = load(spark, d, "benchmark").where("item_id = 3").select(F.explode(F.array_distinct(s.tokens(F.col("text")))).alias("term")).distinct()
-    hits = index.join(q, "term").groupBy("doc_id").agg(F.count(F.lit(1)).alias("terms"), F.sum("tf").alias("hits"))
+    hits = s.postings(load(spark, d, "documents"), "doc_id", "text", q).groupBy("doc_id").agg(F.count(F.lit(1)).alias("terms"), F.sum("tf").alias("hits"))
     return hits.orderBy(F.desc("terms"), F.desc("hits"), "doc_id").limit(25)
 
 
