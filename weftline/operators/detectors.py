@@ -16,6 +16,17 @@ def mutual_pairs(edges: DataFrame, src: str, dst: str) -> DataFrame:
     return pair.groupBy("a", "b").agg(F.count_if("up").alias("forth"), F.count_if(~F.col("up")).alias("back")).where("forth > 0 and back > 0")
 
 
+def reciprocity(edges: DataFrame, src: str, dst: str) -> DataFrame:
+    """Per vertex that edges reach: distinct sources, and those of them that it reaches itself.
+
+    One aggregate on the normalised pair tells both directions; there is no self join.
+    """
+    pair = edges.where(F.col(src) != F.col(dst)).groupBy(F.least(src, dst).alias("a"), F.greatest(src, dst).alias("b"))
+    both = pair.agg(F.bool_or(F.col(src) < F.col(dst)).alias("up"), F.bool_or(F.col(src) > F.col(dst)).alias("down"))
+    ends = both.select(F.explode(F.array(F.when(F.col("up"), F.struct(F.col("b").alias("id"), F.col("down").alias("back"))), F.when(F.col("down"), F.struct(F.col("a").alias("id"), F.col("up").alias("back"))))).alias("e")).where("e is not null")
+    return ends.groupBy("e.id").agg(F.count(F.lit(1)).alias("attesters"), F.count_if("e.back").alias("back"))
+
+
 def voting_pairs(votes: DataFrame, overlap: float = 0.8, least: int = 5) -> DataFrame:
     """Voters whose sets of posts overlap by at least ``overlap`` of both sizes.
 

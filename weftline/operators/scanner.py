@@ -70,6 +70,46 @@ def near_lines(found: DataFrame, first: str, second: str, within: int) -> DataFr
     return a.join(b, "id").where(F.abs(F.col("a") - F.col("b")) <= within).groupBy("id").agg(F.min(F.abs(F.col("a") - F.col("b"))).alias("distance"))
 
 
+def composite(docs: DataFrame, legs: dict[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One finding for each file that has untrusted input, an outbound channel, and a read of private data or of files.
+
+    ``legs`` has the patterns of sensitive, file_read, untrusted and outbound lines. Comments and blank lines don't
+    count. The finding stands at the first private read (high) or else file read (medium). A file is one group of four
+    minima, combined before the shuffle.
+    """
+    kept = lines(docs, id_col, text_col).where((F.trim("content") != "") & ~F.ltrim("content").rlike(r"^(#|//|\*)"))
+    first = kept.groupBy("id").agg(*(F.min(F.when(F.col("content").rlike(p), F.col("line") + 1)).alias(n) for n, p in legs.items()))
+    hit = first.where("untrusted is not null and outbound is not null and (sensitive is not null or file_read is not null)")
+    return hit.select("id", F.when(F.col("sensitive").isNotNull(), "high").otherwise("medium").alias("severity"), F.coalesce("sensitive", "file_read").cast("long").alias("line"))
+
+
+def first_matches(docs: DataFrame, listed, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """For each file the first line outside comments that matches each (name, severity, pattern) of a list."""
+    kept = lines(docs, id_col, text_col).select("id", "line", F.trim("content").alias("s")).where(~F.col("s").rlike(r"^(#|//|\*)"))
+    first = kept.groupBy("id").agg(*(F.min(F.when(F.col("s").rlike(p), F.col("line") + 1)).cast("long").alias(n) for n, _, p in listed))
+    severity = F.create_map(*[F.lit(x) for n, s, _ in listed for x in (n, s)])
+    return first.unpivot(["id"], [n for n, *_ in listed], "name", "line").where("line is not null").select("id", "name", "line", severity[F.col("name")].alias("severity"))
+
+
+def scan_score_full(found: DataFrame, facts: DataFrame, positives: int, practices: int) -> DataFrame:
+    """The score of each source with bonuses and the penalty for suppressions.
+
+    ``facts(id, source, positives, practices, suppressions)`` holds for each file arrays of so many flags and a count.
+    Each positive signal that any file has adds 5, up to 35; each good practice 5; each suppression beyond three takes 3.
+    """
+    n = lambda s: F.count_if(F.col("severity") == s)
+    per_file = found.groupBy("id").agg(n("critical").alias("c"), n("high").alias("h"), n("medium").alias("m"), F.count(F.lit(1)).alias("n"))
+    any_of = lambda name, k: sum((F.coalesce(F.bool_or(F.col(name)[i]), F.lit(False)).cast("int") for i in range(k)), F.lit(0))
+    s = facts.join(per_file, "id", "left").groupBy("source").agg(
+        F.count(F.lit(1)).alias("files"), F.count("n").alias("affected"), *(F.sum(F.coalesce(x, F.lit(0))).alias(x) for x in ("c", "h", "m", "n")),
+        any_of("positives", positives).alias("positives"), any_of("practices", practices).alias("practices"), F.sum("suppressions").alias("suppressions"),
+    )
+    raw = F.col("c") * SEVERITY["critical"] + F.col("h") * SEVERITY["high"] + F.col("m") * SEVERITY["medium"]
+    scale = F.least(F.lit(1.0), 0.4 + F.col("affected") / F.col("files") * 2.4)
+    score = F.when(F.col("n") == 0, 80).otherwise(70 - F.floor(raw * scale)) + F.least(F.col("positives") * 5, F.lit(35)) + F.col("practices") * 5 - 3 * F.greatest(F.col("suppressions") - 3, F.lit(0))
+    return s.select("source", F.greatest(F.lit(0), F.least(F.lit(100), score)).cast("long").alias("score"))
+
+
 #: Fixed patterns of the content filter.
 SPAM = r"(?i)(buy|sell|cheap|discount|free money).{0,20}(click|visit|http)|(earn|make)\s+\$\d+|(viagra|cialis|pharmacy|crypto\s*airdrop)|(bit\.ly|tinyurl|t\.co|shorturl)[\s/]|(subscribe|follow)\s+(my|our)\s+(channel|page)"
 NOISE = r"[A-Z]{20,}"

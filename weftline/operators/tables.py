@@ -62,6 +62,21 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int) ->
     return df.withColumn("place", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("place") <= k)
 
 
+def maximal_sets(members: DataFrame) -> DataFrame:
+    """Sets of ``members(id, item)`` that are part of no other set, with their size n; of equal sets the least id.
+
+    A set can only lie inside sets that have its rarest item, so it is compared with those alone.
+    """
+    m = members.select("id", "item").distinct()
+    crowd = m.groupBy("item").agg(F.count(F.lit(1)).alias("crowd"))
+    rows = m.join(crowd, "item")
+    sets = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min_by("item", F.struct("crowd", "item")).alias("rarest"), F.collect_set("item").alias("items"))
+    equal = sets.select("id", "n", "rarest", F.array_sort("items").alias("items")).groupBy("items").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("rarest").alias("rarest"))
+    larger = m.join(equal.select("id", F.col("n").alias("m"), F.col("items").alias("theirs")), "id").select(F.col("item").alias("rarest"), "m", "theirs")
+    inside = equal.join(larger, "rarest").where((F.col("m") > F.col("n")) & (F.size(F.array_except("items", "theirs")) == 0)).select("id").distinct()
+    return equal.join(inside, "id", "left_anti").select("id", "n")
+
+
 def window_counts(df: DataFrame, key: str, seconds: str, width: int) -> DataFrame:
     """For each row, the rows of its key in the last ``width`` seconds, itself included."""
     w = W.partitionBy(key).orderBy(seconds).rangeBetween(-width, 0)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftline.functions.exprs import age_decay, clamp, log_share
+from weftline.functions.exprs import age_decay, clamp, log_share, ladder
 
 #: Weights of the composite and limits of its inputs, fixed values.
 WEIGHTS = {"verification": 0.35, "age": 0.10, "activity": 0.0, "reputation": 0.0, "community": 0.0, "external": 0.35, "scan": 0.20}
@@ -133,6 +133,51 @@ def chain_score(attestations: DataFrame) -> DataFrame:
     return by_claim.groupBy("subject").agg(F.round(F.least(F.sum("part"), F.lit(1.0)), 4).alias("score"))
 
 
+#: The least trust of each gated action, the standings by the ratio to the mean, and the least score and days of grace to publish.
+ACTION_GATES = {
+    "post_create": 0.0, "post_to_submolt": 0.05, "create_listing": 0.15, "create_submolt": 0.25, "send_message": 0.0, "create_webhook": 0.10,
+    "api_key_create": 0.10, "endorsement_create": 0.15, "dispute_create": 0.10, "media_upload": 0.10,
+}
+STANDINGS = (
+    (2.0, "Top 5% — well above platform average"), (1.5, "Top 15% — significantly above average"), (1.1, "Top 35% — above average"),
+    (0.9, "Around average"), (0.6, "Below average — room for improvement"),
+)
+LOWEST_STANDING, NO_STANDING = "Bottom 20% — significant improvement possible", "Not enough data to estimate percentile"
+PUBLISH_SCORE, PUBLISH_GRACE_DAYS = 0.3, 7
+
+
+def standing(relative: Column, mean: Column) -> Column:
+    """A standing in words from a score's ratio to the mean."""
+    return F.when(mean == 0, NO_STANDING).otherwise(ladder(F.when(mean > 0, relative).otherwise(0.0), STANDINGS, LOWEST_STANDING))
+
+
+def may_publish(score: Column, days: Column) -> Column:
+    """No score yet, enough of it, or still in the days of grace."""
+    return score.isNull() | (score >= PUBLISH_SCORE) | F.coalesce(days < PUBLISH_GRACE_DAYS, F.lit(False))
+
+
+def contributions(rows: DataFrame, parts: dict[str, tuple[Column, Column]], modifier: Column) -> DataFrame:
+    """A row (source, raw, weighted) for each component (value, weight) of each row whose product with the modifier is not 0."""
+    entries = F.array(*[F.struct(F.lit(n).alias("source"), raw.alias("raw"), (weight * raw * modifier).alias("weighted")) for n, (raw, weight) in parts.items()])
+    return rows.withColumn("_part", F.explode(entries)).where("_part.weighted <> 0").select(*rows.columns, "_part.*")
+
+
+def npm_reputation(downloads: Column, versions: Column, maintainers: Column) -> Column:
+    return 0.50 * log_share(downloads, 100_001) + 0.30 * log_share(versions, 51) + 0.20 * F.least(maintainers / 5.0, F.lit(1.0))
+
+
+def pypi_reputation(downloads: Column, releases: Column, classifiers: Column) -> Column:
+    return 0.40 * log_share(downloads, 100_001) + 0.35 * log_share(releases, 51) + 0.25 * F.least(classifiers / 10.0, F.lit(1.0))
+
+
+def model_reputation(downloads: Column, likes: Column, has_card: Column) -> Column:
+    return 0.45 * log_share(downloads, 50_001) + 0.35 * log_share(likes, 201) + 0.20 * has_card.cast("int")
+
+
+def image_reputation(pulls: Column, stars: Column, official: Column) -> Column:
+    return 0.60 * log_share(pulls, 1_000_001) + 0.25 * log_share(stars, 501) + 0.15 * official.cast("int")
+
+
 def repository_reputation(stars: Column, forks: Column, followers: Column, recent_share: Column, age_days: Column, repos: Column) -> Column:
     """A code-hosting account's reputation from log-normalised counts, recency and age."""
     return 0.20 * log_share(stars, 501) + 0.25 * log_share(followers + forks, 201) + 0.20 * F.least(recent_share * 1.5, F.lit(1.0)) + 0.15 * F.least(age_days / 1095.0, F.lit(1.0)) + 0.20 * log_share(repos, 101)
