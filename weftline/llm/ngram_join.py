@@ -41,7 +41,7 @@ from weftline.llm.components import connected_components
 from weftline.llm.shared import drop, stash
 
 U = np.uint64
-KEYS_A_BUCKET = 500_000
+KEYS_A_BUCKET = 250_000
 FLUSH = 400_000  # column entries that a task gathers before it sends them
 BLOCK_BYTES, BLOCK_ROWS, LEAST_ROWS, SPLITS = 32 << 20, 32_768, 2048, 4
 FILTER_BITS, FILTER_IDS = 26, 4_000_000
@@ -417,8 +417,8 @@ def chosen(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, Callable[[pa.Rec
 
 
 def _bits(keys: int | None) -> int:
-    """So many bits give buckets of about KEYS_A_BUCKET keys, eight buckets at least."""
-    return max(3, int(np.ceil(np.log2(max(1, (keys or 0) / KEYS_A_BUCKET)))))
+    """So many bits give buckets of about KEYS_A_BUCKET keys, 32 buckets at least."""
+    return max(5, int(np.ceil(np.log2(max(1, (keys or 0) / KEYS_A_BUCKET)))))
 
 
 def _block_links(names: np.ndarray, copies: np.ndarray, block: np.ndarray, sets: list[np.ndarray], i: int, j: int, percent: int) -> np.ndarray:
