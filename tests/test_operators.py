@@ -210,3 +210,11 @@ def test_sample_models_of_formulas(spark):
         known = min(math.log(x.k + 1) / math.log(20), 1)
         want = 0.6 * x.rating / 5 + 0.4 * known if x.rating is not None and x.k else x.rating / 5 if x.rating is not None else known if x.k else 0
         assert x.a == pytest.approx(min(x.days / 365, 1)) and x.r == pytest.approx(want)
+
+
+def test_communities_of_a_planted_partition(spark):
+    """Three dense groups with a single edge between neighbours: label propagation finds the groups."""
+    groups = [range(0, 8), range(20, 28), range(40, 48)]
+    pairs = [p for own in groups for p in itertools.combinations(own, 2)] + [(7, 20), (27, 40)]
+    found = {r.id: r.community for r in graph.communities(edges(spark, pairs)).collect()}
+    assert [len({found[v] for v in own}) for own in groups] == [1, 1, 1] and len(set(found.values())) == 3
