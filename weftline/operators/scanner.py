@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.functions.exprs import luhn_valid
@@ -63,11 +64,23 @@ def category_scores(found: DataFrame) -> DataFrame:
     return found.groupBy("id", "category").agg(F.greatest(F.lit(0), 100 - F.sum(weight)).cast("long").alias("score"))
 
 
+def nearest(lines: DataFrame, key: str, a: str, b: str, within: int) -> DataFrame:
+    """Keys with a line of flag ``a`` and one of flag ``b`` at most ``within`` apart: the first of ``a`` and the least distance.
+
+    Each line takes its nearest ones from a window over the key's own lines, so no pairs are built.
+    """
+    order = W.partitionBy(key).orderBy("line")
+    before, after = order.rowsBetween(W.unboundedPreceding, 0), order.rowsBetween(0, W.unboundedFollowing)
+    at = F.when(F.col(b), F.col("line"))
+    seen = lines.select(key, "line", a, F.last(at, True).over(before).alias("_before"), F.first(at, True).over(after).alias("_after")).where(F.col(a))
+    gap = F.least(F.col("line") - F.col("_before"), F.col("_after") - F.col("line"))
+    return seen.groupBy(key).agg(F.min("line").alias("first"), F.min(gap).alias("distance")).where(F.col("distance") <= within)
+
+
 def near_lines(found: DataFrame, first: str, second: str, within: int) -> DataFrame:
     """Files in which findings of two categories stand at most ``within`` lines apart."""
-    a = found.where(F.col("category") == first).select("id", F.col("line").alias("a"))
-    b = found.where(F.col("category") == second).select("id", F.col("line").alias("b"))
-    return a.join(b, "id").where(F.abs(F.col("a") - F.col("b")) <= within).groupBy("id").agg(F.min(F.abs(F.col("a") - F.col("b"))).alias("distance"))
+    flagged = found.select("id", "line", (F.col("category") == first).alias("_a"), (F.col("category") == second).alias("_b")).where("_a or _b")
+    return nearest(flagged, "id", "_a", "_b", within).select("id", "distance")
 
 
 def composite(docs: DataFrame, legs: dict[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
