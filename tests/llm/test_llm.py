@@ -493,6 +493,26 @@ def test_packing(spark, corpus):
     assert packing.pack(frame(spark, [(851, "x y")] * 3 + [(None, "z")]), path, keep_ids=False).agg(F.sum("length")).first()[0] == 3 * 3 + 2
 
 
+def test_ranges_follow_the_curve(spark):
+    """Ranges are stretches of the curve of about equal bytes, however dense it is; only equal positions that outweigh a range are spread."""
+    import public_tokenizers
+
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(5, 120)))) for i in range(3000)] + [(5000 + i, "the same words again") for i in range(900)]
+    size, one = 16 << 10, K.chunks(pa.array([t for _, t in rows]))
+    curve = dict(zip([i for i, _ in rows], np.concatenate([packing.curve_position(c.data, c.offsets)[0] for c in one]).tolist(), strict=True))
+    got = packing.pack(frame(spark, rows), public_tokenizers.path("byte_bpe_50k.json"), keep_ids=False, range_bytes=size).collect()
+    part = {r.doc_id: r.sequence_id >> 40 for r in got}
+    assert len(part) == len(rows) and len({part[i] for i, _ in rows if i >= 5000}) > 3
+    ordered = sorted(part, key=lambda d: (part[d], curve[d]))
+    assert [curve[d] for d in ordered] == sorted(curve.values())
+    weight = collections.Counter()
+    for d, t in rows:
+        weight[part[d]] += len(t) + 64
+    assert max(weight.values()) < 1.5 * size and len(weight) > 20
+
+
 def test_toxicity_folding_and_exceptions():
     lexicon = toxicity.Lexicon({"idiot$": 3.0, "ioser$": 3.0, "trash$": 2.0, "bad+": 2.0}, tuple(toxicity.fold(e) for e in toxicity.EXCEPTIONS), (1.0, 1.0, -4.0))
     total = lambda t: toxicity.Matcher(lexicon).total(toxicity.fold(t))

@@ -12,13 +12,15 @@ import pyarrow as pa
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.llm import textkernel as K
+from weftline.llm.shared import drop, stash
 
 U = np.uint64
 DIMENSIONS, BITS = 4, 8
-BIN_BITS = 16  # the curve's histogram has 2**BIN_BITS bins at most, whatever the input
+BIN_BITS = 16  # sums along the curve are made in 2**BIN_BITS bins, whatever the input
 MOST_RANGES = 1 << 17
 #: Fixed value: how byte-level BPE files of this kind split texts before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -65,22 +67,37 @@ def curve_position(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     return hilbert(cells, BITS), K.sums_by_row(w.hashes, w.first)
 
 
-def byte_histogram(docs: DataFrame, text_col: str) -> np.ndarray:
-    """Bytes of text (and some for each row) in each bin of the curve."""
+def range_cuts(docs: DataFrame, text_col: str, range_bytes: int) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]:
+    """How many ranges, all bytes, and the positions on the curve where ranges begin, with the bytes before each and at it.
+
+    Bytes of text (and some for each row) are counted for each position, which takes a few bytes a document, and summed
+    up along the curve: inside each of 2**16 bins by a window over at most 2**16 positions, over the bins on the driver.
+    Only the positions that begin a range, that outweigh a range or follow such a one, and the first of each bin come
+    to the driver: at most 2**16 and three for each range.
+    """
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << BIN_BITS)
         for batch in batches:
             for c in K.chunks(batch.column(0)):
-                place = curve_position(c.data, c.offsets)[0] >> (DIMENSIONS * BITS - BIN_BITS)
-                total += np.bincount(place, np.diff(c.offsets) + 64, 1 << BIN_BITS)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some].astype(np.int64))], ["bin", "bytes"])
-
-    got = docs.select(F.col(text_col).alias("text")).mapInArrow(measure, "bin int, bytes long").groupBy("bin").agg(F.sum("bytes").alias("bytes")).toArrow()
-    out = np.zeros(1 << BIN_BITS)
-    out[got["bin"].to_numpy()] = got["bytes"].to_numpy()
-    return out
+                at, inverse = np.unique(curve_position(c.data, c.offsets)[0], return_inverse=True)
+                own = np.bincount(inverse, np.diff(c.offsets) + 64, len(at)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(own)], ["at", "own"])
+
+    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(measure, "at long, own long").groupBy("at").agg(F.sum("own").alias("own"))
+    places = stash(counted.select((F.col("at") / 2 ** (DIMENSIONS * BITS - BIN_BITS)).cast("int").alias("bin"), "at", "own"), "places")
+    bins = places.groupBy("bin").agg(F.sum("own").alias("own")).orderBy("bin").toArrow()
+    own = bins["own"].to_numpy()
+    total = max(1, int(own.sum()))
+    ranges = min(MOST_RANGES, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // range_bytes)))
+    starts = docs.sparkSession.createDataFrame(pa.table({"bin": bins["bin"], "start": pa.array(np.cumsum(own) - own, pa.int64())}))
+    order = W.partitionBy("bin").orderBy("at")
+    run = places.select("*", (F.sum("own").over(order) - F.col("own")).alias("within"), F.lag("own").over(order).alias("last")).join(F.broadcast(starts), "bin")
+    begins = lambda before: F.floor(before * ranges / total)
+    before = (F.col("start") + F.col("within")).cast("double")
+    cut = F.col("last").isNull() | (begins(before) != begins(before - F.col("last"))) | (F.greatest("own", "last").cast("double") * ranges > total)
+    got = run.where(cut).select("at", before.alias("before"), "own").orderBy("at").toArrow()
+    drop(places)
+    return ranges, total, got["at"].to_numpy(), got["before"].to_numpy(), got["own"].to_numpy().astype(float)
 
 
 _PUNCTUATION, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
@@ -233,31 +250,30 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     A document is its token ids (``tokenizer`` is the path of a tokenizer file that all executors have), then id 0; a
     null or empty text is the id 0 alone. Documents are sorted by ranges of the Hilbert position of their hashed word
     vectors, then by id and text, and each range is packed along the curve and cut freely. The ranges are cut from an
-    exact histogram of the texts' bytes along the curve, so that they have about equal bytes, ``range_bytes`` at most
-    up to 2**17 ranges: long texts lie close together on the curve. All sequences of a range are full but the last
+    exact count of the texts' bytes at all positions of the curve, so that they have about equal bytes, about
+    ``range_bytes`` at most up to 2**17 ranges: long texts lie close together on the curve. All sequences of a range are full but the last
     tokens, which fill sequences of decreasing powers of two, so none needs padding.
 
     Returns a row per piece: the id, start, length, ids_crc32 (of the ids as little-endian unsigned 32-bit integers),
     doc_tokens, sequence_id, offset, and with ``keep_ids`` the ids. Repeated rows are packed as often as they occur,
     rows without an id too; long texts are tokenised whole; other columns are not read. Only a sequence that is not
-    full yet is held across documents; a bin of the curve that is larger than a range is split by a hash of id and
-    words, so near copies spread over ranges.
+    full yet is held across documents; only documents at one and the same position that outweigh a range together are spread over ranges,
+    by a hash of id and words.
     """
-    sizes = byte_histogram(docs, text_col)
-    total = max(1, int(sizes.sum()))
-    ranges = min(MOST_RANGES, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // range_bytes)))
-    cuts = docs.sparkSession.sparkContext.broadcast((np.cumsum(sizes) - sizes, sizes))
+    ranges, total, *found = range_cuts(docs, text_col, range_bytes)
+    cuts = docs.sparkSession.sparkContext.broadcast(found)
     fields = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, own = cuts.value
+        first, before, own = cuts.value
         for batch in batches:
             for c in K.chunks(batch.column(1)):
                 ids = batch.column(0)[c.rows]
                 curve, words = curve_position(c.data, c.offsets)
                 within = K.mix(K.mix(ids.fill_null(0).to_numpy().view(np.uint64)) + words) / 2.0**64
-                at = curve >> (DIMENSIONS * BITS - BIN_BITS)
-                part = np.minimum((before[at] + within * own[at]) * ranges / total, ranges - 1).astype(np.int32)
+                at = np.searchsorted(first, curve, "right") - 1
+                spread = (first[at] == curve) & (own[at] * ranges > total)
+                part = np.minimum((before[at] + within * own[at] * spread) * ranges / total, ranges - 1).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([ids, batch.column(1)[c.rows], pa.array(curve), pa.array(part)], ["id", "text", "curve", "part"])
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
