@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -24,8 +26,6 @@ SIDE_PATHS = "|".join((
     r"(?:^|/)workflows/(?:.*/)?[^/]*\.(?i:ya?ml)$",
 ))
 MIGRATION_OR_SETUP = r"(?:^|/)(?:migrations|alembic|versions|migrate)(?:/|$)|(?i:(?:^|/)(?:setup\.py|setup\.cfg|conftest\.py)$)"
-#: A line without this has no finding of the category, so its rules are not tried.
-GATES = {"secret": "AKIA|[-_'\"]", "unsafe_exec": r"[(\[=]|child_process", "insecure_deserialization": "(?i)load|decode|allow_pickle|ObjectInputStream", "fs_access": r"\(", "dynamic_remote_load": "[(/|<]|npx|uvx", "obfuscation": r"[(\\]"}
 SHELL, NO_SHELL = "shell=True|shell = True", "shell=False|shell = False"
 
 
@@ -39,6 +39,37 @@ def language(path: Column) -> Column:
     return F.try_element_at(names, F.lower(F.regexp_extract(path, r"[^/.]\.([A-Za-z]+)$", 1)))
 
 
+def has(*words: str) -> Column:
+    """Whether the lower-case line holds one of the words: far cheaper than a pattern."""
+    return reduce(or_, (F.contains("_low", F.lit(w)) for w in words))
+
+
+def gates() -> dict[str, Column]:
+    """What a line must hold to have a finding of a category; the category's rules are tried only there."""
+    return {
+        "secret": has("akia", "sk-", "-----begin", "ghp_", "ghs_", "xox") | (has("=", ":") & has("'", '"')),
+        "unsafe_exec": has("(", "[", "child_process", "shell"),
+        "insecure_deserialization": has("load", "decode", "allow_pickle", "objectinputstream") & has("(", "allow_pickle", "marshal.load", "yaml.unsafe_load"),
+        "fs_access": has("("),
+        "exfiltration": has("(", "webhook.site", "requestbin", "pipedream", "ngrok", "burp", "interact.sh", "b64encode", "os.environ", "gethostbyname", "dns.resolve"),
+        "dynamic_remote_load": has("(", "|", "://", "npx", "uvx"),
+        "hidden_unicode": ((F.octet_length("content") > F.length("content")) & F.col("content").rlike(r"[\x{E0000}-\x{E007F}\x{202A}-\x{202E}\x{2066}-\x{2069}\x{200B}-\x{200D}\x{2060}\x{180E}]")) | has("\x1b"),
+        "prompt_injection": (has("ignore") & has("instruction")) | has("disregard", "user") | (has("hide") & has("from")) | (has("<") & has("system", "important", "instruction"))
+        | (has("system") & has("prompt")) | (has("you") & has("now")) | (has("your") & has("instruction", "task", "role")) | (has("send") & has("://")) | (has("before") & has("tool")),
+        "obfuscation": has("(", "\\x"),
+    }
+
+
+#: Words of which a text must hold one to give the signal at the same place of the list.
+SIGNAL_WORDS = (
+    ("authenticate", "verify_token", "check_auth", "requireauth", "isauthenticated"), ("authorize", "check_permission", "has_role", "requirerole"),
+    ("validate", "sanitize", "escape", "zod.object", "pydantic", "basemodel"), ("limit", "throttle"), ("cors", "access-control-allow"), ("content-security-policy",),
+    ("helmet", "headers"), ("hmac", "hashlib", "cryptography.", "jwt.", "verify_signature"), ("html.escape", "parse.quote", "bleach.clean", "markupsafe", "nh3.clean", "dompurify"),
+    ("logging.getlogger", "logger.", "audit_log", "structlog"), ("try", "except", "catch", "boundary", "rescue"), ("typing", "typevar", "generic[", "basemodel", "@dataclass", "interface"),
+    ("requirements.txt", ".lock", "package-lock.json"),
+)
+
+
 def code_lines(files: DataFrame, path_col: str = "path", text_col: str = "text") -> DataFrame:
     """A row per line outside comments, numbered from 1, with what the file's path says."""
     path = F.coalesce(path_col, F.lit(""))
@@ -83,7 +114,7 @@ def _severity(category: str, severity: str) -> Column:
     return base
 
 
-def file_findings(files: DataFrame, path_col: str = "path", text_col: str = "text", rules=v.RULES, marker: str = SUPPRESS, allowed: tuple = (), gates=GATES) -> DataFrame:
+def file_findings(files: DataFrame, path_col: str = "path", text_col: str = "text", rules=v.RULES, marker: str = SUPPRESS, allowed: tuple = (), gated: bool = True) -> DataFrame:
     """Findings of all rules in files: path, line, category, name, severity.
 
     A line has at most one finding of a category: by the first of its rules that matches, is meant for the file's
@@ -92,8 +123,8 @@ def file_findings(files: DataFrame, path_col: str = "path", text_col: str = "tex
     shuffle and no Python. Null texts have no lines; null paths count as empty; repeated files are found as often as they
     occur. Classes in patterns are of ASCII characters.
     """
-    kept = code_lines(files, path_col, text_col).where(~F.contains("content", F.lit(marker)))
-    c, path = F.col("content"), F.coalesce("path", F.lit(""))
+    kept = code_lines(files, path_col, text_col).where(~F.contains("content", F.lit(marker))).withColumn("_low", F.lower("content"))
+    c, path, gate = F.col("content"), F.coalesce("path", F.lit("")), gates() if gated else {}
     parts = []
     for category, own in rules.items():
         first = None
@@ -107,7 +138,7 @@ def file_findings(files: DataFrame, path_col: str = "path", text_col: str = "tex
             fits = fits & ~_excused(category, name, pattern)
             found = F.struct(F.lit(category).alias("category"), F.lit(name).alias("name"), _severity(category, severity).alias("severity"))
             first = F.when(fits, found) if first is None else first.when(fits, found)
-        parts.append(F.when(c.rlike(gates[category]), first) if category in gates else first)
+        parts.append(F.when(gate[category], first) if category in gate else first)
     hit = kept.select("path", "line", F.explode(F.array_compact(F.array(*parts))).alias("f"))
     return hit.select("path", "line", "f.category", "f.name", "f.severity")
 
@@ -120,13 +151,14 @@ def file_signals(files: DataFrame, path_col: str = "path", text_col: str = "text
     """For each file which signals its lines hold (array of flags in the order of the list) and its count of suppressed lines.
 
     Comments, and lines that say example or placeholder, give no signal. A pattern is tried on lines only where the whole
-    text has it, so nothing is exploded or shuffled. Other columns stay.
+    text has one of its words, so nothing is exploded or shuffled. Other columns stay.
     """
     code = F.filter(F.split(text_col, "\n", -1), lambda x: ~x.rlike(COMMENT))
     plain = F.filter(code, lambda x: ~x.rlike("(?i)example|placeholder"))
-    flags = [F.coalesce(F.col(text_col).rlike(p) & F.exists(plain, _like(p)), F.lit(False)) for _, p in v.SIGNALS]
+    flags = [F.coalesce(has(*words) & F.exists(plain, _like(p)), F.lit(False)) for words, (_, p) in zip(SIGNAL_WORDS, v.SIGNALS, strict=True)]
     marked = F.when(F.contains(text_col, F.lit(marker)), F.size(F.filter(code, lambda x: F.contains(x, F.lit(marker))))).otherwise(0)
-    return files.withColumns({"signals": F.array(*flags), "suppressions": marked.cast("long")})
+    out = files.withColumn("_low", F.lower(text_col)).withColumns({"signals": F.array(*flags), "suppressions": marked.cast("long")})
+    return out.select(*(files[c] for c in files.columns), "signals", "suppressions")
 
 
 def remote_then_run(files: DataFrame, within: int = 40, path_col: str = "path", text_col: str = "text") -> DataFrame:

@@ -87,10 +87,12 @@ def composite(docs: DataFrame, legs: dict[str, str], id_col: str = "doc_id", tex
     """One finding for each file that has untrusted input, an outbound channel, and a read of private data or of files.
 
     ``legs`` has the patterns of sensitive, file_read, untrusted and outbound lines. Comments and blank lines don't
-    count. The finding stands at the first private read (high) or else file read (medium). A file is one group of four
-    minima, combined before the shuffle.
+    count. The finding stands at the first private read (high) or else file read (medium). Only files whose whole
+    text has all that are split into lines; a file is one group of four minima, combined before the shuffle.
     """
-    kept = lines(docs, id_col, text_col).where((F.trim("content") != "") & ~F.ltrim("content").rlike(r"^(#|//|\*)"))
+    whole = {n: F.col(text_col).rlike(p) for n, p in legs.items()}
+    own = docs.where(whole["outbound"] & whole["untrusted"] & (whole["sensitive"] | whole["file_read"]))
+    kept = lines(own, id_col, text_col).where((F.trim("content") != "") & ~F.ltrim("content").rlike(r"^(#|//|\*)"))
     first = kept.groupBy("id").agg(*(F.min(F.when(F.col("content").rlike(p), F.col("line") + 1)).alias(n) for n, p in legs.items()))
     hit = first.where("untrusted is not null and outbound is not null and (sensitive is not null or file_read is not null)")
     return hit.select("id", F.when(F.col("sensitive").isNotNull(), "high").otherwise("medium").alias("severity"), F.coalesce("sensitive", "file_read").cast("long").alias("line"))
