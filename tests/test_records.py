@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from weftline.operators import records as r
+from weftline.operators import style
+from weftline.operators.baseline import behaviour
 
 
 def texts(spark, rows):
@@ -71,3 +73,29 @@ def test_verdict(spark):
     assert [(x.severity, x.details) for x in r.verdict(rows).orderBy("items", "critical", "warning").collect()] == [
         ("clean", "No code to scan"), ("clean", "All 3 items passed security scan"), ("warnings", "6 warning(s) found across 3 items"), ("critical", "1 critical, 2 warning vulnerabilities found across 3 items"),
     ]
+
+
+def test_style(spark):
+    rows = [None, "", "  \n", "Delve!", "landscaped", "Fine. It's worth noting it.", "a -- b", "one two three four five six seven eight. " * 3, "It serves as one, stands as two and boasts.", "What if we go?"]
+    df = texts(spark, rows)
+    got = [(x.severity, list(x.reasons)) for x in style.check(df).orderBy("id").collect()]
+    assert got == [
+        ("ok", []), ("ok", []), ("ok", []), ("block", ["blocklist_word"]), ("ok", []), ("block", ["blocklist_phrase"]), ("warn", ["high_em_dash_density"]),
+        ("warn", ["no_short_sentence"]), ("warn", ["high_copula_avoidance"]), ("block", ["rhetorical_opener"]),
+    ]
+    lenient = [x.severity for x in style.check(df, short_form=True, strict=False).orderBy("id").collect()]
+    assert lenient == ["ok", "ok", "ok", "warn", "ok", "warn", "warn", "ok", "warn", "warn"]
+    assert style.check(df.limit(0)).count() == 0
+
+
+def test_behaviour(spark):
+    acts = spark.createDataFrame([(1, "post", 10, True), (1, "post", 21, False), (1, "vote", None, None), (2, "received", None, None)], "id long, kind string, length long, reply boolean")
+    met = spark.createDataFrame([(1, i % 7) for i in range(2, 16)] + [(3, 1)], "a long, b long")
+    scores = spark.createDataFrame([(1, 0.12345)], "id long, score double")
+    got = {x.id: x for x in behaviour(acts, met, scores, 7).collect()}
+    one = got[1]
+    assert (one.posts_per_day, one.votes_per_day, one.avg_post_length, one.reply_ratio, one.unique_partners) == (0.29, 0.14, 15.5, 0.5, 7)
+    assert one.top_partners == "1:4,3:3,0:2,2:2,4:2" and one.trust_score in (0.1234, 0.1235)
+    assert (got[2].attestations_received, got[2].unique_partners, got[2].trust_score) == (1, 1, None)
+    assert (got[3].posts_per_day, got[3].top_partners) == (0.0, "1:3")
+    assert behaviour(acts.limit(0), met.limit(0), scores, 7).count() == 0

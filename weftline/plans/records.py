@@ -9,6 +9,9 @@ from weftline.functions.exprs import luhn_valid
 from weftline.operators import records as r
 from weftline.operators import scanner as sc
 from weftline.operators import search as s
+from weftline.operators import style as st
+from weftline.operators.baseline import behaviour
+from weftline.plans import model as m
 from weftline.plans.registry import load, query
 from weftline.plans.texts import _LINES
 from weftline.sources.folders import shared_folder
@@ -264,3 +267,64 @@ def short_query_search(spark, d):
         hit = docs.where(F.lower("text").contains(term) if len(term) < 2 else s.text_has(F.col("text"), [term])).select(F.lit(term).alias("term"), "doc_id")
         out = hit if out is None else out.unionByName(hit)
     return out
+
+
+_DRAFTS = (
+    "We delve into it.", "It's worth noting that this is so.", "It is not just fast, but also small.", "They ship early, ensuring a good day.", "So it is. Moreover, it rains.",
+    "She plays an odd role.", "Ever wondered why?", "a -- b -- c -- d — e -- f -- g -- h", "It serves as one, boasts two and embodies three.", "Plain words.", "   ", "An ever-evolving field",
+)
+_HARD = {"blocklist_word": f"regexp_matches(t, {_q('(?i)' + chr(92) + 'b(' + '|'.join(st.WORDS) + ')' + chr(92) + 'b')})", "blocklist_phrase": " OR ".join(f"contains(low, {_q(p)})" for p in st.PHRASES), **{n: " OR ".join(f"regexp_matches(t, {_q(p)})" for p in ps) for n, ps in st.PATTERNS.items()}}
+_SOFT = {
+    "high_em_dash_density": f"len(regexp_extract_all(t, {_q(st.DASHES)})) * 500 > length(t) * {st.MOST_DASHES}",
+    "no_short_sentence": "len(parts) >= 3 AND len(list_filter(parts, lambda x: len(regexp_split_to_array(x, '\\s+')) <= 7)) = 0",
+    "high_copula_avoidance": " + ".join(f"(length(low) - length(replace(low, {_q(c)}, ''))) / {len(c)}" for c in st.COPULAS) + " > 2",
+}
+_names = lambda rules: f"list_filter([{', '.join(f'CASE WHEN {c} THEN {_q(n)} END' for n, c in rules.items())}], lambda x: x IS NOT NULL)"
+
+
+@query(rf"""
+WITH d AS (SELECT doc_id, {'['}{', '.join(map(_q, _DRAFTS))}][doc_id % {len(_DRAFTS)} + 1] || chr(10) || CASE WHEN doc_id % {len(_DRAFTS)} = 10 THEN '' ELSE text END AS t FROM documents),
+p AS (SELECT *, lower(t) AS low, list_filter(list_transform(string_split(regexp_replace(t, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS parts FROM d),
+h AS (SELECT doc_id, CASE WHEN regexp_matches(t, '\S') THEN {_names(_HARD)} ELSE [] END AS hard, CASE WHEN regexp_matches(t, '\S') THEN {_names(_SOFT)} ELSE [] END AS soft FROM p)
+SELECT doc_id, array_to_string(hard || soft, ',') AS reasons, CASE WHEN len(hard) > 0 THEN 'block' WHEN len(soft) > 0 THEN 'warn' ELSE 'ok' END AS severity FROM h
+""")
+def style_verdicts(spark, d):
+    """Drafts with the rules of style that they break."""
+    k = F.col("doc_id") % len(_DRAFTS)
+    draft = F.concat(F.try_element_at(F.array(*map(F.lit, _DRAFTS)), (k + 1).cast("int")), F.lit("\n"), F.when(k == 10, "").otherwise(F.col("text")))
+    return st.check(load(spark, d, "documents").select("doc_id", draft.alias("text"))).select("doc_id", F.array_join("reasons", ",").alias("reasons"), "severity")
+
+
+@query(m.SQL + """
+, w AS (SELECT ev.* FROM ev, clock WHERE us > now - 7 * 86400000000),
+acts AS (SELECT user_id AS id, CASE event_type WHEN 'purchase' THEN 'post' WHEN 'view' THEN 'vote' WHEN 'click' THEN 'follow' WHEN 'signup' THEN 'attested' ELSE 'change' END AS kind, floor(value) AS length, event_id % 3 = 0 AS reply FROM w UNION ALL SELECT k, 'received', NULL, false FROM w WHERE event_type = 'signup'),
+n AS (SELECT id, count(*) FILTER (WHERE kind = 'post') AS posts, count(*) FILTER (WHERE kind = 'vote') AS votes, count(*) FILTER (WHERE kind = 'follow') AS follows, count(*) FILTER (WHERE kind = 'attested') AS given, count(*) FILTER (WHERE kind = 'received') AS received, count(*) FILTER (WHERE kind = 'change') AS changes,
+ count(*) FILTER (WHERE kind = 'post' AND reply) AS replies, avg(length) FILTER (WHERE kind = 'post') AS length FROM acts GROUP BY 1),
+pairs AS (SELECT id, partner, count(*) AS times FROM (SELECT user_id AS id, k AS partner FROM w UNION ALL SELECT k, user_id FROM w) GROUP BY 1, 2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY times DESC, partner) AS place FROM pairs),
+met AS (SELECT id, count(*) AS partners, string_agg(partner || ':' || times, ',' ORDER BY place) FILTER (WHERE place <= 5) AS best FROM ranked GROUP BY 1)
+SELECT id, round(coalesce(posts, 0) / 7.0::DOUBLE, 2) AS posts_per_day, round(coalesce(votes, 0) / 7.0::DOUBLE, 2) AS votes_per_day, round(coalesce(follows, 0) / 7.0::DOUBLE, 2) AS follows_per_day, coalesce(given, 0) AS attestations_given, coalesce(received, 0) AS attestations_received,
+ round(coalesce(length, 0.0::DOUBLE), 1) AS avg_post_length, round(coalesce(replies / nullif(posts, 0)::DOUBLE, 0.0::DOUBLE), 4) AS reply_ratio, coalesce(partners, 0) AS unique_partners, coalesce(best, '') AS top_partners, coalesce(changes, 0) AS capability_changes, 0.0::DOUBLE AS trust_score_delta, round(c_acctbal / 10000, 4)::DOUBLE AS trust_score
+FROM n FULL JOIN met USING (id) LEFT JOIN customer ON c_custkey = id
+""")
+def behaviour_vectors(spark, d):
+    """Twelve metrics of each entity over the last week."""
+    w = m.events(spark, d).crossJoin(F.broadcast(m.now(spark, d))).where("us > now - 7 * 86400000000")
+    kind = F.when(F.col("event_type") == "purchase", "post").when(F.col("event_type") == "view", "vote").when(F.col("event_type") == "click", "follow").when(F.col("event_type") == "signup", "attested").otherwise("change")
+    acts = w.select(F.col("user_id").alias("id"), kind.alias("kind"), F.floor("value").alias("length"), (F.col("event_id") % 3 == 0).alias("reply"))
+    received = w.where("event_type = 'signup'").select(F.col("k").alias("id"), F.lit("received").alias("kind"), F.lit(None).cast("long").alias("length"), F.lit(False).alias("reply"))
+    scores = load(spark, d, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") / 10000).alias("score"))
+    return behaviour(acts.unionByName(received), w.select(F.col("user_id").alias("a"), F.col("k").alias("b")), scores, 7)
+
+
+@query("""
+WITH f AS (SELECT o_orderstatus AS status, o_orderpriority AS reason, ['post', 'entity', 'listing'][o_custkey % 3 + 1] AS target FROM orders)
+SELECT 'status' AS breakdown, status AS value, count(*) AS n FROM f GROUP BY 2 UNION ALL SELECT 'reason', reason, count(*) FROM f GROUP BY 2 UNION ALL SELECT 'target', target, count(*) FROM f GROUP BY 2 UNION ALL SELECT 'total', NULL, count(*) FROM f
+""")
+def moderation_breakdown(spark, d):
+    """Cases by status, by reason, by kind of target and in all, in one pass of grouping sets."""
+    target = F.try_element_at(F.array(F.lit("post"), F.lit("entity"), F.lit("listing")), (F.col("o_custkey") % 3 + 1).cast("int"))
+    f = load(spark, d, "orders").select(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("reason"), target.alias("target"))
+    sets = f.groupingSets([[f.status], [f.reason], [f.target], []], "status", "reason", "target").agg(n_rows(), F.grouping_id().alias("g"))
+    name = F.when(F.col("g") == 3, "status").when(F.col("g") == 5, "reason").when(F.col("g") == 6, "target").otherwise("total")
+    return sets.select(name.alias("breakdown"), F.coalesce("status", "reason", "target").alias("value"), "n")
