@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import textkernel as K
-from weftline.llm.shared import hash_sample, row_type, with_row
+from weftline.llm.shared import labelled_texts, row_type, with_row
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_digits", "n_marks", "n_stops", "n_lines")
 
@@ -154,10 +154,8 @@ def verdict(rules: list[Rule]) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 20000, **options) -> list[Rule]:
-    """Learn rules for label 0 from at most ``sample`` labelled rows: those with the least hash of the id."""
-    chosen = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).alias("label"))
-    chosen = hash_sample(chosen, "id", sample)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("label", "text")
+    """Learn rules for label 0 from at most ``sample`` labelled ids, those with the least hash; one text and label of each."""
+    rows = labelled_texts(docs, labels, id_col, text_col, label_col, sample).select("label", "text")
     got = text_stats(rows).select(F.col("row.label").alias("label"), *(c.alias(n) for n, c in features().items())).toArrow()
     x = {n: got[n].to_numpy() for n in features()}
     label = got["label"].to_numpy()

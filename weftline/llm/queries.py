@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm.decontaminate import contamination
+from weftline.llm.hard_negatives import mine
 from weftline.llm.html_extract import page_texts
 from weftline.llm.ngram_join import ngram_join
 from weftline.llm.packing import pack
 from weftline.llm.quality_rules import quality
+from weftline.llm.quality_trees import quality_scores
 from weftline.llm.secret_scan import secret_report
 from weftline.llm.substring_dedup import repeated_spans
+from weftline.llm.tandem_runs import run_digests
 from weftline.llm.toxicity import toxic_documents
 from weftline.llm.url_filter import url_verdicts
 from weftline.llm.warc import round_trip
@@ -64,9 +67,22 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_texts(table(spark, sf_dir, "pages"))
 
 
+def op11_tandem_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(table(spark, sf_dir, "documents"))
+
+
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_benchmark_decontamination, op3_substring_dedup, op4_warc, op5_url_filter,
     op6_secret_scan, op7_quality_rules, op8_packing, op9_toxicity, op10_html_extraction,
+    op11_tandem_runs, op12_quality_classifier, op13_hard_negatives,
 )}
 
 SQL: dict[str, str] = {
@@ -82,5 +98,19 @@ SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
   CASE WHEN first IS NULL OR page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN first IS NULL OR page_id IS NOT DISTINCT FROM first THEN NULL ELSE first END AS refers_to
 FROM d JOIN m USING (h) JOIN b32 USING (h)
+""",
+    "op13_hard_negatives": """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e, row_number() OVER () AS r
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r AS a, a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_inner_product(a.e, b.e)::BIGINT AS score
+  FROM v a JOIN v b ON a.r <> b.r WHERE a.vec_id % 100 = 0),
+p AS (SELECT a, anchor_id, other AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY a ORDER BY score DESC, other) AS k
+  FROM s WHERE same QUALIFY k <= 5)
+SELECT p.anchor_id, p.positive_id, (row_number() OVER (PARTITION BY p.a, p.k ORDER BY s.score DESC, s.other))::INT AS rank,
+  s.other AS negative_id, p.positive_score, s.score AS negative_score
+FROM p JOIN s ON s.a = p.a AND NOT s.same AND 100 * s.score BETWEEN 30 * p.positive_score AND 90 * p.positive_score
+QUALIFY rank <= 10
 """,
 }

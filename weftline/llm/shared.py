@@ -62,13 +62,34 @@ def unpacked(docs: DataFrame, text_col: str) -> list[Column]:
     return [F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
 
 
+def held_out(id_col: str) -> Column:
+    """True for the fold that is kept out of learning: crc32 of the id as text leaves 1 when divided by 3."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
+
+
 def hash_sample(df: DataFrame, by: str, limit: int) -> DataFrame:
-    """At most ``limit`` rows: those with the least hash of ``by``, whatever the order and partitions of the rows.
+    """At most ``limit`` rows, one for each value of ``by``: the values with the least hash, whatever the order and partitions.
 
-    Only rows below a hash bound that leaves about twice the limit are sorted, more where many rows share a value.
+    Rows that share a value count once, with the least of their other columns. The hashes of distinct values are even,
+    so a bound on them leaves about twice the limit to sort, however often a value is repeated.
     """
-    total = df.count()
+    others = [c for c in df.columns if c != by]
+    one = df.groupBy(by).agg(F.min(F.struct(*others)).alias("_least")) if others else df.distinct()
+    one = one.select(by, *(F.col(f"_least.`{c}`").alias(c) for c in others))
+    total = one.count()
     hashed = F.shiftrightunsigned(F.xxhash64(by), 1)
     if total > 4 * limit:
-        df = df.where(hashed < int(2**63 * (2 * limit + 200) / total))
-    return df.orderBy(hashed, by).limit(limit)
+        one = one.where(hashed < int(2**63 * (2 * limit + 200) / total))
+    return one.orderBy(hashed, by).limit(limit)
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, limit: int) -> DataFrame:
+    """(id, label, text) of at most ``limit`` labelled ids, stored: those with the least hash, one row each.
+
+    Of several labels or texts of an id the least counts, so neither repeated labels nor copies of a document can widen
+    what is learned from. Null ids and labels take no part; a null text is an empty one.
+    """
+    chosen = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).alias("label"))
+    chosen = hash_sample(chosen, "id", limit)
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return stash(texts.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text")), "labelled")

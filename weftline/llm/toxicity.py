@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.shared import hash_sample, row_type, unpacked, with_row
+from weftline.llm.shared import held_out, labelled_texts, row_type, unpacked, with_row
 
 #: Look-alikes of Latin letters in Greek and Cyrillic, and substitutes of letters by digits and signs.
 HOMOGLYPHS = dict(zip("авсԁеһіјкӏмнорԛгѕтѵԝхуѐёїαβεηικνορτυχγωι", "abcdehijklmhopqrstvwxyeeiabehikvoptuxywi", strict=True))
@@ -136,15 +136,13 @@ def choose(counts: dict[str, tuple[int, int]], positives: int, negatives: int, s
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 20000, support: int = 4, precision: float = 0.8, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
-    """Learn the lexicon, its exceptions and the score from at most ``sample`` rows of ``labels``.
+    """Learn the lexicon, its exceptions and the score from at most ``sample`` labelled ids, one text each.
 
-    The sample are the rows with the least hash of the id. Entries are folded words and strict beginnings of words, of
+    The sample are the ids with the least hash. Entries are folded words and strict beginnings of words, of
     3 to 12 letters, that at least ``support`` toxic texts and mostly toxic ones have; words that begin with an entry but
     stand mostly in other texts join the exceptions, all of them: the labelled sample bounds their number. The score is a logistic function of the weight found and its density.
     """
-    chosen = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).alias("label"))
-    chosen = hash_sample(chosen, "id", sample)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("label", F.coalesce("text", F.lit("")).alias("text"))
+    rows = labelled_texts(docs, labels, id_col, text_col, label_col, sample).select("label", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,11 +209,6 @@ def toxicity(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", below: f
     return carried.mapInArrow(score, f"row {row_type(carried)}, " + ("score double" if below is None else "text string, score double"))
 
 
-def held_out(id_col: str) -> F.Column:
-    """True for the fold that is kept out of learning: crc32 of the id as text leaves 1 when divided by 3."""
-    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
-
-
 def toxic_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, **options) -> DataFrame:
     """Per document: the id, held_out, score, predicted; learned from the labels outside the held-out fold."""
     lexicon = train(docs.select(id_col, text_col), labels.where(~held_out(id_col)), id_col, text_col, **options)
