@@ -239,8 +239,8 @@ def search(index: Index, s: Search) -> DataFrame:
         shared = spark.sparkContext.broadcast((s, plain, inner, outer))
         rows = index.rows
         if outer < math.inf:  # keys that some anchor's ring can meet
-            rings = [(F.col("pivot") == j) & (F.col("high") >= float(away[:, j].min() - outer)) & (F.col("low") <= float(away[:, j].max() + outer)) for j in range(len(index.pivots))]
-            rows = rows.where(reduce(Column.__or__, rings))
+            lows, highs = away.min(0) - outer, away.max(0) + outer
+            rows = rows.where(" or ".join(f"(pivot = {j} and high >= {a!r}D and low <= {b!r}D)" for j, (a, b) in enumerate(zip(lows.tolist(), highs.tolist(), strict=True))))
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own = Scan(*shared.value)
