@@ -31,12 +31,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by sets of 5-word shingles with a similarity of 0.8 or more, keep the least doc_id.
+    """Of each group linked by sets of 5-word shingles with a similarity of 0.8 or more, keep the row with the least doc_id.
 
-    Rows without a doc_id and rows that repeat a kept doc_id stay.
+    Rows are told apart by a stored key, so rows that share a doc_id are judged each by its text, and of exact copies one
+    stays whatever their ids. Rows without a doc_id come last in a group. Texts of no words link with nothing and stay.
     """
-    others = ngram_join(docs, n=5, percent=80).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(stash(others, "duplicates"), "doc_id", "left_anti").select(docs.columns)
+    key = next(f"row{'_' * k}" for k in range(1, 99) if f"row{'_' * k}" not in docs.columns)
+    keyed = stash(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    groups = ngram_join(keyed, id_col=key, n=5, percent=80).select(F.col(key).alias("_k"), "component_id")
+    crowded = groups.groupBy("component_id").count().where("count > 1").select("component_id")
+    members = stash(groups.join(crowded, "component_id").join(keyed.select(F.col(key).alias("_k"), F.col("doc_id").alias("_d")), "_k"), "members")
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("_d").isNull(), "_d", "_k"))["_k"].alias("_first"))
+    others = stash(members.join(first, "component_id").where("_k <> _first").select(F.col("_k").alias(key)), "duplicates")
+    return keyed.join(others, key, "left_anti").select(docs.columns)
 
 
 def cut_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
