@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from weftline.operators import fulltext as ft
 from weftline.operators import search as s
 from weftline.plans import model as m
 from weftline.plans.registry import load, query
@@ -67,3 +68,25 @@ def headlines(spark, d):
     """A fragment of up to 30 words around the first hit."""
     hit = load(spark, d, "documents").where(F.array_contains(s.tokens(F.col("text")), "thereth") | F.col("text").contains("there"))
     return hit.select("doc_id", s.headline("text", F.lit("there")).alias("fragment"))
+
+
+_FORMS = "'^licens(e|es|ed|ing)$'"
+
+
+@query(f"""
+SELECT doc_id, list_min(places)::INT AS first, len(places) AS hits FROM (SELECT doc_id, w, list_filter(range(1, len(w) + 1), lambda i: regexp_matches(w[i], {_FORMS})) AS places FROM {_WORDS})
+WHERE len(places) > 0 AND len(list_filter(w, lambda x: regexp_matches(x, '^(permission|permissions)$'))) = 0
+""")
+def english_search(spark, d):
+    """Texts with a word of the stem of licence and none of that of permission: where it stands first, and how often."""
+    found = ft.search(load(spark, d, "documents"), ft.parse("licensing & !permissions"))
+    at = F.col("places")[0]
+    return found.select("doc_id", F.array_min(at).alias("first"), F.size(at).cast("long").alias("hits"))
+
+
+@query()
+def english_ranked(spark, d):
+    """The best texts for a query with a phrase, with their rank and headline."""
+    docs = load(spark, d, "documents")
+    best = ft.search(docs, ft.parse("(licensed <-> under | copyright) & (version | rights:*)")).orderBy(F.desc("rank"), "doc_id").limit(50)
+    return ft.headlines(docs, best).select("doc_id", F.round("rank", 6).alias("rank"), "fragment")
