@@ -7,8 +7,6 @@ common record by native expressions.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -35,24 +33,31 @@ class _File(InputPartition):
 
 
 class CapturedReader(DataSourceReader):
+    """Lists and opens files through pyarrow, so a folder may be in any store that all tasks reach; a bare path is a local or mounted one."""
+
     def __init__(self, options: dict):
-        self.root = options["path"]
+        self.root = options["path"].rstrip("/")
+
+    def _store(self):
+        from pyarrow import fs
+
+        return fs.FileSystem.from_uri(self.root if "://" in self.root else f"file://{self.root}")
 
     def partitions(self) -> list[_File]:
-        found = []
-        for registry in sorted(os.listdir(self.root)):
-            folder = os.path.join(self.root, registry)
-            if os.path.isdir(folder):
-                found += [_File(registry, os.path.join(folder, f)) for f in sorted(os.listdir(folder))]
-        return found
+        from pyarrow import fs
+
+        store, root = self._store()
+        files = store.get_file_info(fs.FileSelector(root, recursive=True))
+        parts = sorted(f.path.removeprefix(root).strip("/").split("/") for f in files if f.is_file)
+        return [_File(p[0], f"{root}/{'/'.join(p)}") for p in parts if len(p) == 2]
 
     def read(self, partition: _File):
-        with open(partition.path, encoding="utf-8") as f:
-            yield partition.registry, os.path.basename(partition.path), f.read()
+        with self._store()[0].open_input_stream(partition.path) as f:
+            yield partition.registry, partition.path.rpartition("/")[2], f.read().decode("utf-8")
 
 
 class Captured(DataSource):
-    """``spark.read.format("captured").load(folder)``: (registry, file, body) of folder/registry/file, a local or mounted folder."""
+    """``spark.read.format("captured").load(folder)``: (registry, file, body) of folder/registry/file."""
 
     @classmethod
     def name(cls) -> str:
