@@ -49,6 +49,32 @@ def voting_pairs(votes: DataFrame, overlap: float = 0.8, least: int = 5) -> Data
     return both.select("voter", "other", common.cast("long").alias("common"), "n", "m").where((F.col("common") >= overlap * F.col("n")) & (F.col("common") >= overlap * F.col("m")))
 
 
+def voting_rings(votes: DataFrame, now: Column, days: int = 30, overlap: float = 0.8, least: int = 5) -> DataFrame:
+    """Pairs of entities that give most of their upvotes to each other, with the ring that each pair belongs to.
+
+    ``votes(voter, author, direction, us)``: upvotes of the last ``days`` on posts of others. A pair (a, b) is one where
+    each gives the other at least ``least`` votes and the share ``overlap`` of its own. Rings are connected pairs, named by
+    the least member; severity is high from three members. One aggregate counts a voter's votes for each author, one more
+    the normalised pair: there is no self join, and a popular author is a count like any other.
+    """
+    from weftline.operators.graph import components
+
+    up = votes.where((F.col("direction") == "up") & (F.col("us") >= now - days * 86_400_000_000) & (F.col("voter") != F.col("author")))
+    n = up.groupBy("voter", "author").agg(F.count(F.lit(1)).alias("n"))
+    total = n.groupBy("voter").agg(F.sum("n").alias("total"))
+    strong = n.where(F.col("n") >= least).join(total, "voter").where(F.col("n") >= overlap * F.col("total"))
+    forth = F.col("voter") < F.col("author")
+    pair = strong.groupBy(F.least("voter", "author").alias("a"), F.greatest("voter", "author").alias("b")).agg(
+        F.max(F.when(forth, F.col("n"))).alias("forth"), F.max(F.when(~forth, F.col("n"))).alias("back"), F.max(F.when(forth, F.col("total"))).alias("total_a"), F.max(F.when(~forth, F.col("total"))).alias("total_b"),
+    )
+    pair = pair.where("forth is not null and back is not null")
+    ring = components(pair.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnRenamed("component", "ring")
+    sizes = ring.groupBy("ring").agg(F.count(F.lit(1)).alias("members"))
+    out = pair.join(ring.select(F.col("id").alias("a"), "ring"), "a").join(sizes, "ring")
+    share = lambda x, t: F.round(F.col(x) / F.col(t), 4)
+    return out.select("ring", "members", F.when(F.col("members") >= 3, "high").otherwise("medium").alias("severity"), "a", "b", "forth", "back", share("forth", "total_a").alias("overlap_a"), share("back", "total_b").alias("overlap_b"))
+
+
 def sybil_score(nearby: Column, similar: Column, active: Column, verified: Column) -> Column:
     """Risk from creation bursts, similar names, inactivity and an unverified address, at most 1."""
     risk = F.when(nearby >= 3, 0.35).when(nearby >= 1, 0.15).otherwise(0.0) + F.when(similar >= 2, 0.3).when(similar >= 1, 0.1).otherwise(0.0)

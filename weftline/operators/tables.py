@@ -65,16 +65,19 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int) ->
 def maximal_sets(members: DataFrame) -> DataFrame:
     """Sets of ``members(id, item)`` that are part of no other set, with their size n; of equal sets the least id.
 
-    A set can only lie inside sets that have its rarest item, so it is compared with those alone.
+    Equal sets become one by their size and two sums of item hashes. A set can only lie inside larger sets that have its
+    rarest item; of these the items that both have are counted, so no set travels as a whole.
     """
     m = members.select("id", "item").distinct()
+    sums = [F.sum(F.xxhash64("item", F.lit(k)).cast("decimal(38,0)")).alias(f"h{k}") for k in (1, 2)]
+    own = m.groupBy("id").agg(F.count(F.lit(1)).alias("n"), *sums)
+    first = own.groupBy("n", "h1", "h2").agg(F.min("id").alias("id")).select("id", "n")
+    m = m.join(first, "id")
     crowd = m.groupBy("item").agg(F.count(F.lit(1)).alias("crowd"))
-    rows = m.join(crowd, "item")
-    sets = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min_by("item", F.struct("crowd", "item")).alias("rarest"), F.collect_set("item").alias("items"))
-    equal = sets.select("id", "n", "rarest", F.array_sort("items").alias("items")).groupBy("items").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("rarest").alias("rarest"))
-    larger = m.join(equal.select("id", F.col("n").alias("m"), F.col("items").alias("theirs")), "id").select(F.col("item").alias("rarest"), "m", "theirs")
-    inside = equal.join(larger, "rarest").where((F.col("m") > F.col("n")) & (F.size(F.array_except("items", "theirs")) == 0)).select("id").distinct()
-    return equal.join(inside, "id", "left_anti").select("id", "n")
+    rarest = m.join(crowd, "item").groupBy("id", "n").agg(F.min_by("item", F.struct("crowd", "item")).alias("item"))
+    pairs = rarest.join(m.select(F.col("id").alias("other"), F.col("n").alias("m"), "item"), "item").where("m > n").select("id", "n", "other")
+    common = pairs.join(m.select("id", "item"), "id").join(m.select(F.col("id").alias("other"), "item"), ["other", "item"]).groupBy("id", "other", "n").agg(F.count(F.lit(1)).alias("common"))
+    return first.join(common.where("common = n").select("id").distinct(), "id", "left_anti")
 
 
 def window_counts(df: DataFrame, key: str, seconds: str, width: int) -> DataFrame:

@@ -12,6 +12,13 @@ from weftline.functions.exprs import age_decay, clamp, log_share, ladder
 WEIGHTS = {"verification": 0.35, "age": 0.10, "activity": 0.0, "reputation": 0.0, "community": 0.0, "external": 0.35, "scan": 0.20}
 CLAIM_CAPS = {"identity": 0.60, "authority": 0.25, "continuity": 0.15, "transport": 0.0}
 ACCOUNT_WEIGHTS = {"verified_oauth": 1.0, "verified_challenge": 0.85, "unverified_claim": 0.25, "pending": 0.0}
+CONTEXT_BOOST = 1.5
+#: External reputation of an entity without linked accounts whose source is verified: a share of its source's signals, or a constant without any.
+SOURCE_SHARE, SOURCE_ONLY = 0.70, 0.60
+#: Logarithms and shares of the components.
+AGE_DAYS, ACTIVITY_TOP, ENDORSEMENT_TOP, STARS, RATING_SHARE = 365.0, 100.0, 20.0, 5, 0.6
+SIGNAL_TOPS = {"stars": 5.0, "downloads": 6.0, "forks": 4.0, "likes": 4.0}
+HUMAN_SHIFT, KEPT_SHARE = 0.10, 0.80
 FRESHNESS_SECONDS, CONFLICT, RETAIN, FLOOR = 86400, 0.30, 0.5, -0.20
 
 assert abs(sum(WEIGHTS.values()) - 1) < 1e-9 and max(WEIGHTS.values()) <= 0.40
@@ -25,26 +32,45 @@ def verification(source: Column, email: Column, bio: Column, operator: Column) -
 
 
 def age(days: Column) -> Column:
-    return F.least(F.greatest(days, F.lit(0)) / 365.0, F.lit(1.0))
+    return F.least(F.greatest(days, F.lit(0)) / AGE_DAYS, F.lit(1.0))
 
 
 def activity(n: Column) -> Column:
-    return F.least(F.log(n + 1.0) / F.log(F.lit(100.0)), F.lit(1.0))
+    return F.least(F.log(n + 1.0) / F.log(F.lit(ACTIVITY_TOP)), F.lit(1.0))
 
 
 def reputation(rating: Column, endorsements: Column) -> Column:
     """Mean rating of 5 and endorsements on a log scale, 60 to 40 where both exist, else the one that does."""
-    stars, known = rating / 5, F.least(F.log(endorsements + 1.0) / F.log(F.lit(20.0)), F.lit(1.0))
+    stars, known = rating / STARS, F.least(F.log(endorsements + 1.0) / F.log(F.lit(ENDORSEMENT_TOP)), F.lit(1.0))
     has = F.coalesce(endorsements, F.lit(0)) > 0
-    return F.when(rating.isNotNull() & has, 0.6 * stars + 0.4 * known).when(rating.isNotNull(), stars).when(has, known).otherwise(0.0)
+    return F.when(rating.isNotNull() & has, RATING_SHARE * stars + (1 - RATING_SHARE) * known).when(rating.isNotNull(), stars).when(has, known).otherwise(0.0)
 
 
 def source_reputation(stars: Column, downloads: Column, forks: Column, likes: Column) -> Column:
     """The best of four community signals on log scales."""
-    scaled = [F.least(F.log10(F.greatest(F.coalesce(c, F.lit(0)), F.lit(0)) + 1.0) / top, F.lit(1.0)) for c, top in ((stars, 5.0), (downloads, 6.0), (forks, 4.0), (likes, 4.0))]
+    scaled = [F.least(F.log10(F.greatest(F.coalesce(c, F.lit(0)), F.lit(0)) + 1.0) / top, F.lit(1.0)) for c, top in zip((stars, downloads, forks, likes), SIGNAL_TOPS.values(), strict=True)]
     return F.greatest(*scaled)
 
 
+def external(linked: Column, verified: Column, signals: Column) -> Column:
+    """External reputation: the linked accounts' mean where there is one, else what a verified source is worth, else 0.
+
+    ``signals`` is the source's reputation, null where nothing is known of it.
+    """
+    return F.when(linked.isNotNull(), linked).when(verified, F.when(signals.isNotNull(), signals * SOURCE_SHARE).otherwise(SOURCE_ONLY)).otherwise(0.0)
+
+
+def with_chain(signals: Column, chain: Column) -> Column:
+    """Source signals and the score of on-chain attestations do not add up: the greater counts."""
+    return F.greatest(signals, F.coalesce(chain, F.lit(0.0)))
+
+
+def recent_activity(acts: DataFrame, now: Column, days: int = 30) -> DataFrame:
+    """Per entity of ``acts(id, us)`` the activity of the last days: posts and votes alike, each a row."""
+    n = acts.where(F.col("us") >= now - days * 86_400_000_000).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    return n.select("id", activity(F.col("n")).alias("activity"))
+
+
 def composite(mode: str = "batch", human: Column | None = None, modifier: Column | None = None, previous: Column | None = None) -> Column:
     """The weighted score over columns named as the components.
 
@@ -54,27 +80,30 @@ def composite(mode: str = "batch", human: Column | None = None, modifier: Column
     part = lambda n, w=None: F.coalesce(F.col(n), F.lit(0.0)) * (WEIGHTS[n] if w is None else w)
     total = sum((part(n) for n in WEIGHTS), F.lit(0.0))
     if mode == "single" and human is not None:
-        moved = total + part("verification", 0.10) + part("external", 0.10) - part("scan")
+        moved = total + part("verification", HUMAN_SHIFT) + part("external", HUMAN_SHIFT) - part("scan")
         total = F.when(human, moved).otherwise(total)
     if modifier is not None:
         total = total * F.coalesce(modifier, F.lit(1.0))
     if mode == "single" and previous is not None:
-        total = F.when(previous > 0, F.greatest(total, previous * 0.80)).otherwise(total)
+        total = F.when(previous > 0, F.greatest(total, previous * KEPT_SHARE)).otherwise(total)
     return total
 
 
-def community(attestations: DataFrame, now: Column, cap: int = 10) -> DataFrame:
-    """Per target: mean decayed weight of the earliest ``cap`` attestations of each attester, and the mean per context.
+def community(attestations: DataFrame, now: Column, cap: int = 10, boost: str | None = None) -> DataFrame:
+    """Per target: mean decayed weight of the earliest ``cap`` attestations of each attester, at most 1, and the mean per context.
 
-    ``attestations(event_id, attester, target, context, weight, us)``; a null weight counts 0.5.
+    ``attestations(event_id, attester, target, context, weight, us)``; a null weight counts 0.5. Attestations of the
+    context ``boost`` count half as much again in the overall mean, not in that of the context.
     """
     w = W.partitionBy("target", "attester").orderBy("us", "event_id")
     days = F.floor((now - F.col("us")) / 86_400_000_000)
     kept = attestations.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= cap)
     kept = kept.withColumn("w", F.coalesce("weight", F.lit(0.5)) * age_decay(days))
     by_context = kept.groupBy("target", "context").agg(F.sum("w").alias("total"), F.count(F.lit(1)).alias("n"))
-    entry = F.struct("context", (F.col("total") / F.col("n")).alias("mean"))
-    return by_context.groupBy("target").agg((F.sum("total") / F.sum("n")).alias("community"), F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("contexts"))
+    entry = F.when(F.col("context").isNotNull(), F.struct("context", F.least(F.col("total") / F.col("n"), F.lit(1.0)).alias("mean")))
+    share = F.when(F.col("context") == boost, CONTEXT_BOOST).otherwise(1.0) if boost else F.lit(1.0)
+    overall = F.least(F.sum(F.col("total") * share) / F.sum("n"), F.lit(1.0))
+    return by_context.groupBy("target").agg(overall.alias("community"), F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("contexts"))
 
 
 def recency(days: Column) -> Column:
@@ -109,9 +138,10 @@ def aggregate_signals(signals: DataFrame) -> DataFrame:
     group = W.partitionBy("subject", "claim", "provider")
     spread = F.greatest(F.max("raw").over(group) - F.col("raw"), F.col("raw") - F.min("raw").over(group))
     contested = F.col("claim").isNotNull() & F.col("provider").isNotNull() & (spread > CONFLICT)
-    providers = F.size(F.collect_set("provider").over(W.partitionBy("subject")))
-    live = live.withColumn("cap", cap).withColumn("contested", contested).withColumn("diversity", diversity(providers))
+    live = live.withColumn("cap", cap).withColumn("contested", contested)
     decayed = clamp_by(F.col("raw"), F.col("cap")) * F.when(F.col("age") <= 0, 1.0).otherwise(F.exp(-F.col("age") / FRESHNESS_SECONDS))
+    counted = live.groupBy("subject").agg(F.count_distinct("provider").alias("_providers"))
+    live = live.join(counted, "subject").withColumn("diversity", diversity(F.col("_providers")))
     weighted = decayed * F.when(F.col("provider").isNotNull(), F.col("diversity")).otherwise(1.0)
     kept = RETAIN * F.col("cap")
     weighted = F.when(F.col("contested"), F.when(weighted >= 0, F.greatest(weighted, kept)).otherwise(F.least(weighted, -kept))).otherwise(weighted)

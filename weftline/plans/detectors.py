@@ -13,22 +13,22 @@ r6 = lambda c: F.round(c, 6)
 
 @query(m.SQL + """
 , s AS (SELECT user_id, avg(value) AS v FROM ev GROUP BY 1), st AS (SELECT avg(v) AS mean, stddev_pop(v) AS sd FROM s)
-SELECT user_id, round((v - mean) / sd, 6) AS z, CASE WHEN abs((v - mean) / sd) >= 4 THEN 'high' WHEN abs((v - mean) / sd) >= 3 THEN 'medium' ELSE 'low' END AS severity FROM s, st WHERE sd > 0 AND abs((v - mean) / sd) > 1.5
+SELECT user_id, round((v - mean) / sd, 6) AS z, CASE WHEN abs((v - mean) / sd) >= 4 THEN 'high' WHEN abs((v - mean) / sd) >= 3 THEN 'medium' ELSE 'low' END AS severity FROM s, st WHERE sd > 0 AND abs((v - mean) / sd) > 2
 """)
 def velocity(spark, d):
     """Entities whose recent score is far from the population's mean."""
     s = m.events(spark, d).groupBy("user_id").agg(F.avg("value").alias("v"))
-    return outliers(s, "v", 1.5).select("user_id", r6(F.col("z")).alias("z"), det.severity_of(F.col("z")).alias("severity"))
+    return outliers(s, "v", 2.0).select("user_id", r6(F.col("z")).alias("z"), det.severity_of(F.col("z")).alias("severity"))
 
 
 @query(m.SQL + """
 , s AS (SELECT src, count(*) / 30.0 AS v FROM follows GROUP BY 1), st AS (SELECT avg(v) AS mean, stddev_pop(v) AS sd FROM s)
-SELECT src, round((v - mean) / sd, 6) AS z, CASE WHEN abs((v - mean) / sd) >= 4 THEN 'high' WHEN abs((v - mean) / sd) >= 3 THEN 'medium' ELSE 'low' END AS severity FROM s, st WHERE sd > 0 AND abs((v - mean) / sd) > 2
+SELECT src, round((v - mean) / sd, 6) AS z, CASE WHEN abs((v - mean) / sd) >= 4 THEN 'high' WHEN abs((v - mean) / sd) >= 3 THEN 'medium' ELSE 'low' END AS severity FROM s, st WHERE sd > 0 AND abs((v - mean) / sd) > 3
 """)
 def churn(spark, d):
     """Entities that follow unusually often, among those that follow at all."""
     s = m.follows(spark, d).groupBy("src").agg((F.count(F.lit(1)) / 30.0).alias("v"))
-    return outliers(s, "v", 2.0).select("src", r6(F.col("z")).alias("z"), det.severity_of(F.col("z")).alias("severity"))
+    return outliers(s, "v", 3.0).select("src", r6(F.col("z")).alias("z"), det.severity_of(F.col("z")).alias("severity"))
 
 
 @query(m.SQL + """
@@ -42,20 +42,43 @@ def mutual_attestation(spark, d):
     return p.select("a", "b", "forth", "back", F.when(F.col("x") == F.col("y"), "high").otherwise("medium").alias("severity"))
 
 
-@query("""
-WITH v AS (SELECT DISTINCT l_suppkey AS voter, l_partkey % 400 AS post FROM lineitem), n AS (SELECT voter, count(*) AS n FROM v GROUP BY 1 HAVING count(*) >= 5)
-SELECT a.voter, b.voter AS other, count(*) AS common, any_value(x.n) AS n, any_value(y.n) AS m FROM v a JOIN v b ON a.post = b.post AND a.voter < b.voter JOIN n x ON x.voter = a.voter JOIN n y ON y.voter = b.voter
-GROUP BY 1, 2 HAVING count(*) >= 0.8 * any_value(x.n) AND count(*) >= 0.8 * any_value(y.n)
-""")
+def _rings_sql(days: int, overlap: float, least: int) -> str:
+    return m.SQL + f"""
+, u AS (SELECT voter, post AS author, count(*) AS n FROM votes, clock WHERE direction = 'up' AND us >= now - {days} * 86400000000::BIGINT AND voter <> post GROUP BY ALL), t AS (SELECT voter, sum(n) AS total FROM u GROUP BY 1),
+strong AS (SELECT voter, author, n, total FROM u JOIN t USING (voter) WHERE n >= {least} AND n >= {overlap}::DOUBLE * total),
+p AS (SELECT x.voter AS a, x.author AS b, x.n AS forth, y.n AS back, round(x.n / x.total::DOUBLE, 4) AS overlap_a, round(y.n / y.total::DOUBLE, 4) AS overlap_b FROM strong x JOIN strong y ON y.voter = x.author AND y.author = x.voter WHERE x.voter < x.author),
+r AS (WITH RECURSIVE w(id, seen) AS (SELECT a, a FROM p UNION SELECT b, b FROM p UNION SELECT CASE WHEN p.a = w.id THEN p.b ELSE p.a END, seen FROM w JOIN p ON p.a = w.id OR p.b = w.id) SELECT id, min(seen) AS ring FROM w GROUP BY 1),
+z AS (SELECT ring, count(*) AS members FROM r GROUP BY 1)
+SELECT ring, members, CASE WHEN members >= 3 THEN 'high' ELSE 'medium' END AS severity, a, b, forth, back, overlap_a, overlap_b FROM p JOIN r ON r.id = a JOIN z USING (ring)"""
+
+
+def _rings(spark, d, days, overlap, least):
+    """Votes on posts, each post being its entity's own."""
+    now = m.now(spark, d).first()["now"]
+    return det.voting_rings(m.votes(spark, d).withColumnRenamed("post", "author"), F.lit(now), days, overlap, least)
+
+
+@query(_rings_sql(30, 0.8, 5))
 def voting_ring(spark, d):
-    """Voters with nearly the same sets of posts."""
-    v = load(spark, d, "lineitem").select(F.col("l_suppkey").alias("voter"), (F.col("l_partkey") % 400).alias("post"))
-    return det.voting_pairs(v)
+    """Entities that give each other most of their upvotes, at the rule's own values."""
+    return _rings(spark, d, 30, 0.8, 5)
+
+
+@query(_rings_sql(3650, 0.01, 1))
+def mutual_upvotes(spark, d):
+    """The same at values that any mutual vote meets, so that there are rows and larger rings."""
+    return _rings(spark, d, 3650, 0.01, 1)
+
+
+@query()
+def voting_overlap(spark, d):
+    """Voters with nearly the same sets of posts: suppliers and their parts."""
+    return det.voting_pairs(load(spark, d, "lineitem").select(F.col("l_suppkey").alias("voter"), F.col("l_partkey").alias("post")))
 
 
-@query("SELECT c_mktsegment AS label, count(*) AS n, count(*) / (SELECT count(*) FROM customer)::DOUBLE AS share, CASE WHEN count(*) >= 0.85 * (SELECT count(*) FROM customer) THEN 'high' ELSE 'medium' END AS severity FROM customer GROUP BY 1 HAVING count(*) > 0.2 * (SELECT count(*) FROM customer)")
+@query("SELECT c_mktsegment AS label, count(*) AS n, count(*) / (SELECT count(*) FROM customer)::DOUBLE AS share, CASE WHEN count(*) >= 0.85 * (SELECT count(*) FROM customer) THEN 'high' ELSE 'medium' END AS severity FROM customer GROUP BY 1 HAVING count(*) > 0.7 * (SELECT count(*) FROM customer)")
 def monoculture(spark, d):
-    return shares(load(spark, d, "customer"), "c_mktsegment").where("share > 0.2").withColumn("severity", F.when(F.col("share") >= 0.85, "high").otherwise("medium"))
+    return shares(load(spark, d, "customer"), "c_mktsegment").where("share > 0.7").withColumn("severity", F.when(F.col("share") >= 0.85, "high").otherwise("medium"))
 
 
 @query(m.SQL + "SELECT operator, count(*) AS n, CASE WHEN count(*) >= 20 THEN 'high' ELSE 'medium' END AS severity FROM ev JOIN entities ON id = user_id, clock WHERE us > now - 86400000000 GROUP BY 1 HAVING count(*) > 10")
@@ -91,11 +114,11 @@ def sybil_risk(spark, d):
     return rows.select("id", F.round(risk, 4).alias("risk"), ladder(risk, [(0.7, "critical"), (0.5, "high"), (0.25, "medium")], "low").alias("level"))
 
 
-@query(m.SQL + "SELECT post, count(*) AS reports, round(sum(coalesce(balance / 10000, 1.0)), 6) AS weight, sum(coalesce(balance / 10000, 1.0)) >= 10 AS hidden FROM flags LEFT JOIN entities ON id = reporter GROUP BY 1")
+@query(m.SQL + "SELECT post, count(*) AS reports, round(sum(coalesce(balance / 10000, 1.0)), 6) AS weight, sum(coalesce(balance / 10000, 1.0)) >= 5 AS hidden FROM flags LEFT JOIN entities ON id = reporter GROUP BY 1")
 def auto_hide(spark, d):
     e = m.entities(spark, d).select(F.col("id").alias("reporter"), "balance")
     s = m.flags(spark, d).join(e, "reporter", "left").groupBy("post").agg(F.count(F.lit(1)).alias("reports"), F.sum(F.coalesce(F.col("balance") / 10000, F.lit(1.0))).alias("w"))
-    return s.select("post", "reports", r6(F.col("w")).alias("weight"), (F.col("w") >= 10).alias("hidden"))
+    return s.select("post", "reports", r6(F.col("w")).alias("weight"), (F.col("w") >= 5).alias("hidden"))
 
 
 @query("""

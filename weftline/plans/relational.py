@@ -4,6 +4,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.functions.exprs import ladder, like_escape, ratio, visible
+from weftline.operators.selection import exact_percentile
 from weftline.operators.tables import band_counts, insert_new, latest, outliers, shares, streaks, top_per_key, upsert, upsert_counting, window_counts
 from weftline.plans import model as m
 from weftline.plans.registry import load, query
@@ -309,8 +310,9 @@ def count_distinct(spark, d):
 @query("SELECT c_mktsegment, round(median(c_acctbal), 6) AS median, round(stddev_samp(c_acctbal), 6) AS sd, round(stddev_pop(c_acctbal), 6) AS sd_pop, round(avg(c_acctbal), 6) AS mean FROM customer GROUP BY 1")
 def median_std(spark, d):
     """Exact median, sample and population deviation."""
-    b = F.col("c_acctbal")
-    return load(spark, d, "customer").groupBy("c_mktsegment").agg(r6(F.percentile(b, 0.5)).alias("median"), r6(F.stddev_samp(b)).alias("sd"), r6(F.stddev_pop(b)).alias("sd_pop"), r6(F.avg(b)).alias("mean"))
+    b, c = F.col("c_acctbal"), load(spark, d, "customer")
+    middle = exact_percentile(c, ["c_mktsegment"], "c_acctbal").select("c_mktsegment", r6(F.col("percentile")).alias("median"))
+    return middle.join(c.groupBy("c_mktsegment").agg(r6(F.stddev_samp(b)).alias("sd"), r6(F.stddev_pop(b)).alias("sd_pop"), r6(F.avg(b)).alias("mean")), "c_mktsegment")
 
 
 @query("SELECT l_shipmode_like AS flag, count(*) AS n, count(*) FILTER (WHERE l_discount > 0.05) AS discounted, sum(l_quantity) FILTER (WHERE l_tax = 0)::BIGINT AS untaxed FROM (SELECT *, l_returnflag AS l_shipmode_like FROM lineitem) GROUP BY 1")

@@ -102,6 +102,41 @@ def contextual_blend(spark, d):
     return e.select("id", "primary_context", F.round(t.blend(F.col("balance") / 10000, F.col("data")), 9).alias("blended"))
 
 
+@query(m.SQL + """
+, act AS (SELECT user_id AS id, count(*) AS n FROM ev, clock WHERE event_type IN ('view', 'purchase') AND us >= now - 30 * 86400000000::BIGINT GROUP BY 1),
+rate AS (SELECT o_custkey AS id, avg(1 + o_orderkey % 5) AS rating FROM orders WHERE o_orderstatus = 'P' GROUP BY 1),
+att AS (SELECT *, row_number() OVER (PARTITION BY target, attester ORDER BY us, event_id) AS p FROM attestations), endorse AS (SELECT target AS id, count(*) AS n FROM attestations WHERE context = 'ops' GROUP BY 1),
+com AS (SELECT target AS id, sum(coalesce(weight, 0.5) * CASE WHEN (now - us) // 86400000000 > 180 THEN 0.25 WHEN (now - us) // 86400000000 > 90 THEN 0.5 ELSE 1.0 END * CASE WHEN context = 'code' THEN 1.5 ELSE 1.0 END) / count(*) AS w FROM att, clock WHERE p <= 10 GROUP BY 1),
+link AS (SELECT o_custkey AS id, avg(o_totalprice / 500000 * CASE o_orderstatus WHEN 'F' THEN 1.0 ELSE 0.85 END) AS linked FROM orders WHERE o_orderstatus <> 'O' GROUP BY 1),
+chain AS (SELECT target AS id, count(DISTINCT attester) AS n FROM attestations WHERE context = 'data' GROUP BY 1)
+SELECT e.id, round(CASE WHEN act.n IS NULL THEN 0.0 ELSE least(ln(act.n + 1.0::DOUBLE) / ln(100.0::DOUBLE), 1.0) END, 10)::DOUBLE AS activity,
+ round(CASE WHEN rating IS NOT NULL AND endorse.n > 0 THEN 0.6 * rating / 5 + 0.4 * least(ln(endorse.n + 1.0::DOUBLE) / ln(20.0::DOUBLE), 1.0) WHEN rating IS NOT NULL THEN rating / 5 WHEN endorse.n > 0 THEN least(ln(endorse.n + 1.0::DOUBLE) / ln(20.0::DOUBLE), 1.0) ELSE 0.0 END, 10)::DOUBLE AS reputation,
+ round(CASE WHEN com.w IS NULL THEN 0.0 ELSE least(com.w, 1.0) END, 10)::DOUBLE AS community,
+ round(CASE WHEN linked IS NOT NULL THEN linked WHEN e.tier = 'verified' THEN CASE WHEN balance > 0 THEN greatest(least(log10(balance + 1) / 5.0, 1.0), least(coalesce(chain.n, 0) / 10.0::DOUBLE, 1.0)) * 0.70 ELSE 0.60 END ELSE 0.0 END, 10)::DOUBLE AS external
+FROM entities e LEFT JOIN act USING (id) LEFT JOIN rate USING (id) LEFT JOIN endorse USING (id) LEFT JOIN com USING (id) LEFT JOIN link USING (id) LEFT JOIN chain USING (id)
+""")
+def trust_inputs(spark, d):
+    """Activity, reputation, boosted community and external reputation of each entity, out of its posts, votes, ratings and attestations."""
+    now = F.broadcast(m.now(spark, d))
+    acts = m.events(spark, d).where("event_type in ('view', 'purchase')").crossJoin(now).select(F.col("user_id").alias("id"), "us", "now")
+    act = t.recent_activity(acts, F.col("now"))
+    orders = load(spark, d, "orders")
+    rate = orders.where("o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("id")).agg(F.avg(1 + F.col("o_orderkey") % 5).alias("rating"))
+    att = m.attestations(spark, d)
+    endorse = att.where("context = 'ops'").groupBy(F.col("target").alias("id")).agg(F.count(F.lit(1)).alias("endorsements"))
+    com = t.community(att.crossJoin(now), F.col("now"), boost="code").select(F.col("target").alias("id"), "community")
+    paid = F.col("o_totalprice") / 500000 * F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.85)
+    link = orders.where("o_orderstatus <> 'O'").groupBy(F.col("o_custkey").alias("id")).agg(F.avg(paid).alias("linked"))
+    chain = att.where("context = 'data'").groupBy(F.col("target").alias("id")).agg(F.least(F.count_distinct("attester") / 10.0, F.lit(1.0)).alias("chain"))
+    e = m.entities(spark, d)
+    for part in (act, rate, endorse, com, link, chain):
+        e = e.join(part, "id", "left")
+    none = F.lit(None).cast("double")
+    signals = F.when(F.col("balance") > 0, t.with_chain(t.source_reputation(F.col("balance"), none, none, none), F.col("chain")))
+    r = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 10)
+    return e.select("id", r(F.col("activity")).alias("activity"), r(t.reputation(F.col("rating"), F.col("endorsements"))).alias("reputation"), r(F.col("community")).alias("community"), r(t.external(F.col("linked"), F.col("tier") == "verified", signals)).alias("external"))
+
+
 _SIGNALS = m.SQL + """
 , sig AS (SELECT k AS subject, CASE event_id % 5 WHEN 0 THEN 'identity' WHEN 1 THEN 'authority' WHEN 2 THEN 'continuity' WHEN 3 THEN 'transport' END AS claim, CASE WHEN event_id % 3 <> 0 THEN user_id % 6 END AS provider,
 (value - 40) / 100 AS raw, (now - us) / 1000000.0 / 100 AS age, 20000 AS ttl, CASE WHEN event_id % 5 = 4 THEN 0.2::DOUBLE END AS cap FROM ev, clock WHERE event_type IN ('view', 'error'))
