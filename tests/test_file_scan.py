@@ -58,3 +58,87 @@ def test_nested_commands_once():
 def test_near_lines_build_no_pairs(spark):
     found = spark.createDataFrame([(1, i, "a" if i % 2 else "b") for i in range(0, 4000)] + [(2, 1, "a"), (2, 50, "b"), (3, 7, "a"), (3, 7, "b"), (4, 60, "a"), (4, 20, "b")], "id long, line long, category string")
     assert {tuple(r) for r in sc.near_lines(found, "a", "b", 40).collect()} == {(1, 1), (3, 0), (4, 40)}
+
+
+FLOW = ("key = os.environ['A']", "text = requests.get(u).text", "smtplib.SMTP(h).sendmail(text)")
+
+
+def test_flows_by_path_and_comments(spark):
+    from weftline.operators import rule_values as v
+
+    rows = [("src/a.py", "\n".join(FLOW)), ("src/tests/a.py", "\n".join(FLOW)), ("src/b.py", "\n".join(["/* os.environ */", "\t# os.environ", " \t", *FLOW[1:], "x = open('f').read()"])), ("src/c.py", "\n".join(FLOW[1:])), (None, "\n".join(FLOW))]
+    df = spark.createDataFrame(rows, "path string, text string")
+    got = {r.id: (r.severity, r.line) for r in sc.composite(df, v.LEGS, "path", path_col="path").collect()}
+    assert got == {"src/a.py": ("high", 1), "src/tests/a.py": ("medium", 1), "src/b.py": ("medium", 6), None: ("high", 1)}
+    assert {r.path for r in fs.all_findings(df.where("path is not null")).where("category = 'toxic_flow'").collect()} == {"src/a.py", "src/tests/a.py", "src/b.py"}
+    named = fs.all_findings(df.where("path is not null"), allowed=(("src/*", "private data, untrusted input, outbound"),)).where("category = 'toxic_flow'")
+    assert named.count() == 0
+
+
+def test_dependency_lists(spark):
+    from weftline.operators import rule_values as v
+
+    rows = [("a/requirements.txt", "\t# flask==1.0\nflask==1.0\nFLASK==1.1\nflask==0.9"), ("a/Pipfile", " // tar\npyyaml = '5.1'"), ("a/main.py", "flask==1.0"), ("a/package.json", '{"tar": "6.1", "lodash": "3.1.0"}')]
+    df = spark.createDataFrame(rows, "path string, text string")
+    got = {(r.id, r.name, r.line) for r in sc.first_matches(df, v.DEPENDENCIES, "path", path_col="path", names=v.DEPENDENCY_FILES).collect()}
+    assert got == {("a/requirements.txt", "flask", 2), ("a/package.json", "lodash", 1)} | ({("a/Pipfile", "pyyaml", 2)} if ("a/Pipfile", "pyyaml", 2) in got else set())
+    found = spark.createDataFrame([(1, "\t# eval(x)\n \t#password = 1\neval(x)")], "doc_id long, text string")
+    assert [(r.line, r.category) for r in sc.findings(found).collect()] == [(3, "unsafe_exec")]
+
+
+def test_scores_by_the_rule(spark):
+    """Values worked out by hand."""
+    f = [("low", "a", "fs_access", "low"), ("high", "a", "secret", "high"), ("server", "a", "unsafe_exec", "high"), ("server", "b", "fs_access", "medium"), ("server", "b", "fs_access", "critical"), ("media", "a", "unsafe_exec", "high"), ("media", "a", "fs_access", "high"), ("few", "a", "secret", "critical")]
+    found = spark.createDataFrame(f, "source string, path string, category string, severity string")
+    facts = [("low", 4, 0, 0, 0, False, False), ("high", 1, 8, 0, 3, False, False), ("server", 2, 0, 3, 0, True, True), ("media", 1, 0, 0, 5, False, True), ("few", 100, 0, 0, 0, False, False), ("clean", 3, 1, 3, 4, False, False)]
+    sources = spark.createDataFrame(facts, "source string, files long, positives long, practices long, suppressions long, server boolean, media boolean")
+    got = {r.source: r.score for r in sc.source_scores(found, sources).collect()}
+    assert got == {
+        "low": 80,  # a low finding alone leaves the higher start
+        "high": 70 - 8 + 35,
+        "server": 70 - (0 + 0) + 15,  # 0.8 and 0.3 round down, the critical one of an expected category is free
+        "media": 70 - 8 - 0 - 6,
+        "few": 70 - int(15 * (0.4 + 0.01 * 2.4)),
+        "clean": 80 + 5 + 15 - 3,
+    }
+    axes = {r.source: (r.code_safety, r.filesystem_access, r.secret_hygiene) for r in fs.axis_scores(found, sources).collect()}
+    assert axes["server"] == (99, 100 - 1 - 25, 100) and axes["media"] == (85, 99, 100) and axes["low"] == (100, 97, 100) and axes["clean"] == (100, 100, 100)
+    ids = spark.createDataFrame([(1, "low")], "id long, severity string")
+    old = spark.createDataFrame([(1, "s", [False], [False], 0)], "id long, source string, positives array<boolean>, practices array<boolean>, suppressions long")
+    assert sc.scan_score_full(ids, old, 1, 1).first().score == 80
+
+
+def test_source_facts(spark):
+    rows = [
+        ("plain", "README.md", "x"), ("plain", "src/a.py", "logger.info(1)\nvalidate(x)  # scan: ignore"), ("plain", "LICENCE", None), ("plain", "tests/t.py", ""), ("plain", "deep/poetry.lock", "z"),
+        ("tool", "package.json", '{"name": "my-MCP"}'), ("tool2", "x/server.json", ""), ("voice-kit", "a.py", "mcp"), ("m", "a/b.mp3", ""), ("m", "audio/x.py", ""), ("m", "c.wav", ""), ("n", "a/b.mp3", ""),
+    ]
+    got = {r.source: r for r in fs.source_facts(spark.createDataFrame(rows, "source string, path string, text string")).collect()}
+    assert (got["plain"].files, got["plain"].practices, got["plain"].suppressions, got["plain"].server, got["plain"].media) == (5, 3, 1, False, False) and got["plain"].positives >= 2
+    assert {s for s, r in got.items() if r.server} == {"tool", "tool2"} and {s for s, r in got.items() if r.media} == {"voice-kit", "m"}
+
+
+def test_trees(spark):
+    from weftline.sources import trees
+
+    yes = ["a.py", "x/b.TSX", "Dockerfile", "x/Makefile", "a.b.yaml", "c.env", "n.ipynb", "builder/a.rs", "x.env/a.go"]
+    no = ["a.min.js", "x.MIN.css", "a.png", "a.svg", "node_modules/a.py", "x/.git/a.py", "target/a.rs", "env/a.py", "build", ".env", "a.lock", "a", "README.md", "dockerfile", "x/.next/a.js"]
+    df = spark.createDataFrame([(p, "t", 10) for p in yes + no] + [("big.py", "t", 10**6)], "path string, tree string, bytes long")
+    assert {r.path for r in df.where(trees.is_source(df.path)).collect()} == {*yes, "big.py"}
+    assert sorted(r.path for r in trees.source_files(df, "tree", most_files=3).collect()) == sorted(yes)[:3]
+    assert tuple(trees.coverage(df, "tree", most_files=3).first()) == ("t", len(yes) + 1, 3, True)
+    assert tuple(trees.coverage(df, "tree").first()) == ("t", len(yes) + 1, len(yes), False)
+
+
+def test_framework_rules(spark):
+    from weftline.operators import bridges as br
+
+    code = "x = 1\nos.system(c); os . system(d)\nallow_delegation = True\n@kernel_function\ndef run(os):\n\tpass"
+    assert [(m["pattern"], m["line"]) for m in br.matches(code, "crewai")] == [("command_injection_os_system", 2), ("command_injection_os_system", 2), ("delegation_risk", 3)]
+    assert [(m["pattern"], m["line"]) for m in br.matches(code, "semantic_kernel")][2:] == [("native_function_unrestricted", 4), ("unfiltered_native_function", 4)]
+    assert br.matches(None, "crewai") == [] and len(br.matches(code, "unknown")) == 2 and len(br.matches("eval(" * 3, None)) == 3
+    rows = [("g", "crewai", code), ("g", "other", ""), ("g", "other", None), ("h", "other", "a = 1"), ("h", "other", "b"), ("w", "langchain", "ChatMessageHistory\nos.getenv(x)"), ("none", "x", None)]
+    got = {r.key: r for r in br.framework_verdicts(spark.createDataFrame(rows, "key string, framework string, code string"), ["key"]).collect()}
+    assert {k: (r["items"], r.severity, r.details) for k, r in got.items()} == {
+        "g": (1, "critical", "2 critical, 1 warning vulnerabilities found across 1 items"), "h": (2, "clean", "All 2 items passed security scan"), "w": (1, "warnings", "2 warning(s) found across 1 items"),
+    }

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DAY_US = 86_400_000_000
 
 
+def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that later expressions read as values: as plain columns they would be put into each of them again."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def ratio(a: Column, b: Column, default: float | None = 0.0) -> Column:
     """a / b, or ``default`` where b is 0 or null."""
     r = F.try_divide(a.cast("double"), b.cast("double"))

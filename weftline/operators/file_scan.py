@@ -12,19 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from weftline.functions.exprs import computed_once
 from weftline.operators import rule_values as v
-from weftline.operators.scanner import CATEGORY, SUPPRESS, nearest
-
-COMMENT = r"^\s*(#|//|\*|/\*)"
-#: Tests, documents, examples, and files that describe builds: what they hold is not shipped code.
-SIDE_PATHS = "|".join((
-    r"(?:^|/)(?:tests|test|spec|__tests__|testing|docs|doc|examples|example|samples|\.github|\.gitlab|\.agents|\.circleci|\.buildkite)(?:/|$)",
-    r"(?i:(?:^|/)(?:test_[^/]*|[^/]*_(?:test|spec)(?:\.[^./]*)?|conftest(?:\.[^./]*)?)$)",
-    r"(?i:\.(?:example|sample|template))",
-    r"(?:^|/)Dockerfile(?:\.[^/]*)?$|(?i:\.dockerfile$)",
-    r"(?i:(?:^|/)(?:\.gitlab-ci\.yml|\.travis\.yml|azure-pipelines\.yml|cloudbuild\.yaml)$)",
-    r"(?:^|/)workflows/(?:.*/)?[^/]*\.(?i:ya?ml)$",
-))
+from weftline.operators.scanner import CATEGORY, COMMENT, EXPECTED, SIDE_PATHS, SUPPRESS, composite, first_matches, nearest
+
 MIGRATION_OR_SETUP = r"(?:^|/)(?:migrations|alembic|versions|migrate)(?:/|$)|(?i:(?:^|/)(?:setup\.py|setup\.cfg|conftest\.py)$)"
 SHELL, NO_SHELL = "shell=True|shell = True", "shell=False|shell = False"
 
@@ -123,7 +114,8 @@ def file_findings(files: DataFrame, path_col: str = "path", text_col: str = "tex
     shuffle and no Python. Null texts have no lines; null paths count as empty; repeated files are found as often as they
     occur. Classes in patterns are of ASCII characters.
     """
-    kept = code_lines(files, path_col, text_col).where(~F.contains("content", F.lit(marker))).withColumn("_low", F.lower("content"))
+    kept = code_lines(files, path_col, text_col).where(~F.contains("content", F.lit(marker)))
+    kept = computed_once(kept, _low=F.lower("content"))
     c, path, gate = F.col("content"), F.coalesce("path", F.lit("")), gates() if gated else {}
     parts = []
     for category, own in rules.items():
@@ -157,7 +149,7 @@ def file_signals(files: DataFrame, path_col: str = "path", text_col: str = "text
     plain = F.filter(code, lambda x: ~x.rlike("(?i)example|placeholder"))
     flags = [F.coalesce(has(*words) & F.exists(plain, _like(p)), F.lit(False)) for words, (_, p) in zip(SIGNAL_WORDS, v.SIGNALS, strict=True)]
     marked = F.when(F.contains(text_col, F.lit(marker)), F.size(F.filter(code, lambda x: F.contains(x, F.lit(marker))))).otherwise(0)
-    out = files.withColumn("_low", F.lower(text_col)).withColumns({"signals": F.array(*flags), "suppressions": marked.cast("long")})
+    out = computed_once(files, _low=F.lower(text_col)).withColumns({"signals": F.array(*flags), "suppressions": marked.cast("long")})
     return out.select(*(files[c] for c in files.columns), "signals", "suppressions")
 
 
@@ -220,12 +212,68 @@ def manifest_findings(files: DataFrame, path_col: str = "path", text_col: str =
     return hit.where("f is not null").select("path", "command", "f.name", "f.severity")
 
 
+def all_findings(files: DataFrame, path_col: str = "path", text_col: str = "text", marker: str = SUPPRESS, allowed: tuple = ()) -> DataFrame:
+    """Everything the scanners find in files: path, category, name, severity.
+
+    Line rules, network reads beside places that run code, commands of manifests, toxic flows, dependencies with known
+    faults and install hooks. Paths are unique.
+    """
+    fixed = lambda df, category: df.select("path", F.lit(category).alias("category"), "name", "severity")
+    path = F.coalesce(F.col(path_col), F.lit(""))
+    flows = {"high": "private data, untrusted input, outbound", "medium": "file read, untrusted input, outbound"}
+    excused = F.lit(False)
+    for glob, rule in allowed:
+        if rule in flows.values():
+            excused = excused | (path.startswith(glob[:-1]) if glob.endswith("*") else path == glob)
+    flow = composite(files, v.LEGS, path_col, text_col, path_col, excused).withColumnRenamed("id", "path")
+    parts = [
+        file_findings(files, path_col, text_col, marker=marker, allowed=allowed).select("path", "category", "name", "severity"),
+        remote_then_run(files, path_col=path_col, text_col=text_col).select("path", F.lit("dynamic_remote_load").alias("category"), F.lit("network read near code that runs").alias("name"), F.lit("high").alias("severity")),
+        fixed(manifest_findings(files, path_col, text_col), "dynamic_remote_load"),
+        flow.select("path", F.lit("toxic_flow").alias("category"), F.when(F.col("severity") == "high", flows["high"]).otherwise(flows["medium"]).alias("name"), "severity"),
+        fixed(first_matches(files, v.DEPENDENCIES, path_col, text_col, path_col, v.DEPENDENCY_FILES).withColumnRenamed("id", "path"), "dependency"),
+        install_hooks(files, path_col, text_col).select("path", F.lit("install_hook").alias("category"), F.col("hook").alias("name"), "severity"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def source_facts(files: DataFrame, key: str = "source", path_col: str = "path", text_col: str = "text", marker: str = SUPPRESS) -> DataFrame:
+    """What a source's files say of it as a whole: a row each, as ``source_scores`` takes it.
+
+    Paths begin at the source's root. positives counts the distinct signals, a lock file being one; practices a readme, a
+    licence and tests; a tool server has a manifest of one, or a package file that names its protocol; a media tool says
+    so in its name, or has three files of that kind.
+    """
+    low = F.lower(F.coalesce(F.col(path_col), F.lit("")))
+    name = F.regexp_extract(low, r"([^/]*)$", 1)
+    text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    anyone = lambda words, c: reduce(or_, (c.contains(w) for w in words))
+    k = len(v.SIGNALS)
+    signals = file_signals(files, path_col, text_col, marker)
+    out = signals.groupBy(F.col(key).alias("source")).agg(
+        F.count(F.lit(1)).alias("files"), F.sum("suppressions").alias("suppressions"), *(F.bool_or(F.col("signals")[i] | (name.isin(*v.LOCK_FILES) if v.SIGNALS[i][0] == v.PINNED else F.lit(False))).alias(f"_s{i}") for i in range(k)),
+        F.bool_or(low.startswith("readme")).alias("_readme"), F.bool_or(low.rlike("^licen[sc]e")).alias("_licence"), F.bool_or(low.contains("test") | low.contains("spec")).alias("_tests"),
+        F.bool_or(name.isin(*v.SERVER_FILES) | (name.isin(*v.PACKAGE_FILES) & anyone(v.SERVER_WORDS, text))).alias("server"), F.count_if(anyone(v.MEDIA_PATHS, low)).alias("_media"),
+    )
+    count = lambda names: sum((F.col(n).cast("int") for n in names), F.lit(0))
+    media = anyone(v.MEDIA_WORDS, F.lower("source")) | (F.col("_media") >= 3)
+    return out.select("source", "files", count([f"_s{i}" for i in range(k)]).alias("positives"), count(["_readme", "_licence", "_tests"]).alias("practices"), "suppressions", "server", media.alias("media"))
+
+
 def axis_scores(found: DataFrame, sources: DataFrame, key: str = "source") -> DataFrame:
     """For each source the score of each axis: 100 less the weights of its findings, at least 0.
 
-    ``found`` has the key, category and severity; ``sources`` one row per source. Findings are summed before the join.
+    ``found`` has the key, category and severity; ``sources`` one row per source, and where it has them the flags
+    ``server`` and ``media``: these take a tenth for categories that they have by nature, 1 at least, unless critical.
+    Findings are summed before the join.
     """
     pairs = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
     axes = sorted(set(v.AXES.values()))
-    taken = found.groupBy(key).agg(*(F.sum(F.when(pairs(v.AXES)[F.col("category")] == a, pairs(CATEGORY)[F.col("severity")])).alias(a) for a in axes))
-    return sources.join(taken, key, "left").select(key, *(F.greatest(F.lit(0), 100 - F.coalesce(a, F.lit(0))).cast("long").alias(a) for a in axes))
+    weight = F.coalesce(pairs(CATEGORY)[F.col("severity")], F.lit(3))
+    axis = pairs(v.AXES)[F.col("category")]
+    less = lambda e: F.when(F.col("category").isin(*EXPECTED[e]) & (F.col("severity") != "critical"), F.greatest(F.lit(1), F.floor(weight / 10))).otherwise(weight)
+    kinds = {"": weight, "_server": less("server"), "_media": less("media")}
+    taken = found.groupBy(key).agg(*(F.sum(F.when(axis == a, w)).alias(a + k) for a in axes for k, w in kinds.items()))
+    flag = lambda e: F.coalesce(F.col(e), F.lit(False)) if e in sources.columns else F.lit(False)
+    pick = lambda a: F.when(flag("server"), F.col(a + "_server")).when(flag("media"), F.col(a + "_media")).otherwise(F.col(a))
+    return sources.join(taken, key, "left").select(key, *(F.greatest(F.lit(0), 100 - F.coalesce(pick(a), F.lit(0))).cast("long").alias(a) for a in axes))

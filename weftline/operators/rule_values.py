@@ -147,6 +147,14 @@ SIGNALS = (
 
 LANGUAGE_OF = {"py": "python", "ipynb": "python", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "rb": "ruby", "go": "go", "rs": "rust", "java": "java"}
 METADATA_FILES = ("skill.md", "mcp.json", "server.json", ".mcp.json", "ai-plugin.json", "agents.md")
+#: Files and words by which a source shows pinned versions, a tool server, or a tool for sound and video.
+PINNED = "Dependency pinning"
+LOCK_FILES = ("requirements.txt", "poetry.lock", "package-lock.json", "pipfile.lock", "cargo.lock", "yarn.lock", "pnpm-lock.yaml")
+SERVER_FILES = ("server.json", "mcp.json", ".mcp.json")
+PACKAGE_FILES = ("package.json", "pyproject.toml", "setup.py")
+SERVER_WORDS = ("mcp", "modelcontextprotocol", "model-context-protocol")
+MEDIA_WORDS = ("tts", "text-to-speech", "speech", "audio", "voice", "whisper", "synthesize", "synthesizer", "vocoder", "video", "ffmpeg", "media", "sound", "wav", "mp3", "transcribe", "transcription")
+MEDIA_PATHS = (".wav", ".mp3", ".ogg", ".flac", ".m4a", ".mp4", ".avi", ".mkv", ".webm", "audio", "voice", "tts", "speech")
 DEPENDENCY_FILES = ("requirements.txt", "pyproject.toml", "setup.py", "setup.cfg", "pipfile", "package.json", "cargo.toml", "gemfile")
 
 AXES = {

@@ -20,6 +20,16 @@ RULES = (
 SEVERITY = {"critical": 15, "high": 8, "medium": 3}
 CATEGORY = {"critical": 25, "high": 15, "medium": 8, "low": 3}
 SUPPRESS = "scan: ignore"
+COMMENT = r"^\s*(#|//|\*|/\*)"
+#: Tests, documents, examples, and files that describe builds: what they hold is not shipped code.
+SIDE_PATHS = "|".join((
+    r"(?:^|/)(?:tests|test|spec|__tests__|testing|docs|doc|examples|example|samples|\.github|\.gitlab|\.agents|\.circleci|\.buildkite)(?:/|$)",
+    r"(?i:(?:^|/)(?:test_[^/]*|[^/]*_(?:test|spec)(?:\.[^./]*)?|conftest(?:\.[^./]*)?)$)",
+    r"(?i:\.(?:example|sample|template))",
+    r"(?:^|/)Dockerfile(?:\.[^/]*)?$|(?i:\.dockerfile$)",
+    r"(?i:(?:^|/)(?:\.gitlab-ci\.yml|\.travis\.yml|azure-pipelines\.yml|cloudbuild\.yaml)$)",
+    r"(?:^|/)workflows/(?:.*/)?[^/]*\.(?i:ya?ml)$",
+))
 
 
 def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -38,7 +48,7 @@ def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ru
         for r in own[1:]:
             sev = sev.when(F.col("content").rlike(r[2]), r[1])
         parts.append(F.struct(F.lit(category).alias("category"), sev.alias("severity")))
-    kept = lines(docs, id_col, text_col).where(~F.ltrim("content").startswith("#") & ~F.contains("content", F.lit(SUPPRESS)))
+    kept = lines(docs, id_col, text_col).where(~F.col("content").rlike(r"^\s*#") & ~F.contains("content", F.lit(SUPPRESS)))
     hit = kept.select("id", "line", F.explode(F.array(*parts)).alias("f")).where("f.severity is not null")
     return hit.select("id", (F.col("line") + 1).cast("long").alias("line"), "f.category", "f.severity")
 
@@ -83,25 +93,36 @@ def near_lines(found: DataFrame, first: str, second: str, within: int) -> DataFr
     return nearest(flagged, "id", "_a", "_b", within).select("id", "distance")
 
 
-def composite(docs: DataFrame, legs: dict[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def composite(docs: DataFrame, legs: dict[str, str], id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None, allowed: Column | None = None) -> DataFrame:
     """One finding for each file that has untrusted input, an outbound channel, and a read of private data or of files.
 
     ``legs`` has the patterns of sensitive, file_read, untrusted and outbound lines. Comments and blank lines don't
-    count. The finding stands at the first private read (high) or else file read (medium). Only files whose whole
-    text has all that are split into lines; a file is one group of four minima, combined before the shuffle.
+    count. The finding stands at the first private read (high) or else file read (medium); with ``path_col`` it is medium
+    in tests, documents and builds. Rows for which ``allowed`` holds have none. Only files whose whole text has all that are
+    split into lines; a file is one group of four minima, combined before the shuffle.
     """
     whole = {n: F.col(text_col).rlike(p) for n, p in legs.items()}
     own = docs.where(whole["outbound"] & whole["untrusted"] & (whole["sensitive"] | whole["file_read"]))
-    kept = lines(own, id_col, text_col).where((F.trim("content") != "") & ~F.ltrim("content").rlike(r"^(#|//|\*)"))
-    first = kept.groupBy("id").agg(*(F.min(F.when(F.col("content").rlike(p), F.col("line") + 1)).alias(n) for n, p in legs.items()))
+    if allowed is not None:
+        own = own.where(~allowed)
+    side = F.coalesce(F.col(path_col), F.lit("")).rlike(SIDE_PATHS) if path_col else F.lit(False)
+    kept = own.select(F.col(id_col).alias("id"), side.alias("side"), F.posexplode(F.split(text_col, "\n", -1)).alias("line", "content"))
+    kept = kept.where(F.col("content").rlike(r"\S") & ~F.col("content").rlike(COMMENT))
+    first = kept.groupBy("id").agg(F.bool_and("side").alias("side"), *(F.min(F.when(F.col("content").rlike(p), F.col("line") + 1)).alias(n) for n, p in legs.items()))
     hit = first.where("untrusted is not null and outbound is not null and (sensitive is not null or file_read is not null)")
-    return hit.select("id", F.when(F.col("sensitive").isNotNull(), "high").otherwise("medium").alias("severity"), F.coalesce("sensitive", "file_read").cast("long").alias("line"))
+    severity = F.when(F.col("sensitive").isNotNull() & ~F.col("side"), "high").otherwise("medium")
+    return hit.select("id", severity.alias("severity"), F.coalesce("sensitive", "file_read").cast("long").alias("line"))
 
 
-def first_matches(docs: DataFrame, listed, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each file the first line outside comments that matches each (name, severity, pattern) of a list."""
-    kept = lines(docs, id_col, text_col).select("id", "line", F.trim("content").alias("s")).where(~F.col("s").rlike(r"^(#|//|\*)"))
-    first = kept.groupBy("id").agg(*(F.min(F.when(F.col("s").rlike(p), F.col("line") + 1)).cast("long").alias(n) for n, _, p in listed))
+def first_matches(docs: DataFrame, listed, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None, names: tuple[str, ...] = ()) -> DataFrame:
+    """For each file the first line outside comments that matches each (name, severity, pattern) of a list.
+
+    With ``path_col`` only files of the given ``names`` (in either case) are read.
+    """
+    if path_col:
+        docs = docs.where(F.lower(F.regexp_extract(path_col, r"([^/]*)$", 1)).isin(*names))
+    kept = lines(docs, id_col, text_col).where(~F.col("content").rlike(r"^\s*(#|//|\*)"))
+    first = kept.groupBy("id").agg(*(F.min(F.when(F.col("content").rlike(p), F.col("line") + 1)).cast("long").alias(n) for n, _, p in listed))
     severity = F.create_map(*[F.lit(x) for n, s, _ in listed for x in (n, s)])
     return first.unpivot(["id"], [n for n, *_ in listed], "name", "line").where("line is not null").select("id", "name", "line", severity[F.col("name")].alias("severity"))
 
@@ -111,18 +132,57 @@ def scan_score_full(found: DataFrame, facts: DataFrame, positives: int, practice
 
     ``facts(id, source, positives, practices, suppressions)`` holds for each file arrays of so many flags and a count.
     Each positive signal that any file has adds 5, up to 35; each good practice 5; each suppression beyond three takes 3.
+    A source with low findings only starts as high as one without any.
     """
     n = lambda s: F.count_if(F.col("severity") == s)
     per_file = found.groupBy("id").agg(n("critical").alias("c"), n("high").alias("h"), n("medium").alias("m"), F.count(F.lit(1)).alias("n"))
     any_of = lambda name, k: sum((F.coalesce(F.bool_or(F.col(name)[i]), F.lit(False)).cast("int") for i in range(k)), F.lit(0))
     s = facts.join(per_file, "id", "left").groupBy("source").agg(
-        F.count(F.lit(1)).alias("files"), F.count("n").alias("affected"), *(F.sum(F.coalesce(x, F.lit(0))).alias(x) for x in ("c", "h", "m", "n")),
+        F.count(F.lit(1)).alias("files"), F.count("n").alias("affected"), *(F.sum(F.coalesce(x, F.lit(0))).alias(x) for x in ("c", "h", "m")),
         any_of("positives", positives).alias("positives"), any_of("practices", practices).alias("practices"), F.sum("suppressions").alias("suppressions"),
     )
     raw = F.col("c") * SEVERITY["critical"] + F.col("h") * SEVERITY["high"] + F.col("m") * SEVERITY["medium"]
+    return s.select("source", _score(raw).cast("long").alias("score"))
+
+
+def _score(raw: Column) -> Column:
+    """From 0 to 100 out of a source's sums: c, h, m, affected, files, positives, practices, suppressions, and its raw deduction."""
+    clean = F.col("c") + F.col("h") + F.col("m") == 0
     scale = F.least(F.lit(1.0), 0.4 + F.col("affected") / F.col("files") * 2.4)
-    score = F.when(F.col("n") == 0, 80).otherwise(70 - F.floor(raw * scale)) + F.least(F.col("positives") * 5, F.lit(35)) + F.col("practices") * 5 - 3 * F.greatest(F.col("suppressions") - 3, F.lit(0))
-    return s.select("source", F.greatest(F.lit(0), F.least(F.lit(100), score)).cast("long").alias("score"))
+    taken = F.when(clean | (F.col("files") == 0), raw).otherwise(F.floor(raw * scale))
+    score = F.when(clean, 80).otherwise(70) - taken + F.least(F.col("positives") * 5, F.lit(35)) + F.col("practices") * 5 - 3 * F.greatest(F.col("suppressions") - 3, F.lit(0))
+    return F.greatest(F.lit(0), F.least(F.lit(100), score))
+
+
+#: Categories that a tool server, or a tool for sound and video, has by its nature.
+EXPECTED = {"server": ("fs_access", "unsafe_exec"), "media": ("fs_access",)}
+
+
+def source_scores(found: DataFrame, sources: DataFrame) -> DataFrame:
+    """The score of each source out of all its findings, of whatever scanner.
+
+    ``found(source, path, category, severity)``; ``sources(source, files, positives, practices, suppressions, server, media)``
+    has a row each: positives and practices are numbers of distinct signals and good practices. For tool servers and media
+    tools expected categories take a tenth: 0.8 for a high and 0.3 for a medium finding, nothing for a critical one.
+    """
+    n = lambda s, e: F.count_if((F.col("severity") == s) & F.col("category").isin(*EXPECTED[e]) if e else F.col("severity") == s)
+    kinds = {"c": "critical", "h": "high", "m": "medium"}
+    per_file = found.groupBy("source", "path").agg(*(n(s, e).alias(k + (e or "")) for k, s in kinds.items() for e in (None, "server", "media")))
+    per = per_file.groupBy("source").agg(F.count(F.lit(1)).alias("affected"), *(F.sum(c).alias(c) for c in per_file.columns[2:]))
+    s = sources.join(per, "source", "left").na.fill(0, ["affected", *per_file.columns[2:]])
+    own = {k: F.when(F.col("server"), F.col(k + "server")).when(F.col("media"), F.col(k + "media")).otherwise(0) for k in kinds}
+    full = sum(((F.col(k) - own[k]) * SEVERITY[kinds[k]] for k in kinds), F.lit(0))
+    raw = full + F.floor(own["h"] * 8 / 10) + F.floor(own["m"] * 3 / 10)
+    return s.select("source", _score(raw).cast("long").alias("score"))
+
+
+#: Scores of a text from which it is blocked, and from which it is flagged.
+BLOCK_SCORE, FLAG_SCORE = 0.85, 0.70
+
+
+def moderation(score: Column, block: float = BLOCK_SCORE, flag: float = FLAG_SCORE) -> Column:
+    """What becomes of a text by its greatest score; without one it passes."""
+    return F.when(score >= block, "block").when(score >= flag, "flag").otherwise("pass")
 
 
 #: Fixed patterns of the content filter.

@@ -8,6 +8,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions.exprs import computed_once
+
 # Words and phrases that block, phrases in place of a plain verb, and patterns.
 WORDS = """
 delve delves delving tapestry tapestries testament landscape landscapes intricate intricacies pivotal crucial crucially
@@ -79,7 +81,7 @@ def check(df: DataFrame, text: str = "text", short_form: bool = False, strict: b
     Words, phrases and patterns block, or warn where not ``strict``; many dashes, no short sentence among three or more
     and many stand-ins for plain verbs warn. Null and blank texts are ok. Classes in patterns are of ASCII characters.
     """
-    df = df.withColumn("_text", F.coalesce(F.col(text), F.lit(""))).withColumn("_low", F.lower("_text"))
+    df = computed_once(df, _text=F.coalesce(F.col(text), F.lit("")), _low=F.lower(F.coalesce(F.col(text), F.lit(""))))
     t, low = F.col("_text"), F.col("_low")
     patterns = {name: _any(t, p) for name, p in PATTERNS.items()}
     patterns["neg_parallelism"] = (low.contains("not") | low.contains("isn")) & patterns["neg_parallelism"]

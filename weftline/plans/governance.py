@@ -12,7 +12,7 @@ from weftline.plans import model as m
 from weftline.plans.registry import load, query
 from weftline.plans.texts import _LINES
 from weftline.sources.sinks import append_bounded, delivery_health, import_content
-from weftline.sources.trees import LANGUAGES, languages, source_files
+from weftline.sources.trees import LANGUAGES, SKIPPED, SOURCE, coverage, languages, source_files
 
 r6 = lambda c: F.round(c, 6)
 n_rows = lambda name="n": F.count(F.lit(1)).alias(name)
@@ -125,12 +125,12 @@ def enumerated_sorts(spark, d):
 
 
 @query(m.SQL + """
-, s AS (SELECT reporter AS id, list_sort(list(DISTINCT post % 60)) AS s FROM flags GROUP BY 1)
+, s AS (SELECT reporter AS id, list_sort(list(DISTINCT post)) AS s FROM flags GROUP BY 1)
 SELECT id, len(s) AS size FROM s a WHERE NOT EXISTS (SELECT 1 FROM s b WHERE (len(b.s) > len(a.s) AND list_has_all(b.s, a.s)) OR (b.s = a.s AND b.id < a.id))
 """)
 def maximal_post_sets(spark, d):
     """Reporters whose set of posts no other reporter's set contains; of equal sets the first."""
-    f = m.flags(spark, d).select(F.col("reporter").alias("id"), (F.col("post") % 60).alias("item"))
+    f = m.flags(spark, d).select(F.col("reporter").alias("id"), F.col("post").alias("item"))
     return maximal_sets(f).select("id", F.col("n").alias("size"))
 
 
@@ -293,24 +293,34 @@ def scan_summary(spark, d):
     return s.agg(n_rows("files"), F.count("n").alias("affected"), F.coalesce(F.sum("n"), F.lit(0)).alias("findings"), F.count_if("c").alias("critical_files"), F.count_if("h").alias("high_files"))
 
 
-_PATHS = """(SELECT doc_id, source, n_chars AS bytes, source || '/' || CASE doc_id % 7 WHEN 0 THEN 'node_modules/' WHEN 1 THEN 'tests/' ELSE 'src/' END || doc_id || CASE doc_id % 6 WHEN 0 THEN '.py' WHEN 1 THEN '.min.js' WHEN 2 THEN '.png' WHEN 3 THEN '.ts' WHEN 4 THEN '.PY' ELSE '' END AS path FROM documents)"""
+_PATHS = """(SELECT doc_id, source, n_chars AS bytes, source || '/' || CASE doc_id % 7 WHEN 0 THEN 'node_modules/' WHEN 1 THEN 'tests/' WHEN 2 THEN '.venv/' ELSE 'src/' END || doc_id || ['.py', '.min.js', '.png', '.ts', '.PY', '', '.kt', '.lock', '/Dockerfile', '.ipynb', '.svg'][doc_id % 11 + 1] AS path FROM documents)"""
 
 
 def _paths(spark, d):
     k = F.col("doc_id")
-    folder = F.when(k % 7 == 0, "node_modules/").when(k % 7 == 1, "tests/").otherwise("src/")
-    ending = F.when(k % 6 == 0, ".py").when(k % 6 == 1, ".min.js").when(k % 6 == 2, ".png").when(k % 6 == 3, ".ts").when(k % 6 == 4, ".PY").otherwise("")
+    folder = F.when(k % 7 == 0, "node_modules/").when(k % 7 == 1, "tests/").when(k % 7 == 2, ".venv/").otherwise("src/")
+    endings = (".py", ".min.js", ".png", ".ts", ".PY", "", ".kt", ".lock", "/Dockerfile", ".ipynb", ".svg")
+    ending = F.try_element_at(F.array(*map(F.lit, endings)), (k % len(endings) + 1).cast("int"))
     return load(spark, d, "documents").select("doc_id", "source", F.col("n_chars").alias("bytes"), F.concat("source", F.lit("/"), folder, k.cast("string"), ending).alias("path"))
 
 
 @query(f"""
-SELECT doc_id, path FROM (SELECT doc_id, path, row_number() OVER (PARTITION BY source ORDER BY path) AS p FROM {_PATHS} WHERE bytes <= 500000 AND NOT regexp_matches(path, '(^|/)(node_modules|vendor|dist|build|\\.git)/') AND NOT regexp_matches(path, '\\.min\\.[^/]*$') AND regexp_matches(lower(path), '\\.(py|js|ts|go|rs|java|rb|sh)$')) WHERE p <= 200
+SELECT doc_id, path FROM (SELECT doc_id, path, row_number() OVER (PARTITION BY source ORDER BY path) AS p FROM {_PATHS} WHERE bytes <= 500000 AND NOT regexp_matches(path, '{SKIPPED}') AND regexp_matches(path, '{SOURCE}')) WHERE p <= 200
 """)
 def tree_files(spark, d):
     """Source files of a tree: no vendored folders, generated or other files, at most 200 a tree."""
     return source_files(_paths(spark, d), "source").select("doc_id", "path")
 
 
+@query(f"""
+SELECT source, count(*) FILTER (WHERE ok) AS scannable, least(count(*) FILTER (WHERE ok AND bytes <= 500000), 200) AS scanned, count(*) FILTER (WHERE ok) > 200 AS truncated
+FROM (SELECT *, NOT regexp_matches(path, '{SKIPPED}') AND regexp_matches(path, '{SOURCE}') AS ok FROM {_PATHS}) GROUP BY 1
+""")
+def tree_coverage(spark, d):
+    """How much of each tree a scan reads."""
+    return coverage(_paths(spark, d), "source")
+
+
 @query(f"SELECT source, arg_max(language, (n, language)) AS language FROM (SELECT source, CASE lower(regexp_extract(path, '(\\.[A-Za-z]+)$', 1)) {' '.join(f"WHEN '{e}' THEN '{n}'" for e, n in LANGUAGES.items())} END AS language, count(*) AS n FROM {_PATHS} GROUP BY ALL) WHERE language IS NOT NULL GROUP BY 1")
 def tree_languages(spark, d):
     """The main language of each tree by file endings."""
@@ -319,7 +329,7 @@ def tree_languages(spark, d):
 
 @query("""
 WITH l AS (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),
-k AS (SELECT * FROM l WHERE trim(content) <> '' AND NOT starts_with(ltrim(content), '#') AND NOT starts_with(ltrim(content), '//') AND NOT starts_with(ltrim(content), '*')),
+k AS (SELECT * FROM l WHERE regexp_matches(content, '\\S') AND NOT regexp_matches(content, '^\\s*(#|//|\\*|/\\*)')),
 f AS (SELECT id, min(line) FILTER (WHERE regexp_matches(content, 'AKIA[A-Z0-9]{16}|(?i:password|token|secret)\\s*[:=]')) AS sensitive, min(line) FILTER (WHERE regexp_matches(content, '(?i)licen')) AS file_read, min(line) FILTER (WHERE regexp_matches(content, '[0-9]{2}')) AS untrusted, min(line) FILTER (WHERE regexp_matches(content, ',')) AS outbound FROM k GROUP BY 1)
 SELECT id, CASE WHEN sensitive IS NOT NULL THEN 'high' ELSE 'medium' END AS severity, coalesce(sensitive, file_read)::BIGINT AS line FROM f WHERE untrusted IS NOT NULL AND outbound IS NOT NULL AND (sensitive IS NOT NULL OR file_read IS NOT NULL)
 """)
@@ -330,7 +340,7 @@ def toxic_flow(spark, d):
 
 
 @query(r"""
-WITH l AS (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents), k AS (SELECT id, line, trim(content) AS s FROM l WHERE NOT regexp_matches(trim(content), '^(#|//|\*)'))
+WITH l AS (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents), k AS (SELECT id, line, content AS s FROM l WHERE NOT regexp_matches(content, '^\s*(#|//|\*)'))
 SELECT id, name, min(line)::BIGINT AS line, any_value(severity) AS severity FROM k JOIN (VALUES ('mail', '[a-z]+@[a-z]+', 'high'), ('licence', '(?i)licensed under', 'medium'), ('link', 'https?://', 'low')) r(name, pattern, severity) ON regexp_matches(s, pattern) GROUP BY 1, 2
 """)
 def listed_findings(spark, d):
@@ -342,7 +352,7 @@ def listed_findings(spark, d):
 , pf AS (SELECT id, count(*) FILTER (WHERE severity = 'critical') AS c, count(*) FILTER (WHERE severity = 'high') AS h, count(*) FILTER (WHERE severity = 'medium') AS m, count(*) AS n FROM found GROUP BY 1),
 s AS (SELECT source, count(*) AS files, count(pf.n) AS affected, sum(coalesce(c, 0))::BIGINT AS c, sum(coalesce(h, 0))::BIGINT AS h, sum(coalesce(m, 0))::BIGINT AS m, coalesce(sum(pf.n), 0)::BIGINT AS n,
  bool_or(regexp_matches(text, '(?i)licensed under'))::INT + bool_or(contains(text, 'https://'))::INT + bool_or(regexp_matches(text, '[0-9]{4}-[0-9]{2}'))::INT AS positives, bool_or(regexp_matches(text, '(?i)copyright')) AS practice, sum(len(regexp_extract_all(text, '###')))::BIGINT AS marks FROM documents LEFT JOIN pf ON id = doc_id GROUP BY 1)
-SELECT source, greatest(0, least(100, CASE WHEN n = 0 THEN 80 ELSE 70 END - CASE WHEN n = 0 THEN 0 ELSE trunc((c * 15 + h * 8 + m * 3) * least(1.0, 0.4 + affected / files::DOUBLE * 2.4)) END + least(positives * 5, 35) + CASE WHEN practice THEN 5 ELSE 0 END - 3 * greatest(marks - 3, 0)))::BIGINT AS score FROM s
+SELECT source, greatest(0, least(100, CASE WHEN c + h + m = 0 THEN 80 ELSE 70 END - CASE WHEN n = 0 THEN 0 ELSE trunc((c * 15 + h * 8 + m * 3) * least(1.0, 0.4 + affected / files::DOUBLE * 2.4)) END + least(positives * 5, 35) + CASE WHEN practice THEN 5 ELSE 0 END - 3 * greatest(marks - 3, 0)))::BIGINT AS score FROM s
 """)
 def scan_score_full(spark, d):
     """The score with positive signals, good practices and the penalty for suppressions."""
@@ -429,3 +439,26 @@ def activity_label(spark, d):
     """A label from a ladder over a count."""
     n = m.events(spark, d).groupBy("k").agg(n_rows())
     return n.select("k", ladder(F.col("n"), [(8, "busy")], "quiet").alias("label"), "n")
+
+
+@query("""
+WITH r AS (SELECT *, max(epoch_us(o_orderdate)) OVER () AS now FROM orders)
+SELECT 'records' AS kind, count(*) AS n FROM r UNION ALL SELECT 'entities', count(DISTINCT o_custkey) FROM r UNION ALL SELECT 'last 30 days', count(*) FILTER (WHERE epoch_us(o_orderdate) >= now - 30 * 86400000000::BIGINT) FROM r
+UNION ALL SELECT 'type ' || o_orderpriority, count(*) FROM r GROUP BY o_orderpriority
+""")
+def evolution_stats(spark, d):
+    """Records of change: how many, of how many entities, of late, and by type: one pass counts by type and entity."""
+    o = load(spark, d, "orders").select("o_custkey", "o_orderpriority", F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("us"))
+    o = o.crossJoin(F.broadcast(o.agg(F.max("us").alias("now"))))  # one row
+    per = o.groupBy("o_orderpriority").agg(n_rows("n"), F.count_if(F.col("us") >= F.col("now") - 30 * 86_400_000_000).alias("late"))
+    kinds = per.select(F.concat(F.lit("type "), "o_orderpriority").alias("kind"), "n")
+    totals = per.agg(F.sum("n").alias("records"), F.sum("late").alias("late")).crossJoin(o.agg(F.count_distinct("o_custkey").alias("entities")))
+    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("n")) for k, c in (("records", "records"), ("entities", "entities"), ("last 30 days", "late"))]))
+    return totals.select(rows.alias("r")).select("r.kind", "r.n").unionByName(kinds)
+
+
+@query("SELECT event_id, round(greatest(value / 100, (event_id % 97) / 100.0::DOUBLE), 4) AS score, CASE WHEN greatest(value / 100, (event_id % 97) / 100.0::DOUBLE) >= 0.85 THEN 'block' WHEN greatest(value / 100, (event_id % 97) / 100.0::DOUBLE) >= 0.70 THEN 'flag' ELSE 'pass' END AS decision FROM events")
+def moderation_scores(spark, d):
+    """Block or flag by the greatest of a text's scores."""
+    top = F.greatest(F.col("value") / 100, F.col("event_id") % 97 / 100.0)
+    return load(spark, d, "events").select("event_id", F.round(top, 4).alias("score"), sc.moderation(top).alias("decision"))

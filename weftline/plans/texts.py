@@ -9,7 +9,7 @@ from weftline.plans.registry import load, query
 
 _LINES = """
 WITH l AS (SELECT doc_id AS id, source, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),
-k AS (SELECT * FROM l WHERE NOT starts_with(ltrim(content), '#') AND NOT contains(content, 'scan: ignore')),
+k AS (SELECT * FROM l WHERE NOT regexp_matches(content, '^\\s*#') AND NOT contains(content, 'scan: ignore')),
 f AS (SELECT id, line, 'secret' AS category, CASE WHEN regexp_matches(content, 'AKIA[A-Z0-9]{16}') THEN 'critical' WHEN regexp_matches(content, '(?i)(password|token|secret)\\s*[:=]') THEN 'high' END AS severity FROM k
 UNION ALL SELECT id, line, 'unsafe_exec', CASE WHEN regexp_matches(content, '(?i)\\b(eval|exec|system)\\s*\\(') THEN 'high' END FROM k
 UNION ALL SELECT id, line, 'exfiltration', CASE WHEN regexp_matches(content, 'https?://') THEN 'medium' END FROM k
@@ -40,7 +40,7 @@ def category_scores(spark, d):
 
 
 @query("""
-WITH l AS (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents), k AS (SELECT * FROM l WHERE NOT starts_with(ltrim(content), '#') AND NOT contains(content, 'scan: ignore'))
+WITH l AS (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents), k AS (SELECT * FROM l WHERE NOT regexp_matches(content, '^\\s*#') AND NOT contains(content, 'scan: ignore'))
 SELECT a.id, min(abs(a.line - b.line)) AS distance FROM k a JOIN k b ON a.id = b.id WHERE regexp_matches(a.content, '[Ll]icensed under') AND regexp_matches(b.content, 'tion') AND abs(a.line - b.line) <= 40 GROUP BY 1
 """)
 def proximity_40(spark, d):
