@@ -39,10 +39,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     key = next(f"row{'_' * k}" for k in range(1, 99) if f"row{'_' * k}" not in docs.columns)
     keyed = stash(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
     groups = ngram_join(keyed, id_col=key, n=5, percent=80).select(F.col(key).alias("_k"), "component_id")
-    crowded = groups.groupBy("component_id").count().where("count > 1").select("component_id")
-    members = stash(groups.join(crowded, "component_id").join(keyed.select(F.col(key).alias("_k"), F.col("doc_id").alias("_d")), "_k"), "members")
-    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("_d").isNull(), "_d", "_k"))["_k"].alias("_first"))
-    others = stash(members.join(first, "component_id").where("_k <> _first").select(F.col("_k").alias(key)), "duplicates")
+    members = stash(groups.join(keyed.select(F.col(key).alias("_k"), F.col("doc_id").alias("_d")), "_k"), "members")
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("_d").isNull(), "_d", "_k"))["_k"].alias("_k"))
+    others = stash(members.join(first.select("_k"), "_k", "left_anti").select(F.col("_k").alias(key)), "duplicates")
     return keyed.join(others, key, "left_anti").select(docs.columns)
 
 

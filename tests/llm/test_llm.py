@@ -568,6 +568,7 @@ class _Reference(HTMLParser):
     def __init__(self, page):
         super().__init__(convert_charrefs=True)
         self.out, self.held, self.raw = [], [], 0
+        self.omitted = html_blocks.RAW | html_blocks.CONTROL
         self.feed(page)
         self.close()
         self.end()
@@ -579,11 +580,11 @@ class _Reference(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         self.end() if tag in html_blocks.BLOCK else self.held.append(" ") if tag == "br" else None
-        self.raw += tag in html_blocks.RAW
+        self.raw += tag in self.omitted
 
     def handle_endtag(self, tag):
         self.end() if tag in html_blocks.BLOCK else None
-        self.raw -= tag in html_blocks.RAW
+        self.raw -= tag in self.omitted
 
     def handle_data(self, data):
         self.held.append("" if self.raw else data)
@@ -609,6 +610,32 @@ def test_blocks_keep_text_and_read_hostile_pages_in_linear_time():
     assert html_blocks.blocks("<p class='a b c d e f g h i j k l m'>x")[0].path != html_blocks.blocks("<p class='a b c d e f g h i j k l'>x")[0].path
 
 
+def test_form_controls_are_no_text():
+    texts = lambda page: [b.text for b in html_blocks.blocks(page)]
+    assert texts("<p>Hi <button>Share</button> there</p>") == ["Hi there"]
+    assert texts("<p>a<label>Name <select><option>x<option>y</select></label>b<textarea>t</textarea>c</p>") == ["abc"]
+    assert texts("<div>a<button>never closed</div><p>d") == ["a", "d"]
+
+
+def test_long_pages_run_in_stretches(monkeypatch):
+    """A page in stretches has the labels that it has as a whole, and a million blocks stay below a gigabyte."""
+    model = html_extract.Labeller(seed=9)
+    pages = [html_blocks.blocks("".join(h for h, _ in html_blocks.labelled_pages(6, seed))) for seed in (1, 2)]
+    whole = model.probabilities([html_extract.features(p) for p in pages])
+    monkeypatch.setattr(html_extract, "STRETCH", 7)
+    for got, want in zip(model.scores([pages[0], [], pages[1]])[::2], whole, strict=True):
+        assert got == pytest.approx(want, abs=1e-5)
+    monkeypatch.undo()
+    for page in ("<p>ab</p>" * 1_000_000, "<div>x" * 300_000):
+        tracemalloc.start()
+        found = html_blocks.blocks(page)
+        model._run = lambda x, live, d, keep=None, state=None: np.zeros((*x.shape[:2], html_extract.HIDDEN), np.float32)
+        assert len(model.scores([found])[0]) == len(found) in (1_000_000, 300_000)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 700 << 20
+
+
 def test_lstm_gradients():
     rng = np.random.default_rng(0)
     x, live = rng.standard_normal((4, 3, html_extract.INPUT)).astype(np.float32), np.array([[1, 1, 1], [1, 1, 1], [1, 0, 1], [1, 0, 0]], bool)

@@ -12,10 +12,11 @@ import numpy as np
 
 #: Fixed values of the format: elements that break text into blocks, that hold no content, and whose content is no text of the page.
 BLOCK = frozenset("""address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form
-h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th
+h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th
 thead title tr ul""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style template iframe".split())
+CONTROL = frozenset("button label select textarea".split())  # their words are part of a form, not of the text
 #: An opening tag of the first closes an open one of the second.
 CLOSES = {"p": "p", "li": "li", "dt": "dd", "dd": "dt", "tr": "tr", "td": "td", "th": "td", "option": "option"}
 CLOSES_P = BLOCK - {"html", "head", "body", "title", "option", "optgroup", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "legend", "summary"}
@@ -29,25 +30,72 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _SPACE = re.compile(r"\s+")
 
 
+PATH = 192
+
+
+class Element(NamedTuple):
+    """An open element: the one around it, its depth and its signs."""
+
+    outer: Element | None
+    depth: int
+    signs: tuple[tuple[int, int], ...]
+
+
 class Block(NamedTuple):
     tags: tuple[str, ...]  # of the last two open elements, the innermost last
-    path: tuple[int, ...]  # sums of the hashed signs of all open elements' tags and marks
+    inner: Element | None  # the innermost open element
     text: str
     linked: float  # share of the characters inside links
 
-
-PATH = 192
+    @property
+    def path(self) -> bytes:
+        """Sums of the hashed signs of all open elements' tags and marks."""
+        sums = PathSums()
+        sums.move(self.inner)
+        return sums.now.tobytes()
+
+
+class PathSums:
+    """The sums of one element's path, moved from element to element over those that were opened or closed between."""
+
+    def __init__(self):
+        self.at: Element | None = None
+        self.now = np.zeros(PATH, np.float32)
+
+    def move(self, to: Element | None) -> None:
+        here, opened = self.at, []
+        self.at = to
+        while to is not here:
+            if here is None or (to is not None and to.depth > here.depth):
+                opened.append(to)
+                to = to.outer
+            else:
+                for cell, s in here.signs:
+                    self.now[cell] -= s
+                here = here.outer
+        for e in opened:
+            for cell, s in e.signs:
+                self.now[cell] += s
+
+
+@lru_cache(1 << 16)
+def _short_sign(token: str, cells: int) -> tuple[int, int]:
+    h = zlib.crc32(token.encode())
+    return h % cells, 1 if h & 0x10000 else -1
 
 
-@lru_cache(200_000)
 def sign(token: str, cells: int) -> tuple[int, int]:
-    h = zlib.crc32(token.encode())
-    return h % cells, 1 if h & 0x10000 else -1
+    """A cell and a sign for a token; only short ones are remembered, so the memory of a worker is bounded."""
+    return (_short_sign if len(token) <= 64 else _short_sign.__wrapped__)(token, cells)
 
 
-@lru_cache(50_000)
 def _signs(tag: str, attributes: str) -> tuple[tuple[int, int], ...]:
     """Cells of an element's tag and of the distinct words of its class, id and role."""
+    return (_short_signs if len(attributes) <= 256 else _short_signs.__wrapped__)(tag, attributes)
+
+
+@lru_cache(1 << 15)
+def _short_signs(tag: str, attributes: str) -> tuple[tuple[int, int], ...]:
     if tag in ("html", "body"):
         return ()
     marks = {w.lower() for _, value in _ATTRIBUTE.findall(attributes) for w in _PART.findall(value)} if attributes.strip() else ()
@@ -89,24 +137,25 @@ def blocks(page: str) -> list[Block]:
     """The page's text blocks in order: references decoded, white space collapsed, empty blocks left out.
 
     Block elements end a block, ``br`` is white space, and other elements run on inside it. Comments, declarations and
-    the contents of scripts, styles, templates and inline frames are no text; all other text is. Unclosed elements end
+    the contents of scripts, styles, templates, inline frames and form controls are no text; all other text is. Unclosed elements end
     with their parents, an unclosed script, style, template or frame with the page. Time is linear in the page's length,
     whatever its markup.
     """
     out: list[Block] = []
-    stack: list[tuple[str, tuple]] = []  # tag and signs
+    stack: list[tuple[str, Element]] = []
     where: dict[str, list[int]] = {}  # of each tag, its places in the stack
     bounds: list[int] = []  # places of elements in BOUNDS
-    path = [0] * PATH
     held: list[str] = []
-    place: tuple = ((), ())
-    linked, blank = 0, True
+    place: tuple = ((), None)
+    linked, blank, controls = 0, True, 0
+    known: dict[tuple, tuple] = {}  # equal pairs of tags are one object
 
     def text(raw: str) -> None:
         nonlocal linked, place, blank
-        if raw:
+        if raw and not controls:
             if blank and not raw.isspace():
-                place, blank = (tuple(t for t, _ in stack[-2:]), tuple(path)), False
+                tags = tuple(t for t, _ in stack[-2:])
+                place, blank = (known.setdefault(tags, tags), stack[-1][1] if stack else None), False
             held.append(raw)
             if where.get("a"):
                 linked += len(raw)
@@ -121,13 +170,13 @@ def blocks(page: str) -> list[Block]:
         linked, blank = 0, True
 
     def close(depth: int) -> None:
+        nonlocal controls
         while len(stack) > depth:
-            tag, signs = stack.pop()
+            tag = stack.pop()[0]
             where[tag].pop()
+            controls -= tag in CONTROL
             if tag in BOUNDS:
                 bounds.pop()
-            for cell, s in signs:
-                path[cell] -= s
 
     at, tags = 0, _Tags(page)
     while found := tags.next(at):
@@ -136,7 +185,7 @@ def blocks(page: str) -> list[Block]:
         at = end
         if not name:
             continue
-        if name in BLOCK:
+        if name in BLOCK and not (controls and name in ("option", "optgroup")):
             flush()
         elif name == "br":
             held.append(" ") if held else None
@@ -158,9 +207,8 @@ def blocks(page: str) -> list[Block]:
         where.setdefault(name, []).append(len(stack))
         if name in BOUNDS:
             bounds.append(len(stack))
-        stack.append((name, signs))
-        for cell, s in signs:
-            path[cell] += s
+        controls += name in CONTROL
+        stack.append((name, Element(stack[-1][1] if stack else None, len(stack), signs)))
     text(page[at:])
     flush()
     return out

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.html_blocks import PATH, Block, blocks, labelled_pages, sign
+from weftline.llm.html_blocks import PATH, Block, PathSums, blocks, labelled_pages, sign
 from weftline.llm.shared import row_type, with_row
 
 WORD, DENSE, HIDDEN = 32, 8, 24
@@ -19,23 +19,30 @@ INPUT = PATH + WORD + DENSE
 F32 = np.float32
 
 
-def features(page: list[Block]) -> np.ndarray:
-    """One row per block: path signs, averaged signs of all its words, and sizes, link share and place."""
-    x = np.zeros((len(page), INPUT), F32)
-    if not page:
+STRETCH = 4096  # blocks of a long page in memory as features at once
+
+
+def features(page: list[Block], first: int = 0, stop: int | None = None, sums: PathSums | None = None) -> np.ndarray:
+    """One row per block of a stretch: path signs, averaged signs of all its words, and sizes, link share and place in the page."""
+    own = page[first:stop]
+    x = np.zeros((len(own), INPUT), F32)
+    if not own:
         return x
-    words = [b.text.lower().split(" ") for b in page]
+    sums = sums or PathSums()
+    words = [b.text.lower().split(" ") for b in own]
     count = np.array([len(w) for w in words])
-    cells = np.array([sign(w, WORD) for own in words for w in own])
-    at = np.repeat(np.arange(len(page)), count) * WORD + cells[:, 0]
-    x[:, PATH : PATH + WORD] = np.bincount(at, cells[:, 1], len(page) * WORD).reshape(-1, WORD) / count[:, None]
-    x[:, :PATH] = np.array([b.path for b in page])
-    for i, b in enumerate(page):
+    cells = np.array([sign(w, WORD) for some in words for w in some])
+    at = np.repeat(np.arange(len(own)), count) * WORD + cells[:, 0]
+    x[:, PATH : PATH + WORD] = np.bincount(at, cells[:, 1], len(own) * WORD).reshape(-1, WORD) / count[:, None]
+    for i, b in enumerate(own):
+        sums.move(b.inner)
+        x[i, :PATH] = sums.now
         for depth, tag in enumerate(reversed(b.tags)):
             if tag not in ("html", "body"):
                 cell, s = sign(f"{depth}:{tag}", PATH)
                 x[i, cell] += 0.5 * s
-        x[i, PATH + WORD :] = (np.log1p(count[i]) / 5, b.linked, count[i] <= 3, b.text[-1] in ".!?", b.text[:1] in "©", i / max(1, len(page) - 1), 1 / (1 + i), 1 / (len(page) - i))
+        k = first + i
+        x[i, PATH + WORD :] = (np.log1p(count[i]) / 5, b.linked, count[i] <= 3, b.text[-1] in ".!?", b.text[:1] in "©", k / max(1, len(page) - 1), 1 / (1 + k), 1 / (len(page) - k))
     return x
 
 
@@ -51,11 +58,14 @@ class Labeller:
             self.p[f"b{d}"] = np.concatenate([np.zeros(HIDDEN), np.ones(HIDDEN), np.zeros(2 * HIDDEN)]).astype(F32)
         self.p["wo"], self.p["bo"] = (rng.standard_normal(2 * HIDDEN) / 7).astype(F32), np.zeros(1, F32)
 
-    def _run(self, x: np.ndarray, live: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
-        """States of one direction over x[time, page, input]; a page's state stays where it is not live."""
+    def _run(self, x: np.ndarray, live: np.ndarray, d: str, keep: list | None = None, state: list | None = None) -> np.ndarray:
+        """States of one direction over x[time, page, input]; a page's state stays where it is not live.
+
+        ``state`` holds the two states before the first step, where there are any, and takes those after the last.
+        """
         a = x.reshape(-1, INPUT) @ self.p[f"wx{d}"] + self.p[f"b{d}"]
         a = a.reshape(*x.shape[:2], 4 * HIDDEN)
-        h = c = np.zeros((x.shape[1], HIDDEN), F32)
+        h, c = state if state else [np.zeros((x.shape[1], HIDDEN), F32)] * 2
         out = np.zeros((*x.shape[:2], HIDDEN), F32)
         for t in range(len(x)) if d == "f" else reversed(range(len(x))):
             z = a[t] + h @ self.p[f"wh{d}"]
@@ -69,6 +79,36 @@ class Labeller:
                 keep.append((t, h, c, i, f, o, g, tc, m))
             c, h = new, np.where(m, o * tc, h)
             out[t] = h
+        if state is not None:
+            state[:] = h, c
+        return out
+
+    def scores(self, pages: list[list[Block]]) -> list[np.ndarray]:
+        """Of each page's blocks. Features are made for a few pages at a time, and of long pages for a stretch at a time."""
+        out: list[np.ndarray] = [np.zeros(0, F32)] * len(pages)
+        order = sorted((k for k in range(len(pages)) if pages[k]), key=lambda k: len(pages[k]))
+        while order:
+            if len(pages[order[-1]]) > STRETCH:
+                out[order[-1]] = self._long(pages[order.pop()])
+                continue
+            n = max(1, min(len(order), 64, 40_000 // len(pages[order[-1]])))
+            some, order = order[-n:], order[:-n]
+            for k, p in zip(some, self.probabilities([features(pages[k]) for k in some]), strict=True):
+                out[k] = p
+        return out
+
+    def _long(self, page: list[Block]) -> np.ndarray:
+        """One page in stretches: the states of either direction go from each stretch to the next, so all blocks see all others."""
+        starts = range(0, len(page), STRETCH)
+        ahead, sums, state = np.empty((len(page), HIDDEN), F32), PathSums(), []
+        for a in starts:
+            x = features(page, a, a + STRETCH, sums)[:, None]
+            ahead[a : a + STRETCH] = self._run(x, np.ones(x.shape[:2], bool), "f", state=state)[:, 0]
+        out, state = np.empty(len(page), F32), []
+        for a in reversed(starts):
+            x = features(page, a, a + STRETCH, sums)[:, None]
+            h = np.concatenate([ahead[a : a + STRETCH], self._run(x, np.ones(x.shape[:2], bool), "b", state=state)[:, 0]], 1)
+            out[a : a + STRETCH] = 1 / (1 + np.exp(-(h @ self.p["wo"] + self.p["bo"])))
         return out
 
     def probabilities(self, pages: list[np.ndarray]) -> list[np.ndarray]:
@@ -154,8 +194,7 @@ def default_labeller() -> Labeller:
 
 def main_text(pages: list[str], model: Labeller) -> list[str]:
     parsed = [blocks(p) for p in pages]
-    scores = model.probabilities([features(p) for p in parsed])
-    return [" ".join(b.text for b, s in zip(p, q, strict=True) if s >= 0.5) for p, q in zip(parsed, scores, strict=True)]
+    return [" ".join(b.text for b, s in zip(p, q, strict=True) if s >= 0.5) for p, q in zip(parsed, model.scores(parsed), strict=True)]
 
 
 def extract(pages: DataFrame, html_col: str = "html", model: Labeller | None = None, together: int = 200, together_bytes: int = 8 << 20) -> DataFrame:
