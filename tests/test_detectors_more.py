@@ -95,3 +95,23 @@ def test_exact_percentile(spark, p):
     assert len(whole) == 1 and whole[0].percentile == pytest.approx(float(np.quantile([x for _, x in rows if x is not None and -1e9 < x < 1e9], p)), rel=1e-12)
     assert exact_percentile(df.limit(0), ["key"], "v", p).count() == exact_percentile(df.limit(0), [], "v", p).count() == 0
     assert p != 0.5 or got["even"] == statistics.median(groups["even"])
+
+
+def test_trust_inputs_by_hand(spark):
+    from weftline.operators import trust
+
+    now = 200 * DAY
+    rows = [(1, 7, 1, "code", 0.8, now), (2, 8, 1, "data", None, now - 100 * DAY), (3, 9, 1, None, 0.4, now - 190 * DAY)] + [(10 + i, 7, 2, "code", 1.0, now) for i in range(12)]
+    a = spark.createDataFrame(rows, "event_id long, attester long, target long, context string, weight double, us long")
+    got = {r.target: (r.community, r.contexts) for r in trust.community(a, F.lit(now), boost="code").collect()}
+    assert got[1][0] == pytest.approx((0.8 * 1.5 + 0.25 + 0.1) / 3) and got[1][1] == {"code": 0.8, "data": 0.25} and got[2] == (1.0, {"code": 1.0})
+    plain = {r.target: r.community for r in trust.community(a, F.lit(now)).collect()}
+    assert plain[1] == pytest.approx((0.8 + 0.25 + 0.1) / 3)
+    e = spark.createDataFrame([(1, 0.3, True, 0.9), (2, None, True, 0.5), (3, None, True, None), (4, None, False, 0.5)], "id long, linked double, verified boolean, signals double")
+    assert [r[0] for r in e.orderBy("id").select(trust.external(F.col("linked"), F.col("verified"), F.col("signals"))).collect()] == [0.3, pytest.approx(0.35), 0.6, 0.0]
+    assert e.where("id = 2").select(trust.with_chain(F.col("signals"), F.lit(0.7)), trust.with_chain(F.col("signals"), F.lit(None).cast("double"))).first()[:] == (0.7, 0.5)
+    acts = spark.createDataFrame([(1, now)] * 9 + [(1, now - 31 * DAY), (2, now - 30 * DAY)] + [(3, now)] * 200, "id long, us long")
+    assert {r.id: round(r.activity, 6) for r in trust.recent_activity(acts, F.lit(now)).collect()} == {1: round(float(np.log(10) / np.log(100)), 6), 2: round(float(np.log(2) / np.log(100)), 6), 3: 1.0}
+    c = spark.createDataFrame([(1, 0.2, 0.5, None, 0.9, True), (2, 0.6, 0.1, 0.3, 0.2, True), (3, 0.6, 0.3, 0.3, 0.3, False)], "id long, verification double, activity double, community double, reputation double, agent boolean")
+    said = {(r.id, r.component, r.potential_gain) for r in trust.suggestions(c, F.col("agent")).collect()}
+    assert said == {(1, "verification", 0.105), (1, "community", 0.06), (2, "verification", 0.07), (2, "activity", 0.06), (2, "reputation", 0.045)}

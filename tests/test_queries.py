@@ -42,4 +42,6 @@ def test_matches_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
-    assert QUERIES[name](spark, DATA).columns
+    """Queries without SQL; their operators are held against loops elsewhere."""
+    df = QUERIES[name](spark, DATA)
+    assert df.columns and df.count() >= 0

@@ -56,6 +56,28 @@ def test_the_newest_rows_survive_a_restart(spark, tmp_path):
     assert len(st._versions(spark, root)) <= 2
 
 
+def test_updated_counts_over_restarts(spark, tmp_path):
+    path, root, state = (f"{tmp_path}/{x}" for x in ("events", "updates", "state"))
+
+    def run():
+        e = st.read_events(spark, path)
+        counts = e.groupBy("user_id", F.window("ts", "1 day")).agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last")).select("user_id", F.date_format("window.start", "yyyy-MM-dd").alias("day"), "n", "last")
+        return sorted(map(tuple, st.run_update(counts, spark, ["user_id", "day"], root, state).collect()))
+
+    def want(all_rows):
+        seen = {}
+        for i, ts, user, _ in all_rows:
+            n, last = seen.get((user, f"{ts:%Y-%m-%d}"), (0, -1))
+            seen[user, f"{ts:%Y-%m-%d}"] = (n + 1, max(last, i))
+        return sorted((u, d, n, last) for (u, d), (n, last) in seen.items())
+
+    write(spark, path, rows(100, 150))
+    write(spark, path, rows(40, 90))
+    assert run() == want(rows(100, 150) + rows(40, 90))
+    write(spark, path, rows(0, 110))  # late rows and new versions of counted windows
+    assert run() == want(rows(100, 150) + rows(40, 90) + rows(0, 110)) and run() == run()
+
+
 def brute_cliques(edges, n):
     near = {frozenset(e) for e in edges}
     full = [set(c) for k in range(3, 8) for c in itertools.combinations(range(n), k) if all(frozenset(p) in near for p in itertools.combinations(c, 2))]

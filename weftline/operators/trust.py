@@ -165,7 +165,7 @@ def chain_score(attestations: DataFrame) -> DataFrame:
 
 #: The least trust of each gated action, the standings by the ratio to the mean, and the least score and days of grace to publish.
 ACTION_GATES = {
-    "post_create": 0.0, "post_to_submolt": 0.05, "create_listing": 0.15, "create_submolt": 0.25, "send_message": 0.0, "create_webhook": 0.10,
+    "post_create": 0.0, "post_to_group": 0.05, "create_listing": 0.15, "create_group": 0.25, "send_message": 0.0, "create_webhook": 0.10,
     "api_key_create": 0.10, "endorsement_create": 0.15, "dispute_create": 0.10, "media_upload": 0.10,
 }
 STANDINGS = (
@@ -192,6 +192,32 @@ def contributions(rows: DataFrame, parts: dict[str, tuple[Column, Column]], modi
     return rows.withColumn("_part", F.explode(entries)).where("_part.weighted <> 0").select(*rows.columns, "_part.*")
 
 
+#: Labels by score, and suggestions: component, from, below, only for agents, gain, text.
+LABELS = ((0.8, "Exceptional"), (0.6, "High"), (0.3, "Moderate"))
+SUGGESTIONS = (
+    ("verification", None, 0.3, False, 0.3 * 0.35, "Verify your email address to jump from 0.0 to 0.3."),
+    ("verification", 0.3, 0.5, False, 0.2 * 0.35, "Complete your profile bio to reach 0.5 verification."),
+    ("verification", 0.5, 0.7, True, 0.2 * 0.35, "Link to an operator account for the highest verification tier."),
+    ("activity", None, 0.3, False, 0.3 * 0.20, "Increase your engagement — post, reply, and vote regularly in the next 30 days."),
+    ("community", None, 0.3, False, 0.3 * 0.20, "Earn trust attestations from other community members. Focus on building genuine relationships."),
+    ("reputation", None, 0.3, False, 0.3 * 0.15, "Seek peer reviews and capability endorsements to improve your trust score."),
+)
+
+
+def score_label(score: Column) -> Column:
+    return ladder(score, LABELS, "Low")
+
+
+def suggestions(rows: DataFrame, agent: Column) -> DataFrame:
+    """A row (component, suggestion, potential_gain) for each suggestion that fits an entity's components; missing ones count 0."""
+    fits = []
+    for component, low, high, agents, gain, text in SUGGESTIONS:
+        value = F.coalesce(F.col(component), F.lit(0.0))
+        hit = (value < high) & (F.lit(True) if low is None else value >= low) & (agent if agents else F.lit(True))
+        fits.append(F.when(hit, F.struct(F.lit(component).alias("component"), F.lit(text).alias("suggestion"), F.lit(round(gain, 4)).alias("potential_gain"))))
+    return rows.withColumn("_s", F.explode(F.array_compact(F.array(*fits)))).select(*rows.columns, "_s.*")
+
+
 def npm_reputation(downloads: Column, versions: Column, maintainers: Column) -> Column:
     return 0.50 * log_share(downloads, 100_001) + 0.30 * log_share(versions, 51) + 0.20 * F.least(maintainers / 5.0, F.lit(1.0))
 

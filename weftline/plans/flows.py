@@ -8,6 +8,7 @@ from weftline.plans import model as m
 from weftline.plans.registry import load, query
 from weftline.sources import deliveries as dl
 from weftline.sources import firehose as fh
+from weftline.sources.folders import stored
 from weftline.streaming import handlers as hd
 from weftline.streaming import limiter as lm
 from weftline.streaming import streams as st
@@ -18,15 +19,10 @@ STORE = "spark.sql.streaming.stateStore.providerClass"
 
 @query()
 def louvain_communities(spark, d):
-    """Communities of the follow graph by modularity."""
-    return lv.louvain(m.follows(spark, d))
-
-
-@query()
-def community_clusters(spark, d):
-    """Each community's size, mean trust and leading type."""
+    """Communities of the follow graph by modularity: each member with its community's size, mean trust and leading type."""
     e = m.entities(spark, d).select("id", (F.col("balance") / 10000).alias("score"), F.col("framework").alias("type"))
-    return lv.community_facts(lv.louvain(m.follows(spark, d)), e)
+    labels = stored(lv.louvain(m.follows(spark, d)), "communities")
+    return labels.join(lv.community_facts(labels, e), "community").select("id", "community", "size", "avg_trust", "dominant_type")
 
 
 @query()

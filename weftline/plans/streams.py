@@ -22,12 +22,10 @@ def stream_topk(spark, d):
 
 @query("SELECT strftime(time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '2000-01-01'), '%Y-%m-%d %H') AS start, user_id, count(*) AS n FROM events GROUP BY ALL")
 def stream_rate(spark, d):
-    """Counts per user and six hours, in complete mode: the last version holds every window."""
+    """Counts per user and six hours: each batch writes the windows that it changed."""
     e = st.read_events(spark, f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    out, state = st.folder(spark, "rate"), st.folder(spark, "state")
     counts = e.groupBy(F.window("ts", "6 hours"), "user_id").agg(F.count(F.lit(1)).alias("n")).select(F.date_format("window.start", "yyyy-MM-dd HH").alias("start"), "user_id", "n")
-    counts.writeStream.outputMode("complete").foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(out)).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(counts.schema).parquet(out)
+    return st.run_update(counts, spark, ["start", "user_id"])
 
 
 @query("SELECT event_id, user_id FROM events WHERE event_type = 'error'")
@@ -44,10 +42,8 @@ SELECT user_id, start, count(*) AS n FROM w GROUP BY ALL HAVING count(*) > 1
 def stream_sliding(spark, d):
     """Users with more than one event in a sliding minute that moves by half a minute."""
     e = st.read_events(spark, f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    out, state = st.folder(spark, "sliding"), st.folder(spark, "state")
     counts = e.groupBy(F.window("ts", "60 seconds", "30 seconds"), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.unix_seconds("window.start").alias("start"), "n").where("n > 1")
-    counts.writeStream.outputMode("complete").foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(out)).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(counts.schema).parquet(out)
+    return st.run_update(counts, spark, ["start", "user_id"])
 
 
 @query("SELECT user_id, event_type, count(*) AS n FROM events WHERE event_type IN ('signup', 'error') GROUP BY ALL")

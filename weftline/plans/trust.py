@@ -102,6 +102,26 @@ def contextual_blend(spark, d):
     return e.select("id", "primary_context", F.round(t.blend(F.col("balance") / 10000, F.col("data")), 9).alias("blended"))
 
 
+def _suggested_sql():
+    parts = []
+    for component, low, high, agents, gain, text in t.SUGGESTIONS:
+        test = f"{component} < {high}" + (f" AND {component} >= {low}" if low is not None else "") + (" AND NOT human" if agents else "")
+        quoted = text.replace("'", "''")
+        parts.append(f"SELECT id, label, '{component}' AS component, '{quoted}' AS suggestion, {round(gain, 4)}::DOUBLE AS potential_gain FROM x WHERE {test}")
+    return " UNION ALL ".join(parts)
+
+
+@query(_COMPONENTS + """
+, r AS (SELECT o_custkey AS id, avg(1 + o_orderkey % 5) / 5 AS reputation FROM orders WHERE o_orderstatus = 'P' GROUP BY 1),
+x AS (SELECT c.id, human, CASE WHEN previous >= 0.8 THEN 'Exceptional' WHEN previous >= 0.6 THEN 'High' WHEN previous >= 0.3 THEN 'Moderate' ELSE 'Low' END AS label, verification, 0.0 AS activity, external AS community, coalesce(reputation, 0.0) AS reputation FROM c LEFT JOIN r USING (id))
+""" + _suggested_sql())
+def trust_suggestions(spark, d):
+    """What each entity could do for its score, with its label."""
+    r = load(spark, d, "orders").where("o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("id")).agg((F.avg(1 + F.col("o_orderkey") % 5) / 5).alias("reputation"))
+    c = _components(spark, d).drop("reputation").join(r, "id", "left").withColumn("community", F.col("external"))
+    return t.suggestions(c, ~F.col("human")).select("id", t.score_label(F.col("previous")).alias("label"), "component", "suggestion", "potential_gain")
+
+
 @query(m.SQL + """
 , act AS (SELECT user_id AS id, count(*) AS n FROM ev, clock WHERE event_type IN ('view', 'purchase') AND us >= now - 30 * 86400000000::BIGINT GROUP BY 1),
 rate AS (SELECT o_custkey AS id, avg(1 + o_orderkey % 5) AS rating FROM orders WHERE o_orderstatus = 'P' GROUP BY 1),

@@ -91,3 +91,21 @@ def run_top(stream: DataFrame, spark: SparkSession, key: str, order: str, k: int
     q.awaitTermination()
     have = _versions(spark, root)
     return spark.read.schema(stream.schema).parquet(f"{root}/{have[-1]}") if have else spark.createDataFrame([], stream.schema)
+
+
+def run_update(stream: DataFrame, spark: SparkSession, keys: list[str], root: str | None = None, state: str | None = None) -> DataFrame:
+    """The last row of each key of an aggregate in update mode: each micro-batch writes only the rows that it changed.
+
+    Batches are folders named by their number, so a repeated batch replaces itself; reading takes the latest of each key.
+    With the same ``root`` and ``state`` a later run goes on where the last stopped.
+    """
+    root, state = root or folder(spark, "updates"), state or folder(spark, "state")
+    q = stream.writeStream.outputMode("update").foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{root}/batch={number}"))
+    q.option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], stream.schema)
+    others = [c for c in stream.columns if c not in keys]
+    rows = spark.read.schema(", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema) + ", batch long").parquet(root)
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("_last"))
+    return last.select(*(F.col(f"_last.`{c}`").alias(c) if c in others else F.col(c) for c in stream.columns))
