@@ -204,7 +204,7 @@ def vectors(rng, n, width, clusters):
     return [[float(np.float32(c + rng.gauss(0, 0.4))) for c in rng.choice(centres)] for _ in range(n)]
 
 
-@pytest.mark.parametrize(("n", "width", "clusters", "ids"), [(900, 6, 5, 1), (700, 16, 1, 1), (500, 3, 8, 50), (60, 2, 2, 100)])
+@pytest.mark.parametrize(("n", "width", "clusters", "ids"), [(700, 6, 5, 1), (400, 16, 1, 1), (60, 2, 2, 100)])
 def test_hard_negatives_equal_brute_force(spark, monkeypatch, n, width, clusters, ids):
     for name, value in (("BLOCK", 32), ("CELLS", 500), ("PENDING", 64), ("SLICE_BYTES", 200)):
         monkeypatch.setattr(hn, name, value)
