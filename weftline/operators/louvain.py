@@ -57,12 +57,13 @@ def _settle(graph: DataFrame, most: int, least: float) -> tuple[DataFrame, bool]
     """Labels (id, community) of one level, and whether any vertex moved for good.
 
     A turn lets all parts decide one after another. One that raises modularity by less than ``least`` is the last; one that
-    lowers it is undone and tried again with parts of an eighth, so that fewer vertices decide at once.
+    does not raise it is undone and tried again with parts of an eighth, so that fewer vertices decide at once, until no
+    vertex wants to move or three turns have failed.
     """
     degrees = graph.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("degree"))
     state = stored(degrees.select("id", F.col("id").alias("community"), "degree"), "vertices")
     total, inside, expected = _terms(graph, state)
-    best, moved, parts = inside * total - expected, False, 2
+    best, moved, parts, failed = inside * total - expected, False, 2, 0
     for turn in range(most):
         step = state
         for part in range(parts):
@@ -73,9 +74,11 @@ def _settle(graph: DataFrame, most: int, least: float) -> tuple[DataFrame, bool]
             state, best, moved = step, best + raised, True
             if raised < least * total**2:
                 break
-        elif raised == 0 or parts == 8:
-            break
         else:
+            failed += 1
+            still = raised == 0 and step.join(state.select("id", F.col("community").alias("before")), "id").where("community <> before").isEmpty()
+            if still or failed == 3:
+                break
             parts = 8
     return state.select("id", "community"), moved
 
