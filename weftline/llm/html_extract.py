@@ -89,7 +89,8 @@ class Labeller:
         order = sorted((k for k in range(len(pages)) if pages[k]), key=lambda k: len(pages[k]))
         while order:
             if len(pages[order[-1]]) > STRETCH:
-                out[order[-1]] = self._long(pages[order.pop()])
+                k = order.pop()
+                out[k] = self._long(pages[k])
                 continue
             n = max(1, min(len(order), 64, 40_000 // len(pages[order[-1]])))
             some, order = order[-n:], order[:-n]
