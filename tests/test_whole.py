@@ -57,8 +57,8 @@ def test_components(spark, tables):
     assert {(r.id, r.component) for r in QUERIES["connected_components"](spark, d).collect()} == set(label.items())
 
 
-def test_voting_ring(spark, tables):
+def test_voting_overlap(spark, tables):
     d, _, _, items = tables
     sets = {s: {x[1] for x in items if x[0] == s} for s in range(12)}
     want = {(a, b, c, len(sets[a]), len(sets[b])) for a, b in itertools.combinations(range(12), 2) if (c := len(sets[a] & sets[b])) >= 0.8 * max(len(sets[a]), len(sets[b]))}
-    assert {tuple(r) for r in QUERIES["voting_ring"](spark, d).collect()} == want and want
+    assert {tuple(r) for r in QUERIES["voting_overlap"](spark, d).collect()} == want and want
