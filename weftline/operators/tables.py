@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftline.sources.folders import stored
+
 
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row per key: the first by ``order``, which should be total."""
@@ -66,18 +68,35 @@ def maximal_sets(members: DataFrame) -> DataFrame:
     """Sets of ``members(id, item)`` that are part of no other set, with their size n; of equal sets the least id.
 
     Equal sets become one by their size and two sums of item hashes. A set can only lie inside larger sets that have its
-    rarest item; of these the items that both have are counted, so no set travels as a whole.
+    rarest item and all of its 256 hashed bits: pairs without these never leave the join. A set is first compared with the
+    largest that passes, then, where that one does not hold it, with all that do; the items that both have are counted,
+    so no set travels as a whole. An item that many sets have is dealt over joins of some 4,096 sets.
     """
     m = members.select("id", "item").distinct()
     sums = [F.sum(F.xxhash64("item", F.lit(k)).cast("decimal(38,0)")).alias(f"h{k}") for k in (1, 2)]
-    own = m.groupBy("id").agg(F.count(F.lit(1)).alias("n"), *sums)
-    first = own.groupBy("n", "h1", "h2").agg(F.min("id").alias("id")).select("id", "n")
+    bit = F.pmod(F.xxhash64("item"), F.lit(256))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))
+    marks = [f"s{k}" for k in range(4)]
+    own = m.groupBy("id").agg(F.count(F.lit(1)).alias("n"), *sums, *(F.bit_or(F.when(F.floor(bit / 64) == k, one).otherwise(F.lit(0).cast("long"))).alias(s) for k, s in enumerate(marks)))
+    first = own.groupBy("n", "h1", "h2").agg(F.min("id").alias("id"), *(F.min(s).alias(s) for s in marks)).drop("h1", "h2")
     m = m.join(first, "id")
-    crowd = m.groupBy("item").agg(F.count(F.lit(1)).alias("crowd"))
-    rarest = m.join(crowd, "item").groupBy("id", "n").agg(F.min_by("item", F.struct("crowd", "item")).alias("item"))
-    pairs = rarest.join(m.select(F.col("id").alias("other"), F.col("n").alias("m"), "item"), "item").where("m > n").select("id", "n", "other")
-    common = pairs.join(m.select("id", "item"), "id").join(m.select(F.col("id").alias("other"), "item"), ["other", "item"]).groupBy("id", "other", "n").agg(F.count(F.lit(1)).alias("common"))
-    return first.join(common.where("common = n").select("id").distinct(), "id", "left_anti")
+    m = stored(m.join(m.groupBy("item").agg(F.count(F.lit(1)).alias("crowd")), "item"), "members")
+    rarest = m.groupBy("id", "n", *marks).agg(F.min(F.struct("crowd", "item")).alias("r")).select("id", "n", *marks, "r.item", F.explode(F.sequence(F.lit(0), F.floor((F.col("r.crowd") - 1) / 4096).cast("int"))).alias("part"))
+    large = m.select(F.col("id").alias("other"), F.col("n").alias("m"), "item", *(F.col(s).alias(f"o{s}") for s in marks), F.pmod(F.xxhash64("id"), F.floor((F.col("crowd") - 1) / 4096) + 1).cast("int").alias("part"))
+    fits = F.col("m") > F.col("n")
+    for s in marks:
+        fits = fits & (F.col(s).bitwiseAND(F.bitwise_not(F.col(f"o{s}"))) == 0)
+    pairs = lambda small: small.join(large, ["item", "part"]).where(fits).select("id", "n", "m", "other")
+
+    def inside(some: DataFrame) -> DataFrame:
+        both = some.join(m.select("id", "item"), "id").join(m.select(F.col("id").alias("other"), "item"), ["other", "item"])
+        return both.groupBy("id", "other", "n").agg(F.count(F.lit(1)).alias("common")).where("common = n").select("id").distinct()
+
+    best = stored(pairs(rarest).groupBy("id", "n").agg(F.max_by("other", F.struct("m", "other")).alias("other")), "largest")
+    held = stored(inside(best), "held")
+    open_ = best.select("id").join(held, "id", "left_anti")
+    more = inside(pairs(rarest.join(open_, "id", "left_semi")))
+    return m.select("id", "n").distinct().join(held.unionByName(more), "id", "left_anti")
 
 
 def window_counts(df: DataFrame, key: str, seconds: str, width: int) -> DataFrame:
