@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftline.sources.folders import stored
+
 
 def severity_of(z: Column) -> Column:
     return F.when(F.abs(z) >= 4, "high").when(F.abs(z) >= 3, "medium").otherwise("low")
@@ -30,20 +33,21 @@ def reciprocity(edges: DataFrame, src: str, dst: str) -> DataFrame:
 def voting_pairs(votes: DataFrame, overlap: float = 0.8, least: int = 5) -> DataFrame:
     """Voters whose sets of posts overlap by at least ``overlap`` of both sizes.
 
-    Candidates share a post. Of each voter, only the rarest posts can be needed: two sets that overlap by the share t
-    must meet in the ceil((1 - t) n) + 1 rarest of each, so common posts pair nobody. ``votes(voter, post)``. Posts are
-    ranked by their number of voters, then id; ``least`` is the smallest set that counts.
+    Of each voter, only the rarest posts can be needed: two sets that overlap by the share t have at least k posts in
+    common among the n - ceil(t n) + k rarest of each. These are counted for each pair of voters, and only pairs with so
+    many are compared whole; with k a fiftieth of the set, and two more, chance meetings go before any set travels.
+    ``votes(voter, post)``. Posts are ranked by their number of voters, then id; ``least`` is the smallest set that counts.
     """
-    v = votes.select("voter", "post").distinct()
-    sizes = v.groupBy("voter").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    v = v.join(sizes, "voter")
-    crowd = v.groupBy("post").agg(F.count(F.lit(1)).alias("crowd"))
-    sets = v.join(crowd, "post").groupBy("voter", "n").agg(F.array_sort(F.collect_list(F.struct("crowd", "post"))).alias("posts"))
-    sets = sets.select("voter", "n", F.transform("posts", lambda p: p["post"]).alias("posts"))
-    need = F.ceil((1 - overlap) * F.col("n")).cast("int") + 1
-    keys = sets.select("voter", "n", F.explode(F.slice("posts", F.lit(1), need)).alias("post"))
-    other = keys.select(F.col("voter").alias("other"), F.col("n").alias("m"), "post")
-    pairs = keys.join(other, "post").where((F.col("voter") < F.col("other")) & (F.least("n", "m") >= overlap * F.greatest("n", "m"))).select("voter", "other").distinct()
+    v = votes.select("voter", "post").distinct().withColumn("crowd", F.count(F.lit(1)).over(W.partitionBy("post")))
+    sets = v.groupBy("voter").agg(F.array_sort(F.collect_list(F.struct("crowd", "post"))).alias("posts"))
+    sets = sets.select("voter", F.size("posts").cast("long").alias("n"), F.transform("posts", lambda p: p["post"]).alias("posts")).where(F.col("n") >= least)
+    sets = stored(sets, "sets")
+    same = F.ceil(overlap * F.col("n"))
+    k = F.least(same, F.floor(F.col("n") / 50) + 2).cast("int")
+    keys = sets.select("voter", "n", k.alias("k"), F.explode(F.slice("posts", F.lit(1), (F.col("n") - same).cast("int") + k)).alias("post"))
+    other = keys.select(F.col("voter").alias("other"), F.col("n").alias("m"), F.col("k").alias("l"), "post")
+    met = keys.join(other, "post").where((F.col("voter") < F.col("other")) & (F.least("n", "m") >= overlap * F.greatest("n", "m")))
+    pairs = met.groupBy("voter", "other").agg(F.count(F.lit(1)).alias("met"), F.first(F.least("k", "l")).alias("k")).where("met >= k").select("voter", "other")
     both = pairs.join(sets, "voter").join(sets.select(F.col("voter").alias("other"), F.col("n").alias("m"), F.col("posts").alias("theirs")), "other")
     common = F.size(F.array_intersect("posts", "theirs"))
     return both.select("voter", "other", common.cast("long").alias("common"), "n", "m").where((F.col("common") >= overlap * F.col("n")) & (F.col("common") >= overlap * F.col("m")))
