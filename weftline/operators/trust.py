@@ -46,10 +46,10 @@ def reputation(rating: Column, endorsements: Column) -> Column:
     return F.when(rating.isNotNull() & has, RATING_SHARE * stars + (1 - RATING_SHARE) * known).when(rating.isNotNull(), stars).when(has, known).otherwise(0.0)
 
 
-def source_reputation(stars: Column, downloads: Column, forks: Column, likes: Column) -> Column:
-    """The best of four community signals on log scales."""
-    scaled = [F.least(F.log10(F.greatest(F.coalesce(c, F.lit(0)), F.lit(0)) + 1.0) / top, F.lit(1.0)) for c, top in zip((stars, downloads, forks, likes), SIGNAL_TOPS.values(), strict=True)]
-    return F.greatest(*scaled)
+def source_reputation(stars: Column, downloads: Column, forks: Column, likes: Column, most: float | None = 1.0) -> Column:
+    """The best of four community signals on log scales, each at most ``most``; without bound where that is None."""
+    scaled = [F.log10(F.greatest(F.coalesce(c, F.lit(0)), F.lit(0)) + 1.0) / top for c, top in zip((stars, downloads, forks, likes), SIGNAL_TOPS.values(), strict=True)]
+    return F.greatest(*(scaled if most is None else [F.least(x, F.lit(most)) for x in scaled]))
 
 
 def external(linked: Column, verified: Column, signals: Column) -> Column:
