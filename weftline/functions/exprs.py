@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +15,11 @@ def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once for it, within one expression."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def ratio(a: Column, b: Column, default: float | None = 0.0) -> Column:
     """a / b, or ``default`` where b is 0 or null."""
     r = F.try_divide(a.cast("double"), b.cast("double"))

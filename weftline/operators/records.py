@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.canonical import uuid5
+from weftline.functions.exprs import bound
 
 # Parts of dependency files that name a framework, the first that occurs counts.
 FRAMEWORKS = (
@@ -26,7 +27,7 @@ UUID = r"\b([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})\b"
 
 
 def _lines(text: Column) -> Column:
-    return F.transform(F.split(text, r"\r?\n"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
+    return F.transform(F.split(text, r"\r?\n"), lambda s: F.btrim(s, F.lit(" \t\n\x0b\f\r")))
 
 
 def capabilities(readme: Column) -> Column:
@@ -39,13 +40,16 @@ def capabilities(readme: Column) -> Column:
 
 def first_paragraph(readme: Column, most: int = 500) -> Column:
     """The first run of lines that are neither blank, headings nor badges, as one line of at most ``most`` characters."""
-    lines = _lines(F.coalesce(readme, F.lit("")))
-    prose = F.transform(lines, lambda s: (s != "") & ~s.rlike(r"^(#|!\[|\[!)"))
-    begin = F.array_position(prose, True).cast("int")
-    rest = F.slice(prose, F.greatest(begin, F.lit(1)), F.size(prose))
-    stop = F.array_position(rest, False).cast("int")
-    length = F.when(begin == 0, 0).when(stop == 0, F.size(rest)).otherwise(stop - 1)
-    return F.substring(F.array_join(F.slice(lines, F.greatest(begin, F.lit(1)), length), " "), 1, most)
+
+    def of(lines: Column, prose: Column) -> Column:
+        begin = F.greatest(F.array_position(prose, True).cast("int"), F.lit(1))
+        rest = F.slice(prose, begin, F.size(prose))
+        stop = F.array_position(rest, False).cast("int")
+        length = F.when(stop == 0, F.size(rest)).otherwise(stop - 1)  # 0 where no line is prose
+        return F.substring(F.array_join(F.slice(lines, begin, length), " "), 1, most)
+
+    plain = lambda s: (s != "") & ~(s.startswith("#") | s.startswith("![") | s.startswith("[!"))
+    return bound(_lines(F.coalesce(readme, F.lit(""))), lambda lines: bound(F.transform(lines, plain), lambda prose: of(lines, prose)))
 
 
 def framework(dependencies: Column) -> Column:
