@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.functions.exprs import bound
+
 #: Word characters of both engines: ASCII letters and digits, and everything from U+0080.
 TOKEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_BETWEEN = TOKEN.replace("[^", "[")
 
 
 def tokens(text: Column) -> Column:
@@ -53,19 +58,36 @@ def _term(term: str, whole: bool) -> str:
     return f"(?<!{word}){re.escape(term)}" + (f"(?!{word})" if whole else "")
 
 
+def _spaced(low: Column) -> Column:
+    """The words of a lower-case text, two spaces between them and one at either end."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(low, _BETWEEN, "  ")), F.lit(" "))
+
+
 def text_has(text: Column, terms: list[str], whole: bool = True) -> Column:
-    """As matches_all (or matches_prefixes) over the text's tokens, by one scan a term and without building them."""
+    """As matches_all (or matches_prefixes) over the text's tokens, without building them: texts that hold all terms anywhere are spaced out once."""
     out, low = F.lit(bool(terms)), F.lower(text)
     for t in terms:
-        out = out & low.contains(t) & low.rlike(_term(t, whole))
+        out = out & low.contains(t)
+    plain = [t for t in terms if re.fullmatch(TOKEN, t)]
+    if plain:
+        out = out & bound(_spaced(low), lambda s: reduce(and_, (s.contains(f" {t} " if whole else f" {t}") for t in plain)))
+    for t in terms:
+        if t not in plain:
+            out = out & low.rlike(_term(t, whole))
     return out
 
 
 def text_rank(text: Column, terms: list[str]) -> Column:
     """As frequency_rank over the text's tokens, without building them."""
-    low = F.lower(text)
-    hits = F.regexp_count(low, F.lit("|".join(_term(t, True) for t in dict.fromkeys(terms))))
-    return F.round(F.try_divide(1000.0 * hits, F.regexp_count(low, F.lit(TOKEN))), 6)
+    low, plain = F.lower(text), [t for t in dict.fromkeys(terms) if re.fullmatch(TOKEN, t)]
+
+    def of(s: Column) -> Column:
+        times = lambda part: F.floor((F.length(s) - F.length(F.replace(s, F.lit(part), F.lit("")))) / len(part)).cast("int")
+        hits = sum((times(f" {t} ") for t in plain), F.lit(0))
+        words = F.when(s == "  ", 0).otherwise(times("  ") + 1)
+        return F.round(F.try_divide(1000.0 * hits, words), 6)
+
+    return bound(_spaced(low), of)
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame) -> DataFrame:
