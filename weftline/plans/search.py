@@ -6,6 +6,7 @@ from weftline.operators import fulltext as ft
 from weftline.operators import search as s
 from weftline.plans import model as m
 from weftline.plans.registry import load, query
+from weftline.sources.folders import stored
 
 _WORDS = r"(SELECT doc_id, source, lang, text, regexp_extract_all(lower(text), '([^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+)', 1) AS w FROM documents)"
 
@@ -89,4 +90,5 @@ def english_ranked(spark, d):
     """The best texts for a query with a phrase, with their rank and headline."""
     docs = load(spark, d, "documents")
     best = ft.search(docs, ft.parse("(licensed <-> under | copyright) & (version | rights:*)")).orderBy(F.desc("rank"), "doc_id").limit(50)
+    best = stored(best, "best")
     return ft.headlines(docs, best).select("doc_id", F.round("rank", 6).alias("rank"), "fragment")
