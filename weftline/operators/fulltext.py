@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.english import lexeme
 from weftline.operators.search import TOKEN, tokens
+from weftline.sources.folders import stored
 
 _PARTS = re.compile(r"\s*(?:(<->|<\d+>|[&|!()])|([^\s&|!()<>:]+)(:\*)?)|\s*(\S)")
 
@@ -206,7 +207,8 @@ def postings(docs: DataFrame, tree: Tree, id_col: str, text_col: str) -> DataFra
     """
     terms = leaves(tree)
     words = docs.select(F.col(id_col).alias("id"), F.posexplode(tokens(F.col(text_col))).alias("at", "word"))
-    known = surfaces(words.select("word").distinct(), tree)
+    distinct = docs.select(F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("word")).distinct()
+    known = stored(surfaces(distinct, tree), "surfaces")  # its size is known then, so the words of all texts need no shuffle
     hits = words.join(known, "word").groupBy("id", "leaf").agg(F.array_sort(F.collect_list(F.col("at") + 1)).alias("at"))
     none = F.array().cast("array<int>")
     own = [F.coalesce(F.max(F.when(F.col("leaf") == k, F.col("at"))), none) for k in range(len(terms))]
