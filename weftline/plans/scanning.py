@@ -137,7 +137,7 @@ flows AS (SELECT path AS id, CASE WHEN sensitive IS NOT NULL AND NOT regexp_matc
 @query(f"{_ALL_LINES}, {_FLOWS} SELECT * FROM flows")
 def file_toxic_flow(spark, d):
     """Files with private data or files, untrusted input and an outbound channel, by the scanner's own legs."""
-    return sc.composite(_tree(spark, d), v.LEGS, "path", path_col="path")
+    return sc.composite(_tree(spark, d), v.LEGS, "path", path_col="path", finds=fs.FLOW_WORDS)
 
 
 def _manifests(spark, d):
